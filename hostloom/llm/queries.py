@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .language_id import op2_language_id
 from .minhash_dedup import op1_minhash_dedup
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op3_exact_dedup": op3_exact_dedup}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_language_id": op2_language_id, "op3_exact_dedup": op3_exact_dedup}
 
 SQL = {"op3_exact_dedup": OP3_SQL}
