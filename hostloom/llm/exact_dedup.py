@@ -47,8 +47,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     groups = first.groupBy("len", "digit").agg(F.min("id").alias("group"), F.count("*").alias("n")).filter("n > 1")
     joined = first.join(groups, ["len", "digit"])
-    ended = [scratch.cut(joined.filter(F.col("len") <= width).select("id", "sha", "group", "n").distinct())]
-    alive = joined.filter(F.col("len") > width).select("id", "len", "digit", "sha", "group").distinct()
+    ended = [scratch.cut(joined.filter(F.col("len") <= width).select("id", "sha", "group", "n").dropDuplicates(["id", "sha"]))]
+    alive = joined.filter(F.col("len") > width).select("id", "len", "digit", "sha", "group").dropDuplicates(["id", "sha"])
     rest = scratch.cut(
         docs.join(alive, "id")
         .select("id", text.alias("b"), "len", "digit", "sha", "group")
@@ -62,7 +62,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         counted = digits.groupBy("group", "digit").agg(F.min("id").alias("next"), F.count("*").alias("n")).filter("n > 1")
         after = scratch.cut(digits.join(counted, ["group", "digit"]).select("id", "sha", F.col("next").alias("group"), "n", "rest"))
         scratch.forget(rest)
-        ended.append(after.filter(F.octet_length("rest") == 0).select("id", "sha", "group", "n").distinct())
+        ended.append(after.filter(F.octet_length("rest") == 0).select("id", "sha", "group", "n").dropDuplicates(["id", "sha"]))
         rest = scratch.cut(after.filter(F.octet_length("rest") > 0).select("id", "sha", "group", "rest"))
     found = ended[0]
     for more in ended[1:]:
