@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .bpe import op5_bpe
+from .decontaminate import OP9_SQL, op9_decontamination
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .language_id import op2_language_id
 from .minhash_dedup import op1_minhash_dedup
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_language_id": op2_language_id, "op3_exact_dedup": op3_exact_dedup}
+QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_language_id": op2_language_id,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op5_bpe": op5_bpe,
+    "op9_decontamination": op9_decontamination,
+}
 
-SQL = {"op3_exact_dedup": OP3_SQL}
+SQL = {"op3_exact_dedup": OP3_SQL, "op9_decontamination": OP9_SQL}
