@@ -3,10 +3,12 @@
 Every document has a signature of minwise tokens of its shingle set. Independent trees branch the
 documents: a node's children are told by the values of selected minwise tokens, so that two sets of
 similarity J go down the same branch with probability J. The first two levels of each tree are one
-step. Small nodes are compared exhaustively; a large node branches on, twice a level, so that a
-pair keeps a fixed chance to stay together at any depth (q = 2 - 1/J, 0.82 at J = 0.85), and the
-trees repeat until the chance to miss a pair is negligible. A node that no token splits any more
-is compared exhaustively in tiles, so no task ever holds a whole node without bound.
+step. Small nodes are compared exhaustively; a large node branches on, by 1.25 tokens a level on
+average (1/J at J = 0.8), so that a pair keeps a chance to stay together at any depth while the
+number of leaves of a document grows slowly. Trees are independent and repeat: a pair at J = 0.85
+is missed by all of them in 2 cases of 10 ** 7 where nodes are small at once, and in 1 of 10 ** 4
+three levels deeper. A node that no token splits any more is compared exhaustively in tiles, so no
+task ever holds a node without bound.
 
 A node's comparison tells candidates by their signatures, with a margin under the threshold. Links
 are then confirmed exactly on full shingle sets, inside clusters of candidates. Documents with the
@@ -28,9 +30,9 @@ from .scratch import Scratch
 from .shingles import distinct, mix, shingle_hashes, text_words
 
 #: Length of a signature; the first two tokens of each tree are its own, the rest serve deeper levels.
-K, TREES, DEEPER = 64, 12, 6
+K, TREES, DEEPER = 64, 12, 16
 #: Most documents of a node that is compared as it is, and of a tile of a larger one.
-NODE, TILE, TILE_SHINGLES = 512, 512, 1 << 21
+NODE, TILE, TILE_SHINGLES = 2048, 512, 1 << 21
 #: Matching tokens of a signature that make a candidate; at J = 0.85 fewer are 1 case in 10 ** 6.
 LEAST = 42
 _rng = np.random.default_rng(85)
@@ -96,12 +98,15 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _branch(level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Two children of each node for each document, by a token that the node's name selects."""
+        """A child of each node for each document, by a token that the node's name selects; a second one for a quarter of the nodes."""
         for batch in batches:
-            if not len(batch):
-                continue
-            node, tokens = batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(2), np.uint8)
             for twig in range(2):
+                if twig and len(batch):
+                    more = mix(batch.column(0).to_numpy().view(np.uint64) + np.uint64(1000 + level)) % np.uint64(4) == 0
+                    batch = batch.filter(pa.array(more))
+                if not len(batch):
+                    break
+                node, tokens = batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(2), np.uint8)
                 chosen = mix(node + np.uint64(2 * level + twig + 1))
                 at = 2 * TREES + (chosen % np.uint64(K - 2 * TREES)).astype(np.int64)
                 child = mix(chosen ^ mix(tokens[np.arange(len(at)), at].astype(np.uint64) + np.uint64(1)))
@@ -134,22 +139,30 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _groups(batches):
         batch = table.combine_chunks().to_batches()[0]
         node, ids, tokens = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), np.uint8)
-        label, rows, found = np.arange(len(node)), np.arange(len(node) - 1), []
-        step = 1
+        label, rows, step = np.arange(len(node)), np.arange(len(node) - 1), 1
         while len(rows := rows[rows + step < len(node)]) and len(rows := rows[node[rows] == node[rows + step]]):
             open_ = rows[label[rows] != label[rows + step]]
-            for k in range(0, len(open_), 65536):
-                a = open_[k : k + 65536]
+            for k in range(0, len(open_), 16384):
+                a = open_[k : k + 16384]
                 a = a[np.count_nonzero(tokens[a] == tokens[a + step], axis=1) >= LEAST]
-                a = a[label[a] != label[a + step]]
-                found.append(np.stack([ids[a], ids[a + step]]))
-                low = np.minimum(label[a], label[a + step])
-                np.minimum.at(label, a, low)
-                np.minimum.at(label, a + step, low)
+                if len(a):
+                    _join(label, a, a + step)
             step += 1
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        if pairs.size:
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        away = np.flatnonzero(label != np.arange(len(label)))
+        if len(away):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[away]), pa.array(ids[label[away]])], names=["a", "b"])
+
+
+def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Merges the groups of a and b; label has a root for each row, and roots have themselves."""
+    x, y = label[a], label[b]
+    while len(x):
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        np.minimum.at(label, high, low)
+        while (after := label[label]).tobytes() != label.tobytes():
+            label[:] = after
+        x, y = label[x], label[y]
+        x, y = x[x != y], y[x != y]
 
 
 def _sets(size: int):
@@ -165,11 +178,17 @@ def _sets(size: int):
                         continue  # another text of a repeated id
                     own = int(mix(np.array([i], np.int64).view(np.uint64))[0] % np.uint64(tiles))
                     for other in range(tiles):
+                        if len(out) == 256:
+                            yield _rows(out)
+                            out = []
                         low, high = min(own, other), max(own, other)
                         key = mix(mix(np.array([cluster], np.int64).view(np.uint64)) + np.uint64(low * 1_000_003 + high))
                         out.append((int(key.view(np.int64)[0]), i, tokens))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["tile", "id", "tokens"])
+                    yield _rows(out)
+
+    def _rows(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["tile", "id", "tokens"])
 
     return run
 
@@ -217,10 +236,8 @@ def _links(percent: int):
                     common = np.full((2, 2), np.count_nonzero(both[1:] == both[:-1]))
                 linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
                 group = np.arange(len(ids))
-                for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-                    if group[i] != group[j]:
-                        out.append((ids[i], ids[j]))
-                        group[group == group[j]] = group[i]
+                _join(group, *np.nonzero(np.triu(linked, 1)))
+                out += [(ids[i], ids[j]) for i, j in enumerate(group.tolist()) if i != j]
             if out:
                 x = np.array(out, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
