@@ -91,16 +91,17 @@ def candidates(tokens: np.ndarray, cuts: np.ndarray, items: Items) -> np.ndarray
     return np.unique(np.concatenate(found))
 
 
-def _search(sent, size: int, percent: int):
+def _search(sent, size: int, percent: int, clean: bool):
+    """Rows of matches; with clean, the rows of documents without any instead."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = sent.value
         for batch in batches:
             for at, to, words, cuts in text_words(batch.column(1)):
                 parts = [shingle_hashes(words[a:b], size) if b - a >= size else words[:0] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
-                if not offsets[-1] or not items.sets:
-                    continue
-                codes, out, own, doc = candidates(np.concatenate(parts), offsets, items), [], None, -1
+                codes = candidates(np.concatenate(parts), offsets, items) if offsets[-1] and items.sets else np.zeros(0, np.int64)
+                out, own, doc, dirty = [], None, -1, np.zeros(to - at, bool)
                 for code in codes.tolist():
                     d, i = divmod(code, len(items.sets))
                     if d != doc:
@@ -109,13 +110,29 @@ def _search(sent, size: int, percent: int):
                     place = np.searchsorted(own, want).clip(max=len(own) - 1)
                     shared = int(np.count_nonzero(own[place] == want))
                     if 100 * shared >= percent * len(want):
+                        dirty[d] = True
                         out.append((batch.column(0)[at + d].as_py(), items.ids[i], len(want), shared))
-                if out:
+                if clean:
+                    left = batch.slice(at, to - at).filter(pa.array(~dirty))
+                    yield pa.RecordBatch.from_arrays(left.columns[2:], names=left.schema.names[2:])
+                elif out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "item_id", "n_item", "n_shared"])
 
     return run
 
 
+def _blocks(items: DataFrame, item_col: str, item_text: str) -> Iterator[list]:
+    """The items, at most BLOCK at once; one empty block if there are none."""
+    items, block, any_ = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).filter("text is not null"), [], False
+    for row in items.toLocalIterator():
+        block.append(row)
+        if len(block) == BLOCK:
+            yield block
+            block, any_ = [], True
+    if block or not any_:
+        yield block
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Rows doc_id, item_id, n_item, n_shared: documents that hold percent of an item's distinct shingles of size words.
 
@@ -126,28 +143,28 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     The items are a stated query set: they pass through the driver in blocks of BLOCK, each searched for in
     all documents.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    items = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
-    schema, found = "doc_id long, item_id long, n_item long, n_shared long", None
-    block: list = []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = None
+    for block in _blocks(items, item_col, item_text):
+        sent = docs.sparkSession.sparkContext.broadcast(prepare([r[0] for r in block], [r[1] for r in block], size))
+        more = rows.mapInArrow(_search(sent, size, percent, False), "doc_id long, item_id long, n_item long, n_shared long")
+        found = more if found is None else found.unionByName(more)
+    return found
 
-    def search(rows: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast(prepare([r[0] for r in rows], [r[1] for r in rows], size))  # at most BLOCK items
-        return docs.mapInArrow(_search(sent, size, percent), schema)
 
-    for row in items.toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK:
-            found, block = search(block) if found is None else found.unionByName(search(block)), []
-    if block or found is None:
-        found = search(block) if found is None else found.unionByName(search(block))
-    return found
+def without_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, that contamination() would name in no row. No shuffle."""
+    out = docs
+    for block in _blocks(items, item_col, item_text):
+        sent = docs.sparkSession.sparkContext.broadcast(prepare([r[0] for r in block], [r[1] for r in block], size))
+        rows = out.select(F.lit(0).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"kept_{c}") for c in docs.columns))
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:])
+        out = rows.mapInArrow(_search(sent, size, percent, True), schema).toDF(*docs.columns)
+    return out
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
-    found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found
+    return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 OP9_SQL = r"""

@@ -27,6 +27,7 @@ S, ORDER = 64, 3
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 UNDETERMINED = "und"
+NAMES = ("doc_id", "lang_pred", "score")
 
 
 @dataclass
@@ -133,7 +134,8 @@ def _score(model):
                     best = bits.argmin(1)
                     pred[known] = np.array(m.languages, object)[best]
                     score[known] = 1 / np.exp2(-(bits - bits.min(1, keepdims=True))).sum(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(pred, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
+                kept = batch.slice(at, to - at).columns[2:]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(pred, pa.string()), pa.array(score), *kept], names=[*NAMES, *batch.schema.names[2:]])
 
     return run
 
@@ -148,17 +150,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(samples) if samples else Model([], np.zeros(256, np.uint8), np.zeros(S**ORDER, np.int32), np.zeros((S, 0), np.float32))
 
 
-def detect_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, lang_pred, score.
+def detect_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
+    """Per row of docs: doc_id, lang_pred, score, and the columns in keep, whose names are prefixed by 'kept_'.
 
     lang_pred is the language with the shortest code for the whole text (ties: the first by name), score its
     posterior probability when all languages are equally likely. A text that is null, empty or has no
     letter is 'und' with score 0, as is every text if no language was learnt. Repeated rows repeat their
     result; an empty table gives an empty one.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # contexts of at most ORDER of S symbols: bounded
-    return rows.mapInArrow(_score(sent), "id long, lang_pred string, score double").withColumnRenamed("id", "doc_id")
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:])
+    return rows.mapInArrow(_score(sent), f"doc_id long, lang_pred string, score double{more}")
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
