@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .shingles import chunks, text_buffers
 
 END = "</w>"
-#: Chunks of text whose encodings a worker keeps; the cache starts anew beyond that.
-KEPT = 400_000
+#: Chunks of text whose encodings a worker keeps in each of two generations.
+KEPT = 300_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -66,6 +66,8 @@ class Encoder:
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.words = regex.compile(steps[0]["pattern"]["Regex"])
         self.bytes = byte_characters()
+        #: By merged token: the rank of the merge that makes it, and its two sides.
+        self.made = {a + b: (k, a, b) for (a, b), k in reversed(self.rank.items())}
         lengths: dict[str, set[int]] = {}
         for token in self.ids:
             body, mark = (token[: -len(END)], END) if token.endswith(END) and token != END else (token, "")
@@ -77,7 +79,7 @@ class Encoder:
         self.fits: dict[tuple[str, str], bool] = {}
         self.chunks: dict[str, tuple[bytes, str]] = {}
         self.known: dict[str, tuple[bytes, str]] = {}
-        self.forget()
+        self.turn()
 
     def symbols(self, token: str) -> list[str]:
         body = token.removesuffix(END)
@@ -99,16 +101,34 @@ class Encoder:
         return symbols
 
     def compatible(self, left: str, right: str) -> bool:
-        pair = (left, right)
+        """Whether the two, each encoding as itself, stay apart when they meet.
+
+        Both are undone merge by merge, the later one first, down to the symbols at the border: at
+        each stage the pair that meets there must not merge before what comes next is made.
+        """
+        pair = left, right
         found = self.fits.get(pair)
-        if found is None:
-            found = self.fits[pair] = self.untouched(left, right)
+        if found is not None:
+            return found
+        rank, made = self.rank, self.made
+        limit = 1 << 60
+        a, b = left, right
+        while True:
+            if rank.get((a, b), 1 << 60) < limit:
+                found = False
+                break
+            of_a, of_b = made.get(a), made.get(b)
+            if of_a is None and of_b is None:
+                found = True
+                break
+            # a pair at the border is the later one if ranks are equal: the leftmost of equals goes first
+            if of_b is None or of_a is not None and of_a[0] > of_b[0]:
+                limit, a = of_a[0], of_a[2]
+            else:
+                limit, b = of_b[0] + 1, of_b[1]
+        self.fits[pair] = found
         return found
 
-    def untouched(self, left: str, right: str) -> bool:
-        """Whether the two, each encoding as itself, stay apart: no pair across the border merges before its sides are done."""
-        return (left, right) not in self.rank and self.merged(self.symbols(left) + self.symbols(right)) == [left, right]
-
     def last_token(self, prefix: str, ended: bool, last: list[str]) -> str:
         """The last token of prefix, given those of all shorter prefixes (last[0] is the root's)."""
         n, mark = len(prefix), END if ended else ""
@@ -147,10 +167,12 @@ class Encoder:
 
     def pieces(self, chunk: str) -> list[str]:
         """The words of a chunk as byte characters."""
-        if not unicodedata.is_normalized("NFC", chunk):
-            chunk = unicodedata.normalize("NFC", chunk)
         if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk.lower()]
             return [w.translate(self.ascii) for w in self.words.findall(chunk.lower())]
+        if not unicodedata.is_normalized("NFC", chunk):
+            chunk = unicodedata.normalize("NFC", chunk)
         lower = "".join(c.lower() for c in chunk)  # a character at a time: no rule for a final sigma
         return ["".join(map(self.bytes.__getitem__, w.encode())) for w in self.words.findall(lower)]
 
@@ -179,22 +201,26 @@ class Encoder:
                 found = [known[w] for w in own]
                 self.chunks[chunk] = b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[0]])
 
-    def forget(self) -> None:
-        self.chunks.clear()
-        self.fits.clear()
+    def turn(self) -> None:
+        """A new generation of the caches: what the last one had is kept as long as it is asked for again."""
+        self.old, self.chunks = self.chunks, {}
         # a word is in byte characters, so the text of a special token can't be one unless it has these very letters
         self.known = {t: (i.to_bytes(4, "little"), t) for t, i in self.special.items()}
+        if len(self.fits) > KEPT:
+            self.fits = {}
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """Of each text the ids, as little-endian unsigned 32-bit integers, and what they decode to."""
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.chunks) > KEPT:
-            self.forget()
+            self.turn()
         new: set[str] = set()
         for chunks in split:
             new.update(chunks)
         new.difference_update(self.chunks)
-        self.learn(new)
+        again = new.intersection(self.old)
+        self.chunks.update((c, self.old[c]) for c in again)
+        self.learn(new - again)
         get = self.chunks.__getitem__
         for chunks in split:
             found = list(map(get, chunks))
