@@ -41,18 +41,26 @@ class Model:
 def _symbols(texts: list[bytes], symbol: np.ndarray) -> np.ndarray:
     """All texts as symbols, each after ORDER line ends."""
     pad = bytes([10] * ORDER)
-    return symbol[np.frombuffer(pad + pad.join(texts), np.uint8)].astype(np.int64)
+    return symbol[np.frombuffer(pad + pad.join(texts), np.uint8)]
 
 
 def _context(symbols: np.ndarray, order: int) -> np.ndarray:
     """Of each position from ORDER on: the order symbols before it as one number."""
     n = len(symbols) - ORDER
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     for k in range(order, 0, -1):
-        out = out * S + symbols[ORDER - k : ORDER - k + n]
+        out = out * np.int32(S) + symbols[ORDER - k : ORDER - k + n]
     return out
 
 
+def _seen(coded: list[np.ndarray], order: int) -> np.ndarray:
+    """The contexts of an order that occur, sorted."""
+    mark = np.zeros(S**order, bool)
+    for x in coded:
+        mark[_context(x, order)] = True
+    return np.flatnonzero(mark)
+
+
 def fit(samples: dict[str, list[bytes]]) -> Model:
     """samples: by language, its texts."""
     languages = sorted(samples)
@@ -65,14 +73,15 @@ def fit(samples: dict[str, list[bytes]]) -> Model:
     rest = np.log2(256 - (S - 1))
     coded = [_symbols(samples[x], symbol) for x in languages]
     # contexts that some language has seen, by order, and their rows; order 0 is row 0
-    contexts = [np.unique(np.concatenate([_context(x, o) for x in coded])) if o else np.zeros(1, np.int64) for o in range(ORDER + 1)]
+    contexts = [_seen(coded, order) for order in range(ORDER + 1)]
     first = np.concatenate([[0], np.cumsum([len(x) for x in contexts])])
     bits = np.empty((first[-1], S, len(languages)), np.float32)
     for k, x in enumerate(coded):
         shorter = np.full((1, S), 1 / S)
         for order, own in enumerate(contexts):
-            row = np.searchsorted(own, _context(x, order))
-            count = np.bincount(row * S + x[ORDER:], minlength=len(own) * S).reshape(len(own), S).astype(float)
+            place = np.zeros(S**order, np.int32)
+            place[own] = np.arange(len(own))
+            count = np.bincount(place[_context(x, order)] * np.int32(S) + x[ORDER:], minlength=len(own) * S).reshape(len(own), S).astype(float)
             if order:
                 parent = np.searchsorted(contexts[order - 1], own % S ** (order - 1))
                 shorter = shorter[parent]
@@ -140,7 +149,7 @@ def _score(model):
     return run
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, most: int = 1500) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, most: int = 600) -> Model:
     """Fits on rows of folds other than 0 whose language and text aren't null: a sample of about most texts a
     language, told by a hash of the id; texts are taken whole. No labelled row: a model of no language."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
