@@ -30,7 +30,7 @@ from .shingles import chunks, text_buffers
 DECAY, SPAN, DIMENSIONS = 0.7, 6, 1 << 15
 #: Characters of a word that are taken at once; longer words are taken in windows that overlap by half.
 WIDTH = 24
-LANDMARKS, NEGATIVES = 256, 12_000
+LANDMARKS, NEGATIVES, LOSS = 320, 6_000, 1e-5
 #: Distinct words whose scores a worker keeps; it starts anew beyond that.
 KEPT = 1_000_000
 _SHAPES = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -94,6 +94,29 @@ def feature_map(words: list[str]) -> np.ndarray:
     return out / np.maximum(np.sqrt((out**2).sum(1, keepdims=True)), 1e-9)
 
 
+def kernel(words: list[str], basis: np.ndarray) -> np.ndarray:
+    """Normalised kernel values of words (the first window of a long one) with the rows of basis, by their features."""
+    codes, size, owner = _codes(words)
+    first = np.concatenate([[True], owner[1:] != owner[:-1]])
+    codes, size = codes[first], size[first]
+    columns = np.ascontiguousarray(basis.T)
+    out, norm = np.zeros((len(words), len(basis)), np.float32), np.zeros(len(words))
+    for w, index, valid in _subsequences(codes, size):
+        norm += w * w * valid.sum(1)
+        for k in range(index.shape[1]):
+            rows = np.flatnonzero(valid[:, k])
+            out[rows] += np.float32(w) * columns[index[rows, k]]
+    return out / np.maximum(np.sqrt(norm), 1e-9)[:, None]
+
+
+def centre(words: list[str]) -> np.ndarray:
+    """The direction of the sum of the words' features."""
+    out = np.zeros(DIMENSIONS)
+    for w, index, valid in _subsequences(*_codes(words)[:2]):
+        out += w * np.bincount(index[valid], minlength=DIMENSIONS)
+    return out / max(1e-9, np.linalg.norm(out))
+
+
 def decide(words: list[str], weight: np.ndarray, bias: float) -> np.ndarray:
     """The machine's decision for each word: that of its highest window."""
     out = np.full(len(words), -np.inf)
@@ -126,27 +149,34 @@ def fit(texts: list[str], toxic: np.ndarray, importance: np.ndarray) -> Model |
         chosen = np.argsort(-evidence * (share > base), kind="stable")[:5]
     positive = [vocabulary[i] for i in chosen]
     clean = [vocabulary[i] for i in np.flatnonzero(share < max(base, 0.3))]
-    centre = feature_map(positive[:2000]).sum(0)
-    close = decide(clean, centre / np.linalg.norm(centre), 0) if clean else np.zeros(0)
+    close = decide(clean, centre(positive), 0) if clean else np.zeros(0)
     hard = [clean[i] for i in np.argsort(-close, kind="stable")[: NEGATIVES // 3]]
     spread = clean[:: max(1, len(clean) // (2 * NEGATIVES // 3))][: 2 * NEGATIVES // 3]
     negative = sorted(set(hard) | set(spread))
     best = [positive[i] for i in np.argsort(-evidence[chosen], kind="stable")[: LANDMARKS // 2]]
-    landmarks = best + hard[: LANDMARKS // 4] + spread[:: max(1, len(spread) * 4 // LANDMARKS)][: LANDMARKS // 4]
+    known = dict(zip(vocabulary, n.tolist(), strict=True))
+    common = sorted(hard[:1000], key=lambda w: (-known[w], w))
+    landmarks = best + common[: LANDMARKS // 4] + spread[:: max(1, len(spread) * 4 // LANDMARKS)][: LANDMARKS // 4]
     basis = feature_map(landmarks)
     values, vectors = np.linalg.eigh((basis @ basis.T).astype(float))
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
+    # spellings with one more character inside, for words long enough to be known by the rest
+    spelt = {w[:k] + "xzqjk"[(i + k) % 5] + w[k:]: w for i, w in enumerate(best) if len(w) > 4 for k in range(1, len(w))}
+    known |= {v: 0.5 * known[w] / len(w) for v, w in spelt.items()}
+    positive = positive + sorted(spelt)
     instances = positive + negative
-    z = np.concatenate([feature_map(instances[k : k + 512]) @ basis.T for k in range(0, len(instances), 512)]).astype(float) @ root
+    z = (kernel(instances, basis) @ root.astype(np.float32)).astype(np.float32)
     y = np.where(np.arange(len(instances)) < len(positive), 1.0, -1.0)
-    cost = np.where(y > 0, 0.5 / len(positive), 0.5 / max(1, len(negative)))
-    v, bias, total, of = np.zeros(z.shape[1]), 0.0, np.zeros(z.shape[1] + 1), 0
-    for step in range(1, 1501):  # subgradients of the hinge loss, averaged over the second half
-        rate = 1 / (1e-3 * (step + 100))
+    cost = np.array([known[w] for w in instances], float)  # a word that many texts have says more
+    cost *= np.where(y > 0, 0.5 / cost[y > 0].sum(), 0.5 / max(1e-9, cost[y < 0].sum()))
+    v, bias, total, of = np.zeros(z.shape[1], np.float32), 0.0, np.zeros(z.shape[1] + 1), 0
+    cost = cost.astype(np.float32)
+    for step in range(1, 2001):  # subgradients of the hinge loss, averaged over the second half
+        rate = min(40.0, 1 / (LOSS * (step + 100)))
         inside = (z @ v + bias) * y < 1
-        v += rate * ((cost * inside * y) @ z - 1e-3 * v)
-        bias += 0.1 * rate * (cost * inside * y).sum()
-        if step > 750:
+        v += np.float32(rate) * ((cost * inside * y).astype(np.float32) @ z - np.float32(LOSS) * v)
+        bias += 0.05 * rate * (cost * inside * y).sum()
+        if step > 1000:
             total[:-1] += v
             total[-1] += bias
             of += 1
