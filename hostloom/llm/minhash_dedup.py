@@ -33,13 +33,16 @@ from .shingles import distinct, mix, shingle_hashes, text_words
 K, TREES, DEEPER = 64, 12, 16
 #: Most documents of a node that is compared as it is, and of a tile of a larger one.
 NODE, TILE, TILE_SHINGLES = 2048, 512, 1 << 21
-#: Matching tokens of a signature that make a candidate; at J = 0.85 fewer are 1 case in 10 ** 6.
-LEAST = 42
 _rng = np.random.default_rng(85)
 _A = _rng.integers(0, 1 << 31, K, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, K, dtype=np.uint32)
 
 
+def least_matches(percent: int) -> int:
+    """Matching tokens of a signature that make a candidate: 4.5 standard deviations under the mean at the threshold."""
+    return int(K * percent / 100 - 4.5 * (K * percent / 100 * (1 - percent / 100)) ** 0.5)
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """The K minwise tokens of each set that isn't empty."""
     sizes = np.array([len(x) for x in sets])
@@ -134,23 +137,26 @@ def _groups(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that connect what a node's exhaustive comparison holds alike; each row is compared with each later row of its node."""
-    for table in _groups(batches):
-        batch = table.combine_chunks().to_batches()[0]
-        node, ids, tokens = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), np.uint8)
-        label, rows, step = np.arange(len(node)), np.arange(len(node) - 1), 1
-        while len(rows := rows[rows + step < len(node)]) and len(rows := rows[node[rows] == node[rows + step]]):
-            open_ = rows[label[rows] != label[rows + step]]
-            for k in range(0, len(open_), 16384):
-                a = open_[k : k + 16384]
-                a = a[np.count_nonzero(tokens[a] == tokens[a + step], axis=1) >= LEAST]
-                if len(a):
-                    _join(label, a, a + step)
-            step += 1
-        away = np.flatnonzero(label != np.arange(len(label)))
-        if len(away):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[away]), pa.array(ids[label[away]])], names=["a", "b"])
+def _candidates(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs that connect what a node's exhaustive comparison holds alike; each row is compared with each later row of its node."""
+        for table in _groups(batches):
+            batch = table.combine_chunks().to_batches()[0]
+            node, ids, tokens = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), np.uint8)
+            label, rows, step = np.arange(len(node)), np.arange(len(node) - 1), 1
+            while len(rows := rows[rows + step < len(node)]) and len(rows := rows[node[rows] == node[rows + step]]):
+                open_ = rows[label[rows] != label[rows + step]]
+                for k in range(0, len(open_), 16384):
+                    a = open_[k : k + 16384]
+                    a = a[np.count_nonzero(tokens[a] == tokens[a + step], axis=1) >= least]
+                    if len(a):
+                        _join(label, a, a + step)
+                step += 1
+            away = np.flatnonzero(label != np.arange(len(label)))
+            if len(away):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[away]), pa.array(ids[label[away]])], names=["a", "b"])
+
+    return run
 
 
 def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -291,7 +297,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     compared = leaves[0]
     for more in leaves[1:]:
         compared = compared.unionByName(more)
-    pairs = compared.repartition("node").sortWithinPartitions("node").mapInArrow(_candidates, "a long, b long")
+    pairs = compared.repartition("node").sortWithinPartitions("node").mapInArrow(_candidates(least_matches(percent)), "a long, b long")
     clusters = scratch.cut(components(pairs, scratch))
 
     # Links confirmed on full sets
