@@ -28,7 +28,7 @@ from .shingles import chunks, text_buffers
 
 END = "</w>"
 #: Chunks of text whose encodings a worker keeps in each of two generations.
-KEPT = 300_000
+KEPT = 400_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -52,7 +52,7 @@ def byte_characters() -> list[str]:
 class Encoder:
     """The tokenizer of a vocabulary file, without truncation, padding or special tokens being added."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -60,8 +60,10 @@ class Encoder:
             raise ValueError("a BPE vocabulary with an end-of-word mark and no decoder is wanted")
         self.ids: dict[str, int] = model["vocab"]
         self.rank = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in enumerate(model["merges"])}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in (self.ids | self.special).items()}
+        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.tokens = {i: t for t, i in (self.ids | added).items()}
+        #: Without special, their strings are ordinary text.
+        self.special = added if special else {}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.words = regex.compile(steps[0]["pattern"]["Regex"])
@@ -191,7 +193,9 @@ class Encoder:
             new.update(own)
         known = self.known
         new.difference_update(known)
-        for word, tokens in self.encode_words(new).items():
+        again = new.intersection(self.older)
+        known.update((w, self.older[w]) for w in again)
+        for word, tokens in self.encode_words(new - again).items():
             ids = [self.ids[t] for t in tokens if t in self.ids]
             known[word] = struct.pack(f"<{len(ids)}I", *ids), " ".join([self.tokens[i] for i in ids])
         for chunk, own in parts:
@@ -205,7 +209,7 @@ class Encoder:
         """A new generation of the caches: what the last one had is kept as long as it is asked for again."""
         self.old, self.chunks = self.chunks, {}
         # a word is in byte characters, so the text of a special token can't be one unless it has these very letters
-        self.known = {t: (i.to_bytes(4, "little"), t) for t, i in self.special.items()}
+        self.older, self.known = self.known, {t: (i.to_bytes(4, "little"), t) for t, i in self.special.items()}
         if len(self.fits) > KEPT:
             self.fits = {}
 
@@ -228,8 +232,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, special: bool = True) -> Encoder:
+    return Encoder(path, special)
 
 
 def decode(ids: list[int], path: str) -> str:

@@ -7,12 +7,18 @@ from .decontaminate import OP9_SQL, op9_decontamination
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .language_id import op2_language_id
 from .minhash_dedup import op1_minhash_dedup
+from .token_counts import op8_token_counts
+from .toxicity import op7_toxicity
+from .url_filter import op4_url_filter
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_url_filter": op4_url_filter,
     "op5_bpe": op5_bpe,
+    "op7_toxicity": op7_toxicity,
+    "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
 }
 
