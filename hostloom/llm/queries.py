@@ -5,7 +5,9 @@ from __future__ import annotations
 from .bpe import op5_bpe
 from .decontaminate import OP9_SQL, op9_decontamination
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .html_extract import op6_html_extract
 from .language_id import op2_language_id
+from .lm_score import op10_lm_score
 from .minhash_dedup import op1_minhash_dedup
 from .token_counts import op8_token_counts
 from .toxicity import op7_toxicity
@@ -17,9 +19,11 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_bpe": op5_bpe,
+    "op6_html_extract": op6_html_extract,
     "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
+    "op10_lm_score": op10_lm_score,
 }
 
 SQL = {"op3_exact_dedup": OP3_SQL, "op9_decontamination": OP9_SQL}
