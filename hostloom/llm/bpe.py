@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .shingles import chunks, text_buffers
 
 END = "</w>"
-#: Chunks of text whose encodings a worker keeps in each of two generations.
-KEPT = 400_000
+#: Chunks of text whose encodings a task keeps, and words that a worker keeps in each of two generations.
+KEPT, WORDS = 500_000, 200_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -206,25 +206,28 @@ class Encoder:
                 self.chunks[chunk] = b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[0]])
 
     def turn(self) -> None:
-        """A new generation of the caches: what the last one had is kept as long as it is asked for again."""
-        self.old, self.chunks = self.chunks, {}
+        """A new generation of the words: what the last one had is kept as long as it is asked for again."""
         # a word is in byte characters, so the text of a special token can't be one unless it has these very letters
         self.older, self.known = self.known, {t: (i.to_bytes(4, "little"), t) for t, i in self.special.items()}
-        if len(self.fits) > KEPT:
+        if len(self.fits) > 2 * WORDS:
             self.fits = {}
 
+    def rest(self) -> None:
+        """Lets go of what a task doesn't leave to the next one of its worker."""
+        self.chunks = {}
+
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """Of each text the ids, as little-endian unsigned 32-bit integers, and what they decode to."""
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.chunks) > KEPT:
+            self.chunks = {}
+        if len(self.known) > WORDS:
             self.turn()
         new: set[str] = set()
         for chunks in split:
             new.update(chunks)
         new.difference_update(self.chunks)
-        again = new.intersection(self.old)
-        self.chunks.update((c, self.old[c]) for c in again)
-        self.learn(new - again)
+        self.learn(new)
         get = self.chunks.__getitem__
         for chunks in split:
             found = list(map(get, chunks))
@@ -256,6 +259,7 @@ def _encode(name: str, digests: bool):
                 else:
                     columns += [pa.array(raw, pa.binary()), pa.array([r[1] for r in rows], pa.string())]
                 yield pa.RecordBatch.from_arrays([*columns, *part.columns[1:]], names=["n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]), *part.schema.names[1:]])
+        own.rest()
 
     return run
 

@@ -121,6 +121,7 @@ def _flatten(name: str, separator: int):
                 for k in range(whole):
                     yield row(block + k, flat[k * 2 * BLOCK : (k + 1) * 2 * BLOCK], None, None)
                 block, held = block + whole, [flat[whole * 2 * BLOCK :]]
+        own.rest()
         if held and held[0]:
             yield row(block, held[0], None, None)
 

@@ -8,7 +8,7 @@ bag is as toxic as its most toxic word.
 Landmarks are words of the training texts; a word's Nystroem features are its kernel values with them
 times the inverse square root of the landmarks' own kernel matrix. Since subsequences are bounded in
 span, the kernel has an explicit feature map, in which the machine is one weight for each
-subsequence: words are scored with table look-ups, each distinct word once for a worker.
+subsequence: words are scored with table look-ups, each distinct word once for a task.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ DECAY, SPAN, DIMENSIONS = 0.7, 6, 1 << 15
 #: Characters of a word that are taken at once; longer words are taken in windows that overlap by half.
 WIDTH = 24
 LANDMARKS, NEGATIVES, LOSS = 320, 6_000, 1e-5
-#: Distinct words whose scores a worker keeps; it starts anew beyond that.
-KEPT = 1_000_000
+#: Distinct words whose scores a task keeps; it starts anew beyond that.
+KEPT = 600_000
 _SHAPES = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _SPACED = re.compile(r"(?<!\w)\w(?:[^\w\s]?\s?[^\w\s]?\w(?!\w)){3,}")
 
@@ -228,13 +228,10 @@ class Scorer:
         return 1 / (1 + np.exp(-(self.model.scale * top + self.model.shift)))
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def _score(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        own = model and _scorers.setdefault(id(model), Scorer(model))
+        own = model and Scorer(model)
         for batch in batches:
             for at, to in chunks(text_buffers(batch.column(1))[1], 1 << 22):
                 texts = [t or "" for t in batch.column(1).slice(at, to - at).to_pylist()]
