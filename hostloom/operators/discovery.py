@@ -61,6 +61,7 @@ def enrich(hosts: DataFrame) -> DataFrame:
     name = F.lower("hostname")
     hosts = hosts.withColumns(
         {
+            "given_environment": F.col("environment"),
             "environment": F.coalesce("environment", H.first_keyword(name, K.ENVIRONMENTS, "unknown")),
             "datacenter": H.datacenter(F.col("hostname"), F.col("ip_address")),
             "host_type": H.first_keyword(name, K.HOST_TYPES, "compute"),

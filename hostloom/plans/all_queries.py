@@ -1,4 +1,4 @@
 """Imports all modules that register queries."""
 
-from . import discovery_queries  # noqa: F401
+from . import classify_queries, discovery_queries, relate_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
