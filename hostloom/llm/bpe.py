@@ -24,11 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import narrow_batches
 from .shingles import chunks, text_buffers
 
 END = "</w>"
 #: Chunks of text whose encodings a task keeps, and words that a worker keeps in each of two generations.
-KEPT, WORDS = 500_000, 200_000
+KEPT, WORDS = 350_000, 200_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -272,6 +273,7 @@ def bpe_encode(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
     special tokens in a text become those tokens. Rows stand for themselves, so repeated rows repeat
     their result and an empty table gives an empty one. A kept column may not have the name of a result.
     """
+    narrow_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
     if clash := set(names) & set(keep):

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import narrow_batches
 from .shingles import distinct, shingle_hashes, text_words
 
 #: Minwise values: an item at the containment 0.8 that is half as long as its class allows agrees with
@@ -91,13 +92,13 @@ def candidates(tokens: np.ndarray, cuts: np.ndarray, items: Items) -> np.ndarray
     return np.unique(np.concatenate(found))
 
 
-def _search(sent, size: int, percent: int, clean: bool):
-    """Rows of matches; with clean, the rows of documents without any instead."""
+def _search(sent, size: int, percent: int, clean: int | None = None):
+    """Rows of matches in rows of id and text; with clean, the place of the text, the rows without any match instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = sent.value
         for batch in batches:
-            for at, to, words, cuts in text_words(batch.column(1)):
+            for at, to, words, cuts in text_words(batch.column(1 if clean is None else clean)):
                 parts = [shingle_hashes(words[a:b], size) if b - a >= size else words[:0] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
                 codes = candidates(np.concatenate(parts), offsets, items) if offsets[-1] and items.sets else np.zeros(0, np.int64)
@@ -111,10 +112,9 @@ def _search(sent, size: int, percent: int, clean: bool):
                     shared = int(np.count_nonzero(own[place] == want))
                     if 100 * shared >= percent * len(want):
                         dirty[d] = True
-                        out.append((batch.column(0)[at + d].as_py(), items.ids[i], len(want), shared))
-                if clean:
-                    left = batch.slice(at, to - at).filter(pa.array(~dirty))
-                    yield pa.RecordBatch.from_arrays(left.columns[2:], names=left.schema.names[2:])
+                        out.append((None if clean is not None else batch.column(0)[at + d].as_py(), items.ids[i], len(want), shared))
+                if clean is not None:
+                    yield batch.slice(at, to - at).filter(pa.array(~dirty))
                 elif out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "item_id", "n_item", "n_shared"])
 
@@ -143,23 +143,23 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     The items are a stated query set: they pass through the driver in blocks of BLOCK, each searched for in
     all documents.
     """
+    narrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = None
     for block in _blocks(items, item_col, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(prepare([r[0] for r in block], [r[1] for r in block], size))
-        more = rows.mapInArrow(_search(sent, size, percent, False), "doc_id long, item_id long, n_item long, n_shared long")
+        more = rows.mapInArrow(_search(sent, size, percent), "doc_id long, item_id long, n_item long, n_shared long")
         found = more if found is None else found.unionByName(more)
     return found
 
 
 def without_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, that contamination() would name in no row. No shuffle."""
+    narrow_batches(docs.sparkSession)
     out = docs
     for block in _blocks(items, item_col, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(prepare([r[0] for r in block], [r[1] for r in block], size))
-        rows = out.select(F.lit(0).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"kept_{c}") for c in docs.columns))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:])
-        out = rows.mapInArrow(_search(sent, size, percent, True), schema).toDF(*docs.columns)
+        out = out.mapInArrow(_search(sent, size, percent, docs.columns.index(text_col)), out.schema)
     return out
 
 

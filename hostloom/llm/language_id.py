@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import bounded_sample, fold
+from .scratch import narrow_batches
 from .shingles import chunks, text_buffers
 
 S, ORDER = 64, 3
@@ -129,11 +130,13 @@ def _has_letter(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _score(model):
+def _score(model, at_text: int, first: int):
+    """Rows of id, text and what is kept; the text may be one of the kept columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
+            data, offsets = text_buffers(batch.column(at_text))
             for at, to in chunks(offsets):
                 part, cuts = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
                 known = _has_letter(part, cuts) & bool(m.languages)
@@ -143,8 +146,8 @@ def _score(model):
                     best = bits.argmin(1)
                     pred[known] = np.array(m.languages, object)[best]
                     score[known] = 1 / np.exp2(-(bits - bits.min(1, keepdims=True))).sum(1)
-                kept = batch.slice(at, to - at).columns[2:]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(pred, pa.string()), pa.array(score), *kept], names=[*NAMES, *batch.schema.names[2:]])
+                kept = batch.slice(at, to - at).columns[first:]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(pred, pa.string()), pa.array(score), *kept], names=[*NAMES, *batch.schema.names[first:]])
 
     return run
 
@@ -167,10 +170,13 @@ def detect_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     letter is 'und' with score 0, as is every text if no language was learnt. Repeated rows repeat their
     result; an empty table gives an empty one.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep))
+    narrow_batches(docs.sparkSession)
+    kept = [F.col(f"`{c}`").alias(f"kept_{c}") for c in keep]
+    own = [] if text_col in keep else [F.col(text_col).cast("string").alias("text")]  # a text travels once
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *own, *kept)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # contexts of at most ORDER of S symbols: bounded
-    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:])
-    return rows.mapInArrow(_score(sent), f"doc_id long, lang_pred string, score double{more}")
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1 + len(own) :])
+    return rows.mapInArrow(_score(sent, 1 if own else 1 + list(keep).index(text_col), 1 + len(own)), f"doc_id long, lang_pred string, score double{more}")
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

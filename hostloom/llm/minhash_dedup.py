@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, narrow_batches
 from .shingles import distinct, mix, shingle_hashes, text_words
 
 #: Length of a signature; the first two tokens of each tree are its own, the rest serve deeper levels.
@@ -266,6 +266,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if percent < 80:
         raise ValueError("percent must be 80 or more")
+    narrow_batches(docs.sparkSession)
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -35,6 +35,13 @@ def _drop_all() -> None:
                 return
 
 
+def narrow_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Texts are wide rows: Arrow batches get fewer of them, unless the session has a number of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, rows)
+
+
 class Scratch:
     """A folder for one operator call. Tables in it survive lost executors."""
 

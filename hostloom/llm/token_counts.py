@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder, vocabulary_path
-from .scratch import Scratch
+from .scratch import Scratch, narrow_batches
 from .shingles import chunks, text_buffers
 
 #: Tokens of a block, and blocks of a run of the prefix scan's lower level.
@@ -134,6 +134,7 @@ def flatten(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     Whole texts are encoded, null as an empty text; strings of special tokens in a text are ordinary text, so
     the end-of-document id is only ever a separator.
     """
+    narrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     both = scratch.cut(rows.mapInArrow(_flatten(VOCABULARY, END_OF_DOCUMENT), "file string, block long, payload binary, ids array<long>, ordinal long"))
     named = both.filter("ids is not null").select("file", F.posexplode("ids").alias("k", "doc_id"), "ordinal")

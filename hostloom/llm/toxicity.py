@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import bounded_sample, fold
+from .scratch import narrow_batches
 from .shingles import chunks, text_buffers
 
 DECAY, SPAN, DIMENSIONS = 0.7, 6, 1 << 15
@@ -248,6 +249,7 @@ def toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     score of a bag without one. Without a model (no row of either label to learn from) all scores are 0.
     Repeated rows repeat their result; an empty table gives an empty one. Other columns are not read.
     """
+    narrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS weights
     return rows.mapInArrow(_score(sent), "doc_id long, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
