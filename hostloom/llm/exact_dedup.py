@@ -45,7 +45,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = scratch.cut(
         docs.select("id", text.alias("b")).select("id", F.octet_length("b").alias("len"), F.substring("b", 1, width).alias("digit"), F.unhex(F.sha2("b", 256)).alias("sha"))
     )
-    groups = first.groupBy("len", "digit").agg(F.min("id").alias("group"), F.count("*").alias("n")).filter("n > 1")
+    # counts are written before they are joined: rows and counts then meet in a shuffle of their own, whose hot keys are split
+    groups = scratch.cut(first.groupBy("len", "digit").agg(F.min("id").alias("group"), F.count("*").alias("n")).filter("n > 1"))
     joined = first.join(groups, ["len", "digit"])
     ended = [scratch.cut(joined.filter(F.col("len") <= width).select("id", "sha", "group", "n").dropDuplicates(["id", "sha"]))]
     alive = joined.filter(F.col("len") > width).select("id", "len", "digit", "sha", "group").dropDuplicates(["id", "sha"])
@@ -59,7 +60,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while not rest.isEmpty():
         width *= growth
         digits = rest.withColumns({"digit": F.substring("rest", 1, width), "rest": F.expr(f"substring(rest, {width + 1})")})
-        counted = digits.groupBy("group", "digit").agg(F.min("id").alias("next"), F.count("*").alias("n")).filter("n > 1")
+        counted = scratch.cut(digits.groupBy("group", "digit").agg(F.min("id").alias("next"), F.count("*").alias("n")).filter("n > 1"))
         after = scratch.cut(digits.join(counted, ["group", "digit"]).select("id", "sha", F.col("next").alias("group"), "n", "rest"))
         scratch.forget(rest)
         ended.append(after.filter(F.octet_length("rest") == 0).select("id", "sha", "group", "n").dropDuplicates(["id", "sha"]))
