@@ -19,14 +19,15 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written before the join, so that the rows of a hub meet it in a shuffle whose hot keys are split
+        least = lows = scratch.cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = scratch.cut(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = scratch.cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = scratch.cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         now = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        for old in (edges, large):
+        for old in (edges, large, lows, least):
             scratch.forget(old)
         edges = after
         if now == state or not now[0]:

@@ -279,7 +279,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = classes.select("id", "signature").mapInArrow(_roots, form)
     leaves, parts = [], "node long, id long, tokens binary, size long"
     for level in range(DEEPER + 1):
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+        sizes = scratch.cut(nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"))
         held = scratch.cut(nodes.join(sizes, "node").select("node", "id", "tokens", "size"))
         leaves.append(held.filter(F.col("size") <= NODE).select("node", "id", "tokens"))
         large = held.filter(F.col("size") > NODE)
