@@ -1,4 +1,4 @@
 """Imports all modules that register queries."""
 
-from . import classify_queries, column_queries, discovery_queries, graph_queries, quality_queries, relate_queries  # noqa: F401
+from . import classify_queries, column_queries, discovery_queries, graph_queries, quality_queries, relate_queries, resolve_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
