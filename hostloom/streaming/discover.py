@@ -11,10 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import discovery as D
 
 
-def events(spark: SparkSession, path: str) -> DataFrame:
-    """The events table as a stream of files, with its time as a time stamp."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+def events(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
+    """The events table in a folder as a stream of files, with its time as a time stamp."""
+    schema = spark.read.parquet(f"{folder}/{name}").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed(stream: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
