@@ -8,7 +8,6 @@ from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
-DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

@@ -1,8 +1,7 @@
 """Every registered query gives the rows of its SQL, and queries without SQL give rows of a stable schema."""
 
 import pytest
-from compare import same
-from conftest import DATA
+from compare import DATA, same
 
 from hostloom.plans.all_queries import QUERIES, SQL
 
