@@ -88,7 +88,7 @@ def special_frequencies(values: DataFrame) -> DataFrame:
 def _entropy(counted: DataFrame) -> DataFrame:
     total = F.sum("k").over(Window.partitionBy(*KEYS))
     p = F.col("k") / F.col("t")
-    return counted.withColumn("t", total).groupBy(*KEYS).agg((-F.sum(p * F.log2(p))).alias("entropy"))
+    return counted.withColumn("t", total).groupBy(*KEYS).agg(F.sum(p * F.log2(1 / p)).alias("entropy"))
 
 
 def grams(values: DataFrame, n: int, joined: str | None = "") -> DataFrame:
@@ -124,7 +124,7 @@ def value_frequencies(values: DataFrame) -> DataFrame:
     n, total, p = F.count("*"), F.sum("k"), F.col("k") / F.col("t")
     return ranked.groupBy(*KEYS).agg(
         F.max("k").alias("max"), F.min("k").alias("min"), F.avg("k").alias("mean"), F.stddev_pop("k").alias("std"), (F.sum(F.when(F.col("down") <= 10, F.col("k")).otherwise(0)) / total).alias("top10"),
-        (2 * F.sum(F.col("up") * F.col("k")) / (n * total) - (n + 1) / n).alias("gini"), (-F.sum(p * F.log2(p))).alias("entropy"), (n / total).alias("uniqueness"),
+        (2 * F.sum(F.col("up") * F.col("k")) / (n * total) - (n + 1) / n).alias("gini"), F.sum(p * F.log2(1 / p)).alias("entropy"), (n / total).alias("uniqueness"),
     )
 
 

@@ -94,7 +94,7 @@ def special(spark, sf):
 
 
 def _entropy(counted):
-    return f"SELECT {_K}, round(-sum(k / t * log2(k / t)), 9) AS entropy FROM (SELECT *, sum(k) OVER (PARTITION BY {_K}) AS t FROM ({counted})) GROUP BY 1, 2"
+    return f"SELECT {_K}, round(sum(k / t * log2(t / k)), 9) AS entropy FROM (SELECT *, sum(k) OVER (PARTITION BY {_K}) AS t FROM ({counted})) GROUP BY 1, 2"
 
 
 @query("c8_character_entropy", f"WITH {_VALUES} " + _entropy(f"SELECT {_K}, c, count(*) AS k FROM (SELECT {_K}, unnest(string_split(value, '')) AS c FROM v WHERE value <> '') GROUP BY 1, 2, 3"))
@@ -112,7 +112,7 @@ def bigram_entropy(spark, sf):
 
 
 @query("c9_c10_frequencies", f"""WITH {_VALUES}, counted AS (SELECT {_K}, value, count(*) AS k FROM v GROUP BY 1, 2, 3), ranked AS (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY k, value) AS up, row_number() OVER (PARTITION BY {_K} ORDER BY k DESC, value DESC) AS down, sum(k) OVER (PARTITION BY {_K}) AS t FROM counted)
-SELECT {_K}, max(k) AS max, min(k) AS min, {_r('avg(k)', 'mean')}, {_r('stddev_pop(k)', 'std')}, {_r('sum(CASE WHEN down <= 10 THEN k ELSE 0 END) / sum(k)', 'top10')}, {_r('2 * sum(up * k) / (count(*) * sum(k)) - (count(*) + 1) / count(*)', 'gini')}, {_r('-sum(k / t * log2(k / t))', 'entropy')}, {_r('count(*) / sum(k)', 'uniqueness')} FROM ranked GROUP BY 1, 2""")
+SELECT {_K}, max(k) AS max, min(k) AS min, {_r('avg(k)', 'mean')}, {_r('stddev_pop(k)', 'std')}, {_r('sum(CASE WHEN down <= 10 THEN k ELSE 0 END) / sum(k)', 'top10')}, {_r('2 * sum(up * k) / (count(*) * sum(k)) - (count(*) + 1) / count(*)', 'gini')}, {_r('sum(k / t * log2(t / k))', 'entropy')}, {_r('count(*) / sum(k)', 'uniqueness')} FROM ranked GROUP BY 1, 2""")
 def frequencies(spark, sf):
     return rounded(P.value_frequencies(values(spark, sf)), *P.KEYS, "max", "min")
 
