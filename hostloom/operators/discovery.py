@@ -102,3 +102,22 @@ def duplicate_groups(hosts: DataFrame) -> DataFrame:
     each = hosts.select("hostname", "quality_score", F.explode(keys).alias("key"))
     best = F.min(F.struct((-F.col("quality_score")).alias("q"), "hostname"))
     return each.groupBy("key").agg(F.count("*").alias("n"), best.alias("b")).filter("n > 1").select("key", F.col("b.hostname").alias("best"), "n")
+
+
+def merge_duplicates(hosts: DataFrame, components: DataFrame) -> DataFrame:
+    """One row for each group of hosts that share an address or base name, directly or over others: the host of the best
+    quality, its group's sources and tables together, the highest confidence and the number of hosts.
+
+    components: id, component over the links that duplicate_links gives.
+    """
+    rows = hosts.join(components.withColumnRenamed("id", "hostname"), "hostname")
+    best = F.min(F.struct((-F.col("quality_score")).alias("q"), "hostname", "environment", "application", "ip_address"))
+    merged = rows.groupBy("component").agg(best.alias("b"), F.count("*").alias("n_hosts"), F.sum("n_sources").alias("n_sources"), F.max("confidence").alias("confidence"))
+    return merged.select("b.hostname", "b.environment", "b.application", "b.ip_address", "n_hosts", "n_sources", "confidence")
+
+
+def duplicate_links(hosts: DataFrame) -> DataFrame:
+    """Edges source, target from each host to the best one of each of its groups."""
+    keys = F.array_compact(F.array(F.concat(F.lit("ip:"), "ip_address"), F.concat(F.lit("base:"), base_name(F.col("hostname")))))
+    each = hosts.select("hostname", F.explode(keys).alias("key"))
+    return each.join(duplicate_groups(hosts), "key").filter("hostname <> best").select(F.col("hostname").alias("source"), F.col("best").alias("target"))

@@ -241,3 +241,15 @@ def inclusion(a: DataFrame, b: DataFrame) -> DataFrame:
     a, b = a.distinct().toDF("v"), b.distinct().toDF("v")
     held = a.join(b, "v", "left_semi").agg(F.count("*").alias("shared"))
     return a.agg(F.count("*").alias("n")).crossJoin(held).select("n", "shared", (F.col("shared") / F.col("n")).alias("ratio"))  # two single rows
+
+
+def topics(docs: DataFrame, k: int = 16, vocabulary: int = 500, seed: int = 42) -> DataFrame:
+    """id, topics: shares of k topics of the words of each text, by latent Dirichlet allocation with a fixed seed."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.functions import vector_to_array
+
+    words = docs.select("id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\w+)")).alias("words"))
+    counts = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=vocabulary).fit(words).transform(words)
+    model = LDA(k=k, seed=seed, maxIter=5, featuresCol="counts").fit(counts)
+    return model.transform(counts).select("id", vector_to_array("topicDistribution").alias("topics"))

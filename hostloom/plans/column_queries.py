@@ -160,6 +160,11 @@ def top_words(spark, sf):
     return P.top_words(documents(spark, sf), 1000)
 
 
+@query("c17_topics")
+def topics(spark, sf):
+    return P.topics(P.serialised(values(spark, sf)).select(F.col("table_name").alias("id"), "text"))
+
+
 @query("c18_c20_hashed_embedding")
 def hashed_embedding(spark, sf):
     return catalog(spark, sf).select("table_name", "column_name", P.hashed_embedding(F.concat_ws(".", "table_name", "column_name")).alias("embedding"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import host as H
 from ..operators import discovery as D
+from ..operators import graph as G
 from ..sources.inventory import table
 from . import views as V
 from .registry import query
@@ -176,3 +177,21 @@ def duplicate_groups(spark, sf):
 def merged_sources(spark, sf):
     hosts = V.picked(spark, sf).groupBy("hostname").agg(F.count_distinct("table_name").alias("n_tables"), F.count("*").alias("n_rows"))
     return hosts.groupBy("n_tables").agg(F.count("*").alias("n_hosts"), F.sum("n_rows").alias("n_rows"))
+
+
+_LINKS = "links AS (SELECT DISTINCT a.hostname AS x, b.hostname AS y FROM keyed a JOIN keyed b USING (key))"
+_WALK = "walk(id, root) AS (SELECT hostname, hostname FROM hosts UNION SELECT l.y, w.root FROM walk w JOIN links l ON l.x = w.id WHERE w.root < l.y), member AS (SELECT id AS hostname, min(root) AS component FROM walk GROUP BY 1)"
+
+
+@query(
+    "d9_merged_hosts",
+    "WITH RECURSIVE " + ",\n".join((V.HOSTS_SQL, _KEYS, _LINKS, _WALK))
+    + """
+SELECT b.hostname, b.environment, b.application, b.ip_address, n_hosts, n_sources, confidence FROM (
+  SELECT arg_min({'hostname': hostname, 'environment': environment, 'application': application, 'ip_address': ip_address}, (-quality_score, hostname)) AS b, count(*) AS n_hosts, sum(n_sources)::BIGINT AS n_sources, max(confidence) AS confidence
+  FROM hosts JOIN member USING (hostname) GROUP BY component)""",
+)
+def merged_hosts(spark, sf):
+    hosts = V.hosts(spark, sf)
+    groups = G.components(hosts.select(F.col("hostname").alias("id")), D.duplicate_links(hosts))
+    return D.merge_duplicates(hosts, groups)
