@@ -31,7 +31,7 @@ from .shingles import chunks, text_buffers
 DECAY, SPAN, DIMENSIONS = 0.7, 6, 1 << 15
 #: Characters of a word that are taken at once; longer words are taken in windows that overlap by half.
 WIDTH = 24
-LANDMARKS, NEGATIVES, LOSS = 320, 6_000, 1e-5
+LANDMARKS, NEGATIVES, LOSS, COMMON = 320, 6_000, 1e-5, 100.0
 #: Distinct words whose scores a task keeps; it starts anew beyond that.
 KEPT = 600_000
 _SHAPES = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -168,8 +168,9 @@ def fit(texts: list[str], toxic: np.ndarray, importance: np.ndarray) -> Model |
     instances = positive + negative
     z = (kernel(instances, basis) @ root.astype(np.float32)).astype(np.float32)
     y = np.where(np.arange(len(instances)) < len(positive), 1.0, -1.0)
-    cost = np.array([known[w] for w in instances], float)  # a word that many texts have says more
-    cost *= np.where(y > 0, 0.5 / cost[y > 0].sum(), 0.5 / max(1e-9, cost[y < 0].sum()))
+    # a word that many texts have says more, on either side; very common clean ones are far off anyway
+    cost = np.minimum([known[w] for w in instances], COMMON)
+    cost *= 0.5 / cost[y > 0].sum()
     v, bias, total, of = np.zeros(z.shape[1], np.float32), 0.0, np.zeros(z.shape[1] + 1), 0
     cost = cost.astype(np.float32)
     for step in range(1, 2001):  # subgradients of the hinge loss, averaged over the second half
