@@ -12,8 +12,11 @@ characters of a word, and a word ends in a symbol that carries the mark.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import hashlib
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -28,6 +31,7 @@ from .scratch import narrow_batches
 from .shingles import chunks, text_buffers
 
 END = "</w>"
+LATIN = "\u024f"
 #: Chunks of text whose encodings a task keeps, and words that a worker keeps in each of two generations.
 KEPT, WORDS = 350_000, 200_000
 
@@ -67,18 +71,25 @@ class Encoder:
         self.special = added if special else {}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         steps = spec["pre_tokenizer"]["pretokenizers"]
-        self.words = regex.compile(steps[0]["pattern"]["Regex"])
+        pattern = steps[0]["pattern"]["Regex"]
+        self.words = regex.compile(pattern)
+        #: The same for lower-case ASCII, whose letters and numbers are these.
+        self.ascii_words = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace(r"\s", r" \t-\r")).findall
         self.bytes = byte_characters()
         #: By merged token: the rank of the merge that makes it, and its two sides.
         self.made = {a + b: (k, a, b) for (a, b), k in reversed(self.rank.items())}
         lengths: dict[str, set[int]] = {}
+        self.doubles: set[str] = set()
         for token in self.ids:
             body, mark = (token[: -len(END)], END) if token.endswith(END) and token != END else (token, "")
             if self.reached(token):
-                lengths.setdefault(body[-3:] + mark, set()).add(len(body))
-        #: By the last three symbols (or all, of a shorter token): lengths of the tokens that encode as themselves, longest first.
+                if len(body) > 2:
+                    lengths.setdefault(body[-3:] + mark, set()).add(len(body))
+                elif len(body) == 2:
+                    self.doubles.add(token)
+        #: By the last three symbols: lengths of the longer tokens that encode as themselves, longest first.
         self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
-        self.ascii = str.maketrans({b: c for b, c in enumerate(self.bytes[:128])})
+        self.of_byte = "".join(self.bytes)
         self.fits: dict[tuple[str, str], bool] = {}
         self.chunks: dict[str, tuple[bytes, str]] = {}
         self.known: dict[str, tuple[bytes, str]] = {}
@@ -135,11 +146,20 @@ class Encoder:
     def last_token(self, prefix: str, ended: bool, last: list[str]) -> str:
         """The last token of prefix, given those of all shorter prefixes (last[0] is the root's)."""
         n, mark = len(prefix), END if ended else ""
-        for tail in (3, 2, 1):
-            for length in self.lengths.get(prefix[-tail:] + mark, ()) if n >= tail else ():
-                token = prefix[n - length :] + mark if length <= n else ""
-                if token in self.ids and (length == n or self.compatible(last[n - length], token)):
-                    return token
+        fits = self.fits
+        for length in self.lengths.get(prefix[-3:] + mark, ()):
+            if length <= n:
+                token = prefix[n - length :] + mark
+                if token in self.ids:
+                    if length == n:
+                        return token
+                    left = last[n - length]
+                    fit = fits.get((left, token))
+                    if fit or fit is None and self.compatible(left, token):
+                        return token
+        token = prefix[-2:] + mark
+        if n > 1 and token in self.doubles and (n == 2 or self.compatible(last[n - 2], token)):
+            return token
         return prefix[-1:] + mark
 
     def reached(self, token: str) -> bool:
@@ -158,13 +178,12 @@ class Encoder:
                 last.append(self.last_token(word[:n], False, last))
             path = word[:-1]
             del last[len(path) + 1 :]
-            tokens, at, token = [], len(word), self.last_token(word, True, last)
-            while True:
-                tokens.append(token)
-                at -= len(token.removesuffix(END))
-                if not at:
-                    break
+            token = self.last_token(word, True, last)
+            tokens, at = [token], len(word) + len(END) - len(token)
+            while at:
                 token = last[at]
+                tokens.append(token)
+                at -= len(token)
             out[word] = tokens[::-1]
         return out
 
@@ -173,32 +192,43 @@ class Encoder:
         if chunk.isascii():
             if chunk.isalpha():
                 return [chunk.lower()]
-            return [w.translate(self.ascii) for w in self.words.findall(chunk.lower())]
+            found = self.ascii_words(chunk.lower())
+            return found if chunk.isprintable() else [w.translate(self.of_byte) for w in found]
         if not unicodedata.is_normalized("NFC", chunk):
             chunk = unicodedata.normalize("NFC", chunk)
-        lower = "".join(c.lower() for c in chunk)  # a character at a time: no rule for a final sigma
-        return ["".join(map(self.bytes.__getitem__, w.encode())) for w in self.words.findall(lower)]
+        # a character at a time where the rule for a final sigma would set in
+        lower = "".join(c.lower() for c in chunk) if "\u03a3" in chunk else chunk.lower()
+        found = self.words.findall(lower)
+        if max(lower) > LATIN and any(c > LATIN and unicodedata.category(c) == "Cn" for c in lower):
+            # the pattern library knows a newer Unicode, with letters that are unassigned here: it sees another character in their place
+            seen = "".join("\u0378" if unicodedata.category(c) == "Cn" else c for c in lower)
+            found = [lower[m.start() : m.end()] for m in self.words.finditer(seen)]
+        return [w.encode().decode("latin-1").translate(self.of_byte) for w in found]
 
     def learn(self, chunks: set[str]) -> None:
         """Encodes chunks of text that the cache doesn't have."""
         parts: list[tuple[str, list[str]]] = []
         new: set[str] = set()
+        pieces, special = self.pieces, self.special
         for chunk in chunks:
-            own: list[str] = []
-            for piece in self.split_special.split(chunk) if self.split_special and "<|" in chunk else (chunk,):
-                if piece in self.special:
-                    own.append(piece)
-                elif piece:
-                    own += self.pieces(piece)
+            if special and "<|" in chunk:
+                own: list[str] = []
+                for piece in self.split_special.split(chunk):
+                    if piece in special:
+                        own.append(piece)
+                    elif piece:
+                        own += pieces(piece)
+            else:
+                own = pieces(chunk)
             parts.append((chunk, own))
             new.update(own)
-        known = self.known
+        known, ids = self.known, self.ids
         new.difference_update(known)
         again = new.intersection(self.older)
         known.update((w, self.older[w]) for w in again)
         for word, tokens in self.encode_words(new - again).items():
-            ids = [self.ids[t] for t in tokens if t in self.ids]
-            known[word] = struct.pack(f"<{len(ids)}I", *ids), " ".join([self.tokens[i] for i in ids])
+            tokens = [t for t in tokens if t in ids]
+            known[word] = struct.pack(f"<{len(tokens)}I", *[ids[t] for t in tokens]), " ".join(tokens)
         for chunk, own in parts:
             if len(own) == 1:
                 self.chunks[chunk] = known[own[0]]
@@ -240,6 +270,16 @@ def encoder(path: str, special: bool = True) -> Encoder:
     return Encoder(path, special)
 
 
+@contextlib.contextmanager
+def uncollected() -> Iterator[None]:
+    """Caches hold millions of small objects without cycles; looking for cycles among them again and again costs a sixth of the time."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def decode(ids: list[int], path: str) -> str:
     """The text of ids; the vocabulary has no decoder, so tokens are joined by spaces."""
     known = encoder(path).tokens
@@ -249,17 +289,18 @@ def decode(ids: list[int], path: str) -> str:
 def _encode(name: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary_path(name))
-        for batch in batches:
-            for at, to in chunks(text_buffers(batch.column(0))[1], 1 << 22):
-                part = batch.slice(at, to - at)
-                rows = list(own.encode([t or "" for t in part.column(0).to_pylist()]))
-                raw = [r[0] for r in rows]
-                columns = [pa.array([len(r) // 4 for r in raw], pa.int64())]
-                if digests:
-                    columns += [pa.array([hashlib.sha256(r).hexdigest() for r in raw]), pa.array([hashlib.sha256(r[1].encode()).hexdigest() for r in rows])]
-                else:
-                    columns += [pa.array(raw, pa.binary()), pa.array([r[1] for r in rows], pa.string())]
-                yield pa.RecordBatch.from_arrays([*columns, *part.columns[1:]], names=["n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]), *part.schema.names[1:]])
+        with uncollected():
+            for batch in batches:
+                for at, to in chunks(text_buffers(batch.column(0))[1], 1 << 22):
+                    part = batch.slice(at, to - at)
+                    rows = list(own.encode([t or "" for t in part.column(0).to_pylist()]))
+                    raw = [r[0] for r in rows]
+                    columns = [pa.array([len(r) // 4 for r in raw], pa.int64())]
+                    if digests:
+                        columns += [pa.array([hashlib.sha256(r).hexdigest() for r in raw]), pa.array([hashlib.sha256(r[1].encode()).hexdigest() for r in rows])]
+                    else:
+                        columns += [pa.array(raw, pa.binary()), pa.array([r[1] for r in rows], pa.string())]
+                    yield pa.RecordBatch.from_arrays([*columns, *part.columns[1:]], names=["n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]), *part.schema.names[1:]])
         own.rest()
 
     return run

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder, vocabulary_path
+from .bpe import encoder, uncollected, vocabulary_path
 from .scratch import Scratch, narrow_batches
 from .shingles import chunks, text_buffers
 
@@ -111,7 +111,9 @@ def _flatten(name: str, separator: int):
         for batch in batches:
             for at, to in chunks(text_buffers(batch.column(1))[1], 1 << 22):
                 part = batch.slice(at, to - at)
-                for raw, _ in own.encode([t or "" for t in part.column(1).to_pylist()]):
+                with uncollected():
+                    encoded = [raw for raw, _ in own.encode([t or "" for t in part.column(1).to_pylist()])]
+                for raw in encoded:
                     held += [np.frombuffer(raw, "<u4").astype("<u2").tobytes(), end]
                     size += len(raw) // 2 + 2
                 yield row(None, None, part.column(0).to_pylist(), ordinal)

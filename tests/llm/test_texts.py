@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 from compare import DATA
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from cases import ROWS, words
 
@@ -77,6 +77,7 @@ def by_library(t, text):
 
 
 @settings(max_examples=300, deadline=None)
+@example(":\U0003d000 x\U000b0000y")
 @given(st.text(max_size=60) | st.text("abcdeinorst'ésß \n.,!?1#ΣİǅḰ", max_size=60))
 def test_bpe_is_that_of_the_library(text):
     from tokenizers import Tokenizer
