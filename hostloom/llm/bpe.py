@@ -58,6 +58,7 @@ class Encoder:
     """The tokenizer of a vocabulary file, without truncation, padding or special tokens being added."""
 
     def __init__(self, path: str, special: bool = True):
+        self.path, self.library, self.stand_ins = path, None, {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -200,11 +201,26 @@ class Encoder:
         lower = "".join(c.lower() for c in chunk) if "\u03a3" in chunk else chunk.lower()
         found = self.words.findall(lower)
         if max(lower) > LATIN and any(c > LATIN and unicodedata.category(c) == "Cn" for c in lower):
-            # the pattern library knows a newer Unicode, with letters that are unassigned here: it sees another character in their place
-            seen = "".join("\u0378" if unicodedata.category(c) == "Cn" else c for c in lower)
+            self.ask()
+            lower = self.library.normalizer.normalize_str(chunk)  # new letters may have a case
+            seen = "".join(self.stand_in(c) if unicodedata.category(c) == "Cn" else c for c in lower)
             found = [lower[m.start() : m.end()] for m in self.words.finditer(seen)]
         return [w.encode().decode("latin-1").translate(self.of_byte) for w in found]
 
+    def ask(self) -> None:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+
+    def stand_in(self, c: str) -> str:
+        """A character of the kind that the tokenizers library takes c for; the pattern library knows a newer Unicode, so
+        the two differ on characters that are new or not assigned. Asked once a character."""
+        if c not in self.stand_ins:
+            pieces = [len(self.library.pre_tokenizer.pre_tokenize_str(x + c)) for x in "a:"]
+            self.stand_ins[c] = {(1, 2): "\u0250", (2, 2): "\u00b2"}.get(tuple(pieces), "\u0378")
+        return self.stand_ins[c]
+
     def learn(self, chunks: set[str]) -> None:
         """Encodes chunks of text that the cache doesn't have."""
         parts: list[tuple[str, list[str]]] = []
