@@ -13,6 +13,7 @@ characters of a word, and a word ends in a symbol that carries the mark.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import hashlib
 import json
@@ -33,7 +34,7 @@ from .shingles import chunks, text_buffers
 END = "</w>"
 LATIN = "\u024f"
 #: Chunks of text whose encodings a task keeps, and words that a worker keeps in each of two generations.
-KEPT, WORDS = 350_000, 200_000
+KEPT, WORDS = 200_000, 120_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -262,6 +263,8 @@ class Encoder:
     def rest(self) -> None:
         """Lets go of what a task doesn't leave to the next one of its worker."""
         self.chunks = {}
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can, freed memory goes back to the system
+            ctypes.CDLL(None).malloc_trim(0)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """Of each text the ids, as little-endian unsigned 32-bit integers, and what they decode to."""
