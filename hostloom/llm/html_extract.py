@@ -5,8 +5,11 @@ data in its slots vary. Tokens are tags told by name, class and id. The occurren
 lists how often each page of its host has it; tokens that share a vector are an equivalence class.
 Vectors are compared by a fingerprint that is merged over pages, so no task sees a host's pages
 together. Classes whose tokens occur once a page, in enough of the host's pages, are valid; ordered by
-their mean place they nest into the host's template. The template's tokens cut a page into slots,
-and what the slots hold that belongs to no navigation, advert or other furniture is extracted.
+their mean place they nest into the host's template. The template's tokens cut a page into slots.
+A slot's text that most of the host's distinct pages hold alike belongs to the template and is dropped,
+whatever its elements are called; contents are compared by fingerprints. Of slots that vary, what
+belongs to no navigation, advert or other furniture is extracted: such parts may vary too, and hosts of
+few pages have nothing to compare.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ MAIN = {"article", "main"}
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Least share of a host's pages that a class of the template has, in percent.
 SHARE = 20
+#: A text in more than this share of the distinct pages that have a slot is the template's, in percent; distinct pages that tell.
+ALIKE, TELLING = 50, 4
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<broken>/?[a-zA-Z][^<>]*)\Z",
     re.DOTALL,
@@ -103,15 +108,58 @@ def templates(pages: DataFrame) -> DataFrame:
     return classes.filter(F.size("keys") > 1).groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("keys"))).alias("keys")).select("host", F.col("keys.key").alias("template"))
 
 
-def main_text(page: str, template: set[str]) -> str:
-    """The blocks of the slots that hold main text, joined by two line ends."""
-    slots: list[list] = []  # [in furniture, in main, parent, texts]
+def mark(texts: list[str]) -> int:
+    """Fingerprint of a slot's text; white space counts as between words only."""
+    return int.from_bytes(blake2b(" ".join(" ".join(texts).split()).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def contents(page: str, template: set[str]) -> dict[str, int]:
+    """Fingerprints of the page's slots, each told by the token of the template before it ('': none)."""
+    held: dict[str, list[str]] = {"": []}
+    slot = ""
+    for kind, name, _, key in tokens(page):
+        if kind == "text":
+            held[slot].append(unescape(name))
+        elif key in template:
+            slot = key
+            held.setdefault(slot, [])
+    return {k: mark(t) for k, t in held.items()}
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each page: host, digest of all its slots, and the slots with their fingerprints."""
+    kind = pa.list_(pa.struct([("slot", pa.string()), ("mark", pa.int64())]))
+    for batch in batches:
+        for at in range(0, len(batch), 64):
+            part = batch.slice(at, 64)
+            found = [contents(p or "", set(t)) for p, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+            digests = [blake2b(repr(list(f.items())).encode("utf-8", "surrogatepass"), digest_size=16).digest() for f in found]
+            slots = pa.array([[{"slot": k, "mark": m} for k, m in f.items()] for f in found], kind)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), slots], names=["host", "page", "slots"])
+
+
+def fixed_slots(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """pages: id, host, html; known: host, template. Rows host, fixed: slots with the fingerprint of the text that is the template's.
+
+    Pages of a host with equal texts in all slots count as one. More than half of the pages can agree on one text only.
+    """
+    found = pages.join(known, "host").select("host", "html", "template").mapInArrow(_contents, "host string, page binary, slots array<struct<slot: string, mark: long>>")
+    found = found.groupBy("host", "page").agg(F.first("slots").alias("slots")).select("host", F.explode("slots").alias("s"))
+    found = found.groupBy("host", "s.slot", "s.mark").agg(F.count("*").alias("n"))
+    slots = found.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "mark")).alias("top"))
+    slots = slots.filter((F.col("pages") >= TELLING) & (F.col("top.n") * 100 > F.col("pages") * ALIKE))
+    return slots.groupBy("host").agg(F.collect_list(F.struct("slot", F.col("top.mark").alias("mark"))).alias("fixed"))
+
+
+def main_text(page: str, template: set[str], fixed: dict[str, int] | None = None) -> str:
+    """The blocks of the slots that hold main text, joined by two line ends. fixed: fingerprints of slots' texts that are the template's."""
+    slots: list[list] = []  # [in furniture, in main, token of the template before it, texts]
     stack: list[tuple[str, bool, bool]] = []
-    fresh = True
+    fresh, last = True, ""
     for kind, name, odd, key in tokens(page):
         if kind == "text":
             if fresh:
-                slots.append([any(s[1] for s in stack), any(s[2] for s in stack), len(stack), []])
+                slots.append([any(s[1] for s in stack), any(s[2] for s in stack), last, []])
                 fresh = False
             slots[-1][3].append(unescape(name))
             continue
@@ -133,12 +181,20 @@ def main_text(page: str, template: set[str]) -> str:
                     fresh |= any(s[1] or s[2] for s in stack[k:])
                     del stack[k:]
                     break
+        if key in template:
+            last = key
         if odd or name in MAIN or key in template:
             fresh = True  # a slot begins after each token of the template, and where furniture or main text begins or ends
         if slots and (name in BLOCKS):
             slots[-1][3].append(None)
         elif slots and name == "br":
             slots[-1][3].append(" ")
+    if fixed:
+        whole: dict[str, list[str]] = {}
+        for s in slots:
+            whole.setdefault(s[2], []).extend(t for t in s[3] if t and t != " ")
+        same = {k for k, t in whole.items() if k in fixed and fixed[k] == mark(t)}
+        slots = [s for s in slots if s[2] not in same]
     held = [s for s in slots if not s[0] and any(t and not t.isspace() for t in s[3])]
     if any(s[1] for s in held):
         held = [s for s in held if s[1]]
@@ -158,26 +214,30 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(batch), 64):
             part = batch.slice(at, 64)
             known = [set(t or ()) for t in part.column(3).to_pylist()]
-            text = [main_text(p or "", t) for p, t in zip(part.column(2).to_pylist(), known, strict=True)]
+            fixed = [{s["slot"]: s["mark"] for s in f or ()} for f in part.column(4).to_pylist()]
+            text = [main_text(p or "", t, f) for p, t, f in zip(part.column(2).to_pylist(), known, fixed, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row of pages: page_id, url, text, n_chars.
 
-    Text lies in article or main elements if a page has them with text, else in all slots outside of
-    furniture. Character references are decoded, white space inside a block becomes one space, blocks are
+    A text that more than half of a host's distinct pages have in the same slot of its template is not extracted,
+    if at least TELLING distinct pages have the slot. Of the rest, text lies in article or main elements if a page
+    has them with text, else in all slots outside of furniture. Character references are decoded, white space inside a block becomes one space, blocks are
     trimmed and joined by two line ends. A null or empty page has the text ''. A null URL has the host '',
-    which makes such pages one site. Repeated rows count as further pages of their host; an empty table
-    gives an empty result. Other columns are not read.
+    which makes such pages one site. Repeated rows count as further pages of their host for its template's tokens, and
+    as one page for its texts; an empty table gives an empty result. Other columns are not read.
     """
     narrow_batches(pages.sparkSession)
     host, _ = parts(F.col(url_col).cast("string"))
     pages = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
     # written first: Spark then knows their size and sends them to the pages if they are few, else pages and templates meet
     # in a shuffle of their own, whose hot hosts are split
-    known = Scratch(pages.sparkSession).cut(templates(pages))
-    made = pages.join(known, "host", "left").select("id", "url", "html", "template")
+    scratch = Scratch(pages.sparkSession)
+    known = scratch.cut(templates(pages))
+    known = scratch.cut(known.join(fixed_slots(pages, known), "host", "left"))
+    made = pages.join(known, "host", "left").select("id", "url", "html", "template", "fixed")
     return made.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 

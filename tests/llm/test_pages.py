@@ -82,6 +82,23 @@ def test_html_cases(spark):
     assert {"nav", "article", "body"} <= set(keys.template)
 
 
+def test_html_template_decides(spark):
+    page = "<html><body><div class=top>Welcome to <b>our</b> site</div><div class=what>%s</div><div class=end>Imprint%s</div></body></html>"
+    rows = [(k, f"http://many/{k}", page % (f"text {k}", " of old" if k == 5 else "")) for k in range(6)]
+    rows += [(10 + k, f"http://few/{k}", page % (f"text {k}", "")) for k in range(3)]
+    rows += [(20 + k, f"http://copies/{k}", page % ("all the same", "")) for k in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(5)] == [f"text {k}" for k in range(5)] and got[5] == "text 5\n\nImprint of old"
+    assert [got[10 + k] for k in range(3)] == [f"Welcome to our site\n\ntext {k}\n\nImprint" for k in range(3)]
+    assert {got[20 + k] for k in range(8)} == {"Welcome to our site\n\nall the same\n\nImprint"}
+
+
+def test_html_slots_of_both_passes_have_the_same_fingerprints():
+    template = {"body", "div a", "/div", "/body"}
+    for page in ("x<body>1 <div class=a>b&nbsp;<p>c<br>d<nav> e</nav></div> f <i>g</i></body>", "<body><div class=a><article>t</article>u</div></body>"):
+        assert html_extract.main_text(page, template) != "" == html_extract.main_text(page, template, html_extract.contents(page, template))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
     from test_dedup import linked, shingles
