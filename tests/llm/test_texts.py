@@ -241,6 +241,25 @@ def test_language_model_is_a_distribution(spark):
     assert 0 < sum(10**s for s in known) < 1 and all(s < 0 for s in ends)
 
 
+def test_language_model_weights_grow_with_the_corpus(spark, monkeypatch):
+    for name, value in (("ROWS", 4), ("WORDS_A_ROW", 8), ("BIGRAMS_A_ROW", 16)):
+        monkeypatch.setattr(lm_score, name, value, raising=False)
+    for n, rows in ((40, (8, 4)), (4000, (512, 256))):  # and the end: n + 1 words, n + 1 bigrams
+        docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k, n, 4))) for k in range(4)], "doc_id long, text string")
+        model, _ = lm_score.train(docs, Scratch(spark))
+        assert model.sizes == rows and len(model.weights) == 2 * rows[0] + rows[1] + 1
+        assert np.count_nonzero(model.weights.any(1)) > len(model.weights) / 2
+
+
+def test_language_model_counts_distinct_bigrams():
+    registers = np.zeros(lm_score.REGISTERS, np.int64)
+    for n in (100, 20_000, 1_000_000):
+        for _ in range(2):
+            lm_score._register(registers, lm_score.mix(np.arange(n, dtype=np.uint64)))
+        assert abs(lm_score.distinct_of(registers) / n - 1) < 0.05
+    assert lm_score.table_sizes(0, 0) == (1 << 14, 1 << 14) and lm_score.table_sizes(1 << 27, 1 << 32) == (1 << 20, 1 << 20)
+
+
 def test_language_model_rare_words_by_join(spark, monkeypatch, docs, empty):
     whole = {}
     for head in (1 << 20, 0):
