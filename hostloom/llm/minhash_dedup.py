@@ -213,7 +213,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
         return out
     column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]]))
     width = 4096
-    cuts = np.searchsorted(column, np.arange(0, column[-1] + width, width))
+    cuts = np.searchsorted(column, np.arange(0, column[-1] + 1 + width, width))
     for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         part = np.zeros((len(sets), width), np.float32)
         part[row[a:b], column[a:b] - k * width] = 1

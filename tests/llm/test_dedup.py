@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 from compare import DATA
 from cases import ROWS, SPACE, words
 
@@ -74,6 +75,15 @@ def test_large_nodes_branch_and_are_tiled(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == linked(rows, 3, 85)
 
 
+def test_common_counts_the_last_column_too():
+    from hostloom.llm.minhash_dedup import _common
+
+    for n in (1, 4095, 4096, 4097, 8193):
+        both = np.arange(n, dtype=np.uint64)
+        sets = [both, np.append(both, np.uint64(10**6)), np.array([n - 1, 10**7], np.uint64)]
+        assert _common(sets)[0, 1] == n and _common(sets)[1, 2] == 1
+
+
 def test_near_dedup_cases(docs, empty):
     got = sorted((r.doc_id or 0, r.component_id, r.n_shingles, r.kept) for r in near_dedup(docs).collect())
     assert len(got) == len(ROWS)
