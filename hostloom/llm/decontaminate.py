@@ -47,7 +47,7 @@ def prepare(ids: list, texts: list, size: int) -> Items:
         if len(tokens):
             kept_ids.append(i)
             sets.append(tokens)
-    of = np.array([max(8, 1 << int(len(x) - 1).bit_length()) for x in sets], int)
+    of = np.array([1 << int(len(x) - 1).bit_length() for x in sets], int)
     classes = []
     for s in sorted(set(of.tolist())):
         own, tables = np.flatnonzero(of == s), []

@@ -212,6 +212,17 @@ def test_toxicity_cases(spark, docs, empty):
 # LM scoring
 
 
+def test_items_of_five_words_are_found():
+    rng = np.random.default_rng(4)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    texts = [word(5) for _ in range(2000)]
+    items = decontaminate.prepare(list(range(2000)), [" ".join(t) for t in texts], 5)
+    parts = [decontaminate.shingle_hashes(w, 5) for _, w in decontaminate._words(list(range(2000)), [" ".join([*word(20), *t, *word(20)]) for t in texts])]
+    cuts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    found = decontaminate.candidates(np.concatenate(parts), cuts, items)
+    assert np.isin(np.arange(2000) * 2001, found).all()
+
+
 def test_language_model_query(spark):
     rows = lm_score.op10_lm_score(spark, LARGER).collect()
     docs = {r.doc_id: r.text for r in table(spark, "documents", LARGER).collect()}
