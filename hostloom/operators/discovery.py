@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import host as H
 
-ATTRIBUTES = ["owner", "os_type", "cpu_cores", "memory_gb", "last_seen"]
+ATTRIBUTES = ["owner", "os_type", "cpu_cores", "memory_gb", "last_seen", "status"]
 
 
 def column_confidence(name: Column, category: str, potential: Column | None = None, likelihood: Column | None = None) -> Column:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, forget
 
-#: Vertices up to which the measures that need a whole graph in one task are given.
-GUARD = 1000
+#: Edges and vertices up to which a graph is handled as arrays within a task; parts that a component is ordered in.
+SMALL, SALTS = 1 << 20, 64
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -45,8 +48,10 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         low = sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = cut(sym.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        e = cut(large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        after = cut(large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct())
+        now = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        forget(e, large)
+        e = after
         if now == last or not now[0]:
             break
         last = now
@@ -71,18 +76,40 @@ def degree(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select("id").join(d, "id", "left").crossJoin(n).select("id", F.coalesce("degree", F.lit(0)).alias("degree"), (F.coalesce("degree", F.lit(0)) / (F.col("n") - 1)).alias("centrality"))
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int = 20, alpha: float = 0.85, every: int = 5) -> DataFrame:
-    """Power iteration with dangling mass spread evenly; parallel edges add up. The lineage is cut every few rounds."""
-    edges, vertices = cut(edges.select("source", "target")), cut(vertices.select("id"))
+def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int = 200, alpha: float = 0.85, tolerance: float = 1e-10) -> DataFrame:
+    """id, rank: power iteration until the ranks change by less than tolerance in sum, or for rounds; parallel edges add
+    up, dangling mass is spread evenly. A graph of up to SMALL edges is iterated as arrays in one task, a larger one by
+    one join and one aggregation a round, with the lineage cut and the mass taken in the same pass."""
+    vertices, edges = cut(vertices.select("id").distinct()), cut(edges.select("source", "target"))
+    if edges.limit(SMALL + 1).count() <= SMALL and vertices.limit(SMALL + 1).count() <= SMALL:
+
+        def run(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+            n, out = len(ids), np.bincount(a, minlength=len(ids))
+            rank = np.full(n, 1 / max(n, 1))
+            for _ in range(rounds):
+                got = np.bincount(b, rank[a] / out[a], n)
+                after = alpha * (got + rank[out == 0].sum() / n) + (1 - alpha) / n
+                rank, change = after, np.abs(after - rank).sum()
+                if change < tolerance:
+                    break
+            return {"id": ids, "rank": rank}
+
+        return _whole(vertices, edges, run, "id string, rank double", distinct=False)
     out = edges.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("out"))
-    n = vertices.agg(F.count("*").alias("n"))
-    state = vertices.select("id").join(out, "id", "left").crossJoin(n).select("id", "out", "n", (1 / F.col("n")).alias("rank"))
-    for k in range(rounds):
+    n = vertices.count()
+    state = cut(vertices.join(out, "id", "left").withColumn("rank", F.lit(1 / n)))
+    lost = state.filter("out is null").agg(F.sum("rank")).first()[0] or 0.0
+    for _ in range(rounds):
         sent = edges.join(state.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        lost = state.filter("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))  # one row
-        state = state.join(sent, "id", "left").crossJoin(lost).select("id", "out", "n", (alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n")) + (1 - alpha) / F.col("n")).alias("rank"))
-        if (k + 1) % every == 0 and k + 1 < rounds:
-            state = cut(state)
+        rank = alpha * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n)) + (1 - alpha) / n
+        after = cut(state.withColumnRenamed("rank", "old").join(sent, "id", "left").select("id", "out", "old", rank.alias("rank")))
+        change, lost = after.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.sum(F.when(F.col("out").isNull(), F.col("rank")))).first()
+        lost = lost or 0.0
+        forget(state)
+        state = after.select("id", "out", "rank")
+        state._hostloom_path = after._hostloom_path
+        if change < tolerance:
+            break
     return state.select("id", "rank")
 
 
@@ -107,27 +134,51 @@ def neighbours(edges: DataFrame, node: str) -> DataFrame:
     return up.union(edges.filter(F.col("source") == node).select(F.lit("downstream"), F.col("target"), "type", "confidence"))
 
 
-def impact(edges: DataFrame, node: str, membership: DataFrame) -> DataFrame:
-    """One row: direct neighbours, everything downstream, and the communities that are hit."""
-    edges = cut(edges)
-    down = reach(edges, node)
+def impact(edges: DataFrame, node: str, membership: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """One row: direct neighbours, everything downstream, the communities that are hit, and how many critical paths
+    (rows start, end, path) hold the node or something downstream of it."""
+    down = cut(reach(edges, node))
     hit = down.join(membership, "id").agg(F.count_distinct("component").alias("communities"))
     direct = neighbours(edges, node).agg(F.count_distinct("id").alias("neighbours"))
-    return direct.crossJoin(down.agg(F.count("*").alias("downstream"))).crossJoin(hit)  # single rows
-
-
-def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
-    """One row path, length; no row if end can't be reached. Frontier joins that keep one path a vertex."""
+    one = direct.crossJoin(down.agg(F.count("*").alias("downstream"))).crossJoin(hit)  # single rows
+    if paths is None:
+        return one
+    on = paths.select("start", "end", F.explode("path").alias("id"))
+    hurt = on.join(down.select("id").union(edges.sparkSession.createDataFrame([(node,)], "id string")), "id", "left_semi").select("start", "end").distinct()
+    return one.crossJoin(hurt.agg(F.count("*").alias("critical_paths")))
+
+
+def shortest_paths(edges: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Rows start, end, path, length: for each pair the shortest path, the first by names of equally long ones; no row if
+    end can't be reached. All starts go on together, by frontier joins that keep one path for each start and vertex."""
+    spark = edges.sparkSession
     e = cut(edges.select("source", "target").distinct())
-    seen = edges.sparkSession.createDataFrame([(start, [start])], "id string, path array<string>")
-    frontier = seen
-    while seen.filter(F.col("id") == end).isEmpty():
-        found = e.join(frontier.select(F.col("id").alias("source"), "path"), "source").groupBy(F.col("target").alias("id")).agg(F.min(F.concat("path", F.array("target"))).alias("path"))
-        frontier = cut(found.join(seen, "id", "left_anti"))
+    seen = spark.createDataFrame([(s, s, [s]) for s in sorted({s for s, _ in pairs})], "start string, id string, path array<string>")
+    wanted = F.broadcast(spark.createDataFrame(pairs, "start string, end string").distinct())  # a stated list
+    parts, frontier = [seen], seen
+    while True:
+        open_ = wanted.join(seen.select("start", F.col("id").alias("end")), ["start", "end"], "left_anti").select("start").distinct()
+        found = e.join(frontier.join(open_, "start", "left_semi").withColumnRenamed("id", "source"), "source").groupBy("start", F.col("target").alias("id")).agg(F.min(F.concat("path", F.array("target"))).alias("path"))
+        frontier = cut(found.join(seen.select("start", "id"), ["start", "id"], "left_anti"))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen.filter(F.col("id") == end).select("path", (F.size("path") - 1).alias("length"))
+        parts.append(frontier)
+        seen = reduce(lambda a, b: a.unionByName(b), parts)
+    return wanted.join(seen.withColumnRenamed("id", "end"), ["start", "end"]).select("start", "end", "path", (F.size("path") - 1).alias("length"))
+
+
+def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
+    """One row path, length; no row if end can't be reached."""
+    return shortest_paths(edges, [(start, end)]).select("path", "length")
+
+
+def critical_paths(edges: DataFrame, critical: list[str]) -> DataFrame:
+    """Shortest paths of more than two vertices between critical ones: from each of the first five to those that
+    follow it, up to the sixth."""
+    pairs = [(a, b) for k, a in enumerate(critical[:5]) for b in critical[k + 1 : 6]]
+    if not pairs:
+        return edges.sparkSession.createDataFrame([], "start string, end string, path array<string>, length int")
+    return shortest_paths(edges, pairs).filter("length > 1")
 
 
 def communities(membership: DataFrame, edges: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -136,100 +187,129 @@ def communities(membership: DataFrame, edges: DataFrame, hosts: DataFrame) -> Da
     inside = edges.join(membership.withColumnRenamed("id", "source"), "source").groupBy("component").agg(F.count("*").alias("internal"))
     common = membership.join(hosts.select(F.col("hostname").alias("id"), "environment"), "id").groupBy("component", "environment").agg(F.count("*").alias("k"))
     common = common.groupBy("component").agg(F.min_by("environment", F.struct(-F.col("k"), "environment")).alias("environment"))
-    rank = F.row_number().over(Window.partitionBy("component").orderBy("id"))
-    members = membership.withColumn("rn", rank).filter("rn <= 20").groupBy("component").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("members"))
+    # the twenty smallest of each salted part, then of the component: no task orders a whole component
+    few = membership.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    for keys in (["component", "salt"], ["component"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
+        few = few.withColumn("rn", rank).filter("rn <= 20")
+    members = few.groupBy("component").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("members"))
     rows = size.join(inside, "component", "left").join(common, "component", "left").join(members, "component")
     internal = F.coalesce("internal", F.lit(0))
     return rows.select("component", "size", internal.alias("internal"), F.when(F.col("size") > 1, internal / (F.col("size") * (F.col("size") - 1))).otherwise(0.0).alias("density"), "environment", "members")
 
 
-def _whole(vertices: DataFrame, edges: DataFrame, f, schema: str) -> DataFrame:
-    """f on a whole graph of under GUARD vertices in one task; no rows for a larger one."""
-    vertices, edges = cut(vertices), cut(edges)
-    n = vertices.limit(GUARD).count()
-    spark = vertices.sparkSession
-    if n >= GUARD:
+def _whole(vertices: DataFrame, edges: DataFrame, f: Callable[..., dict[str, np.ndarray]], schema: str, distinct: bool = True) -> DataFrame:
+    """f on the arrays of a graph, its ids in order and the places of its edges' ends among them, in one task.
+    Callers have checked the graph's size."""
+    ends = edges.select("source", "target").filter("source <> target").distinct() if distinct else edges.select("source", "target")
+    rows = vertices.select(F.col("id").alias("a"), F.lit(None).cast("string").alias("b")).union(ends)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        ids = np.sort(g.a[g.b.isna()].unique().astype(str))
+        pairs = g[g.b.notna()]
+        a, b = (np.searchsorted(ids, pairs[c].to_numpy().astype(str)) for c in "ab") if len(pairs) else (np.zeros(0, int), np.zeros(0, int))
+        if len(pairs):
+            known = (ids[a.clip(max=len(ids) - 1)] == pairs.a.to_numpy().astype(str)) & (ids[b.clip(max=len(ids) - 1)] == pairs.b.to_numpy().astype(str)) if len(ids) else np.zeros(len(pairs), bool)
+            a, b = a[known], b[known]
+        return pd.DataFrame(f(ids, a, b))
+
+    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda g: run(g[["a", "b"]]), schema)
+
+
+def _levels(starts: np.ndarray, to: np.ndarray, n: int, source: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Breadth-first search: hops of all vertices (-1: out of reach), numbers of shortest paths, and each level's edges on them."""
+    hops, paths, steps = np.full(n, -1), np.zeros(n), []
+    hops[source], paths[source] = 0, 1
+    front = np.array([source])
+    while len(front):
+        count = starts[front + 1] - starts[front]
+        a = np.repeat(front, count)
+        b = to[np.arange(count.sum()) + np.repeat(starts[front] - np.cumsum(count) + count, count)]
+        level = hops[front[0]] + 1
+        new = hops[b] == -1
+        hops[b[new]] = level
+        a, b = a[hops[b] == level], b[hops[b] == level]
+        np.add.at(paths, b, paths[a])
+        steps.append((a, b))
+        front = np.unique(b)
+    return hops, paths, steps
+
+
+def _from_all(vertices: DataFrame, edges: DataFrame, per_source: Callable, column: str, scale: Callable[[int], float]) -> DataFrame:
+    """id and a figure that per_source(levels of a source) adds up over all sources. The sources are dealt over tasks, each with
+    the whole graph; no rows for a graph of more than SMALL edges or vertices, whose n searches no cluster would end."""
+    vertices, edges = cut(vertices.select("id").distinct()), cut(edges.select("source", "target").filter("source <> target").distinct())
+    spark, schema = vertices.sparkSession, f"id string, {column} double"
+    if vertices.limit(SMALL + 1).count() > SMALL or edges.limit(SMALL + 1).count() > SMALL:
         return spark.createDataFrame([], schema)
-    rows = vertices.select(F.col("id").alias("a"), F.lit(None).cast("string").alias("b")).union(edges.select("source", "target").distinct())
-    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda g: f(g[["a", "b"]]), schema)  # bounded by the guard
+    ids = np.array(sorted(r[0] for r in vertices.toLocalIterator()))
+    place = {v: k for k, v in enumerate(ids)}
+    ends = np.array([(place[a], place[b]) for a, b in edges.toLocalIterator() if a in place and b in place], np.int64).reshape(-1, 2)
+    ends = ends[np.argsort(ends[:, 0], kind="stable")]
+    starts = np.searchsorted(ends[:, 0], np.arange(len(ids) + 1))
+    sent = spark.sparkContext.broadcast((starts, ends[:, 1].copy(), len(ids)))  # SMALL edges at most
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        starts, to, n = sent.value
+        total = np.zeros(n)
+        for batch in batches:
+            for source in batch.place:
+                per_source(total, source, *_levels(starts, to, n, source))
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"place": some, "part": total[some]})
+
+    tasks = min(max(len(ids) // 64, 1), 4 * spark.sparkContext.defaultParallelism)
+    sums = spark.range(0, len(ids), 1, tasks).select(F.col("id").alias("place")).mapInPandas(run, "place long, part double").groupBy("place").agg(F.sum("part").alias("part"))
+    named = spark.createDataFrame(pd.DataFrame({"place": np.arange(len(ids)), "id": ids})) if len(ids) else spark.createDataFrame([], "place long, id string")
+    return named.join(sums, "place", "left").select("id", (F.coalesce("part", F.lit(0.0)) * scale(len(ids))).alias(column))
 
 
-def _graph(rows: pd.DataFrame, directed: bool) -> tuple[list[str], dict[str, list[str]]]:
-    ids = sorted(rows[rows.b.isna()].a)
-    known, out = set(ids), defaultdict(set)
-    for a, b in rows[rows.b.notna()].itertuples(index=False):
-        if a in known and b in known and a != b:
-            out[a].add(b)
-            if not directed:
-                out[b].add(a)
-    return ids, {k: sorted(v) for k, v in out.items()}
+def betweenness(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Share of shortest paths through each vertex; dependencies are summed from each source."""
 
+    def add(total, source, hops, paths, steps):
+        owed = np.zeros(len(paths))
+        for a, b in reversed(steps):
+            np.add.at(owed, a, paths[a] / paths[b] * (1 + owed[b]))
+        owed[source] = 0
+        total += owed
 
-def betweenness(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Share of shortest paths through each vertex, for a graph of under GUARD vertices (dependencies summed from each source)."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, out = _graph(rows, True)
-        score = dict.fromkeys(ids, 0.0)
-        for s in ids:
-            paths, level, order, before = {s: 1}, {s: 0}, [], defaultdict(list)
-            queue = deque([s])
-            while queue:
-                v = queue.popleft()
-                order.append(v)
-                for w in out.get(v, ()):
-                    if w not in level:
-                        level[w] = level[v] + 1
-                        queue.append(w)
-                    if level[w] == level[v] + 1:
-                        paths[w] = paths.get(w, 0) + paths[v]
-                        before[w].append(v)
-            owed = dict.fromkeys(order, 0.0)
-            for w in reversed(order):
-                for v in before[w]:
-                    owed[v] += paths[v] / paths[w] * (1 + owed[w])
-                if w != s:
-                    score[w] += owed[w]
-        n = len(ids)
-        scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-        return pd.DataFrame({"id": ids, "betweenness": [score[i] * scale for i in ids]})
-
-    return _whole(vertices, edges, run, "id string, betweenness double")
+    return _from_all(vertices, edges, add, "betweenness", lambda n: 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0)
 
 
 def closeness(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """By distances towards each vertex, scaled by the share of vertices that reach it."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, out = _graph(rows.assign(a=rows.b.where(rows.b.notna(), rows.a), b=rows.a.where(rows.b.notna())), True)
-        found = []
-        for s in ids:
-            level, queue = {s: 0}, deque([s])
-            while queue:
-                v = queue.popleft()
-                for w in out.get(v, ()):
-                    if w not in level:
-                        level[w] = level[v] + 1
-                        queue.append(w)
-            total, r = sum(level.values()), len(level) - 1
-            found.append(r / total * r / (len(ids) - 1) if total and len(ids) > 1 else 0.0)
-        return pd.DataFrame({"id": ids, "closeness": found})
-
-    return _whole(vertices, edges, run, "id string, closeness double")
+    """By distances towards each vertex, scaled by the share of vertices that reach it. No rows unless the graph is weakly
+    connected: there is nothing to compare vertices by whose worlds differ."""
+    vertices, edges = cut(vertices.select("id").distinct()), cut(edges.select("source", "target"))
+    if components(vertices, edges).select("component").distinct().limit(2).count() != 1:
+        return vertices.sparkSession.createDataFrame([], "id string, closeness double")
 
+    def add(total, source, hops, paths, steps):
+        far, r = hops[hops > 0].sum(), np.count_nonzero(hops > 0)
+        total[source] = r / far * r / (len(hops) - 1) if far else 0.0
 
-def articulation_points(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Vertices whose loss would part their component, for a graph of under GUARD vertices."""
+    return _from_all(vertices, edges.select(F.col("target").alias("source"), F.col("source").alias("target")), add, "closeness", lambda n: 1.0)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, near = _graph(rows, False)
+
+def articulation_points(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Vertices whose loss would part their component: one depth-first search over a graph of up to SMALL edges, no rows
+    for a larger one."""
+    vertices, edges = cut(vertices.select("id").distinct()), cut(edges.select("source", "target"))
+    if vertices.limit(SMALL + 1).count() > SMALL or edges.limit(SMALL + 1).count() > SMALL:
+        return vertices.sparkSession.createDataFrame([], "id string")
+
+    def run(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+        near = defaultdict(set)
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            near[x].add(y)
+            near[y].add(x)
         seen, low, found, clock = {}, {}, set(), 0
-        for root in ids:
+        for root in range(len(ids)):
             if root in seen:
                 continue
             seen[root] = low[root] = clock
             clock += 1
-            stack, branches = [(root, None, iter(near.get(root, ())))], 0
+            stack, branches = [(root, None, iter(near[root]))], 0
             while stack:
                 v, parent, rest = stack[-1]
                 w = next(rest, None)
@@ -245,19 +325,18 @@ def articulation_points(vertices: DataFrame, edges: DataFrame) -> DataFrame:
                 elif w not in seen:
                     seen[w] = low[w] = clock
                     clock += 1
-                    stack.append((w, v, iter(near.get(w, ()))))
+                    stack.append((w, v, iter(near[w])))
                 elif w != parent:
                     low[v] = min(low[v], seen[w])
             if branches > 1:
                 found.add(root)
-        return pd.DataFrame({"id": sorted(found)})
+        return {"id": ids[sorted(found)]}
 
     return _whole(vertices, edges, run, "id string")
 
 
 def critical_nodes(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Vertices whose degree, betweenness and rank add up to more than a half, twenty at most by name."""
-    vertices, edges = cut(vertices), cut(edges)
     rows = degree(vertices, edges).join(betweenness(vertices, edges), "id", "left").join(pagerank(vertices, edges), "id")
     score = F.col("centrality") + F.coalesce("betweenness", F.lit(0.0)) + F.col("rank")
     return rows.select("id", score.alias("score")).filter("score > 0.5").orderBy("id").limit(20)

@@ -1,4 +1,5 @@
-"""Relationships between hosts, each family an equi-join; groups over the size bound are filtered before the join."""
+"""Relationships between hosts. Families of bounded groups are equi-joins, with groups over the bound filtered before;
+families without a bound are given by classes, whose members are all linked."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import host as H
 from . import classify as C
+from .lineage import cut
 
 EDGE = ["source", "target", "type", "confidence", "via_attribute"]
 
@@ -21,16 +23,30 @@ def sized(rows: DataFrame, key: str, least: int, most: int) -> DataFrame:
 
 
 def same_place(hosts: DataFrame) -> DataFrame:
-    """Pairs with the same environment (and application), else with the same datacenter."""
-    b = hosts.select(*(F.col(c).alias(f"{c}_b") for c in ("hostname", "environment", "application", "datacenter")))
-    a = hosts.select("hostname", "environment", "application", "datacenter")
-    env = (F.col("environment") == F.col("environment_b")) & (F.col("environment") != "unknown")
-    app = F.col("application").eqNullSafe(F.col("application_b")) & ~F.col("application").eqNullSafe(F.lit("unknown"))
-    before = F.col("hostname") < F.col("hostname_b")
-    by_env = a.join(b, env & before).select("hostname", "hostname_b", F.when(app, "same_application").otherwise("same_environment").alias("type"), F.when(app, 0.9).otherwise(0.6).alias("confidence"))
-    dc = (F.col("datacenter") == F.col("datacenter_b")) & (F.col("datacenter") != "unknown")
-    by_dc = a.join(b, dc & before & ~F.coalesce(env, F.lit(False))).select("hostname", "hostname_b", F.lit("same_datacenter").alias("type"), F.lit(0.5).alias("confidence"))
-    return by_env.unionByName(by_dc).toDF("source", "target", "type", "confidence")
+    """Per host: its class of one environment and of one datacenter, told by their smallest hosts, and the number of
+    hosts that share its environment and application, else its environment, else its datacenter.
+
+    Every pair of two hosts is counted once at each end, as the closest of the three kinds; an unknown place is no
+    class, and a missing application equals another missing one. All members of a class are linked, so classes say
+    which pairs there are, and no pair is formed.
+    """
+    rows = hosts.select("hostname", "environment", "datacenter", F.coalesce("application", F.lit("")).alias("app"))
+    known = lambda c: F.col(c) != "unknown"
+    count = F.count("*")
+    by_env = rows.filter(known("environment")).groupBy("environment").agg(count.alias("env"), F.min("hostname").alias("environment_class"))
+    by_app = rows.filter(known("environment") & known("app")).groupBy("environment", "app").agg(count.alias("apps"))
+    by_dc = rows.filter(known("datacenter")).groupBy("datacenter").agg(count.alias("dc"), F.min("hostname").alias("datacenter_class"))
+    by_both = rows.filter(known("environment") & known("datacenter")).groupBy("datacenter", "environment").agg(count.alias("both"))
+    rows = rows.join(by_env, "environment", "left").join(by_app, ["environment", "app"], "left").join(by_dc, "datacenter", "left").join(by_both, ["datacenter", "environment"], "left")
+    apps = F.coalesce(F.col("apps") - 1, F.lit(0))
+    return rows.select(
+        "hostname",
+        "environment_class",
+        "datacenter_class",
+        apps.alias("same_application"),
+        F.coalesce(F.col("env") - 1 - apps, F.lit(0)).alias("same_environment"),
+        F.coalesce(F.col("dc") - F.coalesce("both", F.lit(1)), F.lit(0)).alias("same_datacenter"),
+    )
 
 
 def attribute_keys(hosts: DataFrame, picked: DataFrame) -> DataFrame:
@@ -59,18 +75,25 @@ def same_network(hosts: DataFrame, reach: int = 9) -> DataFrame:
     return pairs.select(F.col("a.hostname").alias("source"), F.col("b.hostname").alias("target"), F.lit("same_network").alias("type"), F.lit(0.7).alias("confidence"), F.concat(F.lit("subnet:"), "subnet").alias("via_attribute"))
 
 
-def application_patterns(hosts: DataFrame) -> DataFrame:
-    """Pairs of one environment and datacenter whose applications are known to work together; the pattern gives the direction.
+def application_classes(hosts: DataFrame) -> DataFrame:
+    """hostname, first: hosts of one environment, datacenter and application, and the smallest host of them."""
+    keys = ["environment", "datacenter", "app"]
+    rows = hosts.select("hostname", "environment", "datacenter", F.coalesce("application", F.lit("unknown")).alias("app"))
+    return rows.join(rows.groupBy(*keys).agg(F.min("hostname").alias("first")), keys).select("hostname", "first")
+
 
-    The pattern table, of a fixed size, joins first, so hosts without a part in any pattern never meet.
+def application_patterns(hosts: DataFrame) -> DataFrame:
+    """Links of hosts in one environment and datacenter whose applications are known to work together; the pattern
+    gives the direction. All hosts of one application there are linked with all of the other, so an edge joins the
+    smallest hosts of the two classes (application_classes tells the others) and says how many links it stands for.
     """
     spark = hosts.sparkSession
-    patterns = F.broadcast(spark.createDataFrame(K.APPLICATION_PATTERNS, "app string, other string, type string"))
-    rows = hosts.select("hostname", "environment", "datacenter", F.coalesce("application", F.lit("unknown")).alias("app"))
-    first = rows.join(patterns, "app")
-    other = rows.select(F.col("hostname").alias("target"), "environment", "datacenter", F.col("app").alias("other"))
-    pairs = first.join(other, ["environment", "datacenter", "other"]).filter("hostname <> target")
-    return pairs.select(F.col("hostname").alias("source"), "target", "type", F.lit(0.8).alias("confidence"), F.format_string("app_pattern:%s->%s", "app", "other").alias("via_attribute"))
+    patterns = F.broadcast(spark.createDataFrame(K.APPLICATION_PATTERNS, "app string, other string, type string"))  # of a fixed size
+    rows = hosts.groupBy("environment", "datacenter", F.coalesce("application", F.lit("unknown")).alias("app")).agg(F.min("hostname").alias("source"), F.count("*").alias("n"))
+    other = rows.select("environment", "datacenter", F.col("app").alias("other"), F.col("source").alias("target"), F.col("n").alias("m"))
+    pairs = rows.join(patterns, "app").join(other, ["environment", "datacenter", "other"])
+    links = F.col("n") * (F.col("m") - F.when(F.col("app") == F.col("other"), 1).otherwise(0))
+    return pairs.select("source", "target", "type", F.lit(0.8).alias("confidence"), F.format_string("app_pattern:%s->%s", "app", "other").alias("via_attribute"), links.alias("links")).filter("links > 0")
 
 
 def hierarchy(hosts: DataFrame) -> DataFrame:
@@ -106,18 +129,33 @@ def deduplicate(edges: DataFrame, directed: bool = False) -> DataFrame:
     both = F.lit(False) if directed else _both_ways(F.col("type"))
     a = F.when(both, F.least("source", "target")).otherwise(F.col("source"))
     b = F.when(both, F.greatest("source", "target")).otherwise(F.col("target"))
-    best = F.min(F.struct((-F.col("confidence")).alias("c"), "via_attribute", "source", "target", "confidence")).alias("x")
-    return edges.groupBy(a.alias("ka"), b.alias("kb"), "type").agg(best).select("x.source", "x.target", "type", "x.confidence", "x.via_attribute")
+    more = [c for c in edges.columns if c not in EDGE]
+    best = F.min(F.struct((-F.col("confidence")).alias("c"), "via_attribute", "source", "target", "confidence", *more)).alias("x")
+    return edges.groupBy(a.alias("ka"), b.alias("kb"), "type").agg(best).select("x.source", "x.target", "type", "x.confidence", "x.via_attribute", *(f"x.{c}" for c in more))
+
+
+def families(hosts: DataFrame, picked: DataFrame) -> DataFrame:
+    """The edges of all five families and how many links each stands for: one, but for those between classes."""
+    hosts = cut(hosts)
+    single = [shared_attributes(hosts, picked), same_network(hosts), hierarchy(hosts), clusters(hosts)]
+    frames = [application_patterns(hosts), *(f.select(*EDGE, F.lit(1).cast("long").alias("links")) for f in single)]
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def member_edges(hosts: DataFrame, edges: DataFrame) -> DataFrame:
+    """source, target: each other host of a class that application_patterns links, with the class's smallest host."""
+    ends = edges.filter(F.col("via_attribute").startswith("app_pattern:")).select(F.explode(F.array("source", "target")).alias("first")).distinct()
+    return application_classes(hosts).filter("hostname <> first").join(ends, "first", "left_semi").select(F.col("hostname").alias("source"), F.col("first").alias("target"))
 
 
 def all_relationships(hosts: DataFrame, picked: DataFrame) -> DataFrame:
-    frames = [shared_attributes(hosts, picked), same_network(hosts), application_patterns(hosts), hierarchy(hosts), clusters(hosts)]
-    return deduplicate(reduce(lambda a, b: a.unionByName(b), (f.select(*EDGE) for f in frames)))
+    return deduplicate(families(hosts, picked))
 
 
 def named_edges(hosts: DataFrame) -> DataFrame:
-    """Edges from names and networks, which graph queries work on."""
-    return deduplicate(same_network(hosts).unionByName(hierarchy(hosts)).unionByName(clusters(hosts)))
+    """Edges from names and networks, which graph queries work on. The hosts are found once, and so are the edges."""
+    hosts = cut(hosts.select("hostname", "ip_address"))
+    return cut(deduplicate(same_network(hosts).unionByName(hierarchy(hosts)).unionByName(clusters(hosts))))
 
 
 def type_info(edges: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators.lineage import cut
 from . import views as V
 from .registry import query
-from .relate_queries import EDGES_SQL, edges, small
+from .relate_queries import EDGES_SQL, edges
 
-NODE, OTHER = "web-prod", "web-prod-000"
+NODE, OTHER = "web-prod", "web-prod-a-1"
 _VERTICES = "vertices AS (SELECT hostname AS id FROM hosts)"
 _BASE = V.with_(EDGES_SQL, _VERTICES)
 _PAIR = "pairs AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM edges WHERE source <> target)"
@@ -58,36 +59,46 @@ def degree(spark, sf):
     return G.degree(vertices(spark, sf), edges(spark, sf)).withColumn("centrality", F.round("centrality", 9))
 
 
-def _round(k):
-    return f"""r{k} AS (SELECT id, 0.85::DOUBLE * (coalesce(got, 0) + (SELECT coalesce(sum(rank), 0) FROM r{k - 1} WHERE id NOT IN (SELECT source FROM edges)) / n) + 0.15::DOUBLE / n AS rank
-  FROM vertices LEFT JOIN (SELECT target AS id, sum(rank / o) AS got FROM edges JOIN r{k - 1} ON source = id JOIN outs USING (source) GROUP BY 1) USING (id), (SELECT count(*)::DOUBLE AS n FROM vertices))"""
+#: Ranks after as many rounds as make them exact to 12 digits.
+_RANKS = """outs AS (SELECT source, count(*) AS o FROM edges GROUP BY 1), size AS (SELECT count(*)::DOUBLE AS n FROM vertices),
+ends AS MATERIALIZED (SELECT source, target, count(*) / any_value(o)::DOUBLE AS share FROM edges JOIN outs USING (source) GROUP BY 1, 2), base AS MATERIALIZED (SELECT id, n, id IN (SELECT source FROM outs) AS sends FROM vertices, size),
+ranks(k, id, rank) AS (SELECT 0, id, 1 / n FROM base UNION ALL
+  SELECT k + 1, id, 0.85::DOUBLE * sum(got) + 0.15::DOUBLE / any_value(n) FROM (
+    SELECT r.k, e.target AS id, r.rank * share AS got FROM ranks r JOIN ends e ON r.id = e.source
+    UNION ALL SELECT l.k, b.id, l.lost / b.n FROM base b, (SELECT k, coalesce(sum(rank) FILTER (NOT sends), 0) AS lost FROM ranks JOIN base USING (id) GROUP BY 1) l) JOIN base USING (id) WHERE k < 150 GROUP BY 1, 2)"""
 
 
-@query("g6_pagerank", V.with_(EDGES_SQL, _VERTICES, "outs AS (SELECT source, count(*) AS o FROM edges GROUP BY 1)", "r0 AS (SELECT id, 1 / (SELECT count(*) FROM vertices)::DOUBLE AS rank FROM vertices)", *(_round(k) for k in range(1, 6))) + "SELECT id, round(rank, 9) AS rank FROM r5")
+@query("g6_pagerank", "WITH RECURSIVE " + ",\n".join((EDGES_SQL, _VERTICES, _RANKS)) + "\nSELECT id, round(rank, 8) AS rank FROM ranks WHERE k = 150")
 def pagerank(spark, sf):
-    return G.pagerank(vertices(spark, sf), edges(spark, sf), rounds=5).select("id", F.round("rank", 9).alias("rank"))
-
-
-def small_graph(spark, sf):
-    from ..operators import relate as R
-
-    hosts = small(spark, sf)
-    return hosts.select(F.col("hostname").alias("id")), R.named_edges(hosts)
+    return G.pagerank(vertices(spark, sf), edges(spark, sf)).select("id", F.round("rank", 8).alias("rank"))
 
 
 @query("g7_betweenness")
 def betweenness(spark, sf):
-    return G.betweenness(*small_graph(spark, sf)).withColumn("betweenness", F.round("betweenness", 9))
+    return G.betweenness(vertices(spark, sf), edges(spark, sf)).withColumn("betweenness", F.round("betweenness", 9))
 
 
 @query("g8_closeness")
 def closeness(spark, sf):
-    return G.closeness(*small_graph(spark, sf)).withColumn("closeness", F.round("closeness", 9))
+    """Of the largest component: closeness is for connected graphs."""
+    e = edges(spark, sf)
+    member = cut(G.components(vertices(spark, sf), e))
+    largest = member.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    kept = member.join(largest, "component", "left_semi").select("id")
+    return G.closeness(kept, G.subgraph(e, kept)).withColumn("closeness", F.round("closeness", 9))
+
+
+def critical(spark, sf):
+    return G.critical_nodes(vertices(spark, sf), edges(spark, sf))
 
 
 @query("g9_critical_nodes")
 def critical_nodes(spark, sf):
-    return G.critical_nodes(*small_graph(spark, sf)).withColumn("score", F.round("score", 9))
+    return critical(spark, sf).withColumn("score", F.round("score", 9))
+
+
+#: Stated critical hosts, as many as are looked at.
+CRITICAL = ["srv", "web-prod", "web-prod-a-1", "db-stg", "api-dev", "lb"]
 
 
 _INTERNAL = "SELECT component, count(*) AS internal FROM edges JOIN member ON source = id GROUP BY 1"
@@ -96,7 +107,9 @@ _MODAL = "SELECT component, arg_min(environment, (-k, environment)) AS environme
 
 @query("g10_communities", _RECURSIVE + f"SELECT component, size, coalesce(internal, 0) AS internal, round(CASE WHEN size > 1 THEN coalesce(internal, 0) / (size * (size - 1)) ELSE 0 END, 9) AS density, environment, members FROM (SELECT component, count(*) AS size, array_to_string(list_sort(list(id))[1:20], ',') AS members FROM member GROUP BY 1) LEFT JOIN ({_INTERNAL}) USING (component) LEFT JOIN ({_MODAL}) USING (component)")
 def communities(spark, sf):
-    return G.communities(membership(spark, sf), edges(spark, sf), V.hosts(spark, sf)).withColumn("density", F.round("density", 9))
+    hosts, e = cut(V.hosts(spark, sf)), edges(spark, sf)
+    member = cut(G.components(hosts.select(F.col("hostname").alias("id")), e))
+    return G.communities(member, e, hosts).withColumn("density", F.round("density", 9))
 
 
 @query("g11_g20_shortest_path", _RECURSIVE.replace("member AS", f"bfs(id, hops) AS (SELECT '{NODE}', 0 UNION SELECT target, hops + 1 FROM bfs JOIN edges ON source = id WHERE hops < 4), member AS") + f"SELECT min(hops) AS length FROM bfs WHERE id = '{OTHER}' HAVING count(*) > 0")
@@ -104,9 +117,21 @@ def shortest_path(spark, sf):
     return G.shortest_path(edges(spark, sf), NODE, OTHER).select("length")
 
 
+_STARTS = ", ".join(f"('{a}', '{b}')" for k, a in enumerate(CRITICAL[:5]) for b in CRITICAL[k + 1 : 6])
+_PATHS = f"""wanted(s, e) AS (VALUES {_STARTS}),
+hop(s, id, path) AS (SELECT DISTINCT s, s, [s] FROM wanted UNION ALL SELECT s, target, min(list_append(path, target)) FROM hop JOIN edges ON source = id WHERE len(path) < 8 GROUP BY s, target, len(path)),
+shortest AS (SELECT s, e, min(path) AS path FROM wanted JOIN hop USING (s) JOIN (SELECT s, id, min(len(path)) AS n FROM hop GROUP BY 1, 2) m USING (s, id) WHERE id = e AND len(path) = n GROUP BY 1, 2),
+critical_paths AS (SELECT s AS start, e AS "end", path, len(path) - 1 AS length FROM shortest WHERE len(path) > 2)"""
+
+
+@query("g11_critical_paths", "WITH RECURSIVE " + ",\n".join((EDGES_SQL, _PATHS)) + "\nSELECT start, \"end\", array_to_string(path, ' > ') AS path, CAST(length AS INT) AS length FROM critical_paths")
+def critical_paths(spark, sf):
+    return G.critical_paths(edges(spark, sf), CRITICAL).withColumn("path", F.array_join("path", " > "))
+
+
 @query("g12_articulation_points")
 def articulation_points(spark, sf):
-    return G.articulation_points(*small_graph(spark, sf))
+    return G.articulation_points(vertices(spark, sf), edges(spark, sf))
 
 
 @query("g13_node_features")
@@ -122,8 +147,9 @@ def hierarchy(spark, sf):
 
 @query("g15_node_export", V.with_(EDGES_SQL, _VERTICES, _PAIR, _DEGREE, _TOTAL) + "SELECT hostname AS id, environment, host_type, coalesce(degree, 0) AS degree, round(CASE WHEN d > 1 THEN 2 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END, 9) AS clustering FROM hosts LEFT JOIN total ON hostname = total.id LEFT JOIN deg ON hostname = deg.id LEFT JOIN tc ON hostname = tc.id")
 def node_export(spark, sf):
-    v, e = vertices(spark, sf), edges(spark, sf)
-    info = V.hosts(spark, sf).select(F.col("hostname").alias("id"), "environment", "host_type")
+    hosts, e = cut(V.hosts(spark, sf)), edges(spark, sf)
+    v = hosts.select(F.col("hostname").alias("id"))
+    info = hosts.select(F.col("hostname").alias("id"), "environment", "host_type")
     return info.join(G.degree(v, e).select("id", "degree"), "id").join(G.clustering(v, e).withColumn("clustering", F.round("clustering", 9)), "id")
 
 
@@ -141,9 +167,10 @@ for _key, _back in (("g16_upstream", True), ("g16_downstream", False)):
     query(_key, _bfs(_back) + f"SELECT id, CAST(min(hops) AS INT) AS hops FROM bfs WHERE id <> '{NODE}' GROUP BY 1")(lambda spark, sf, back=_back: G.reach(edges(spark, sf), NODE, 3, back))
 
 
-@query("g17_impact", _RECURSIVE.replace("member AS", f"down(id) AS (SELECT '{NODE}' UNION SELECT target FROM down JOIN edges ON source = id), member AS") + f"SELECT (SELECT count(DISTINCT id) FROM (SELECT source AS id FROM edges WHERE target = '{NODE}' UNION ALL SELECT target FROM edges WHERE source = '{NODE}')) AS neighbours, count(*) AS downstream, count(DISTINCT component) AS communities FROM down JOIN member USING (id) WHERE id <> '{NODE}'")
+@query("g17_impact", _RECURSIVE.replace("member AS", f"down(id) AS (SELECT '{NODE}' UNION SELECT target FROM down JOIN edges ON source = id), {_PATHS}, member AS") + f"SELECT (SELECT count(DISTINCT id) FROM (SELECT source AS id FROM edges WHERE target = '{NODE}' UNION ALL SELECT target FROM edges WHERE source = '{NODE}')) AS neighbours, count(*) AS downstream, count(DISTINCT component) AS communities, (SELECT count(*) FROM critical_paths WHERE list_has_any(path, (SELECT list(id) FROM down))) AS critical_paths FROM down JOIN member USING (id) WHERE id <> '{NODE}'")
 def impact(spark, sf):
-    return G.impact(edges(spark, sf), NODE, membership(spark, sf))
+    e = edges(spark, sf)
+    return G.impact(e, NODE, G.components(vertices(spark, sf), e), G.critical_paths(e, CRITICAL))
 
 
 _V = "[coalesce(cpu_cores, 0)::DOUBLE, coalesce(memory_gb, 0)::DOUBLE, n_sources::DOUBLE]"

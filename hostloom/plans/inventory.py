@@ -53,10 +53,11 @@ class Inventory:
         classes = step("classes", lambda: C.classify(hosts, picked))
         entities = step("entities", lambda: hosts.join(classes.select("hostname", "type", "sub_type", "method"), "hostname").join(C.criticality(hosts, classes).select("hostname", "criticality"), "hostname").join(C.tags(hosts, classes), "hostname"))
         edges = step("relationships", lambda: R.all_relationships(hosts, picked))
-        step("anomalies", lambda: Q.anomalies(entities, edges))
+        linked = edges.select("source", "target").unionByName(R.member_edges(entities, edges))
+        step("anomalies", lambda: Q.anomalies(entities, linked))
         step("insights", lambda: Q.insights(entities, edges))
         step("quality", lambda: Q.dimensions(entities, edges, self.now))
-        step("components", lambda: G.components(entities.select(F.col("hostname").alias("id")), edges))
+        step("components", lambda: G.components(entities.select(F.col("hostname").alias("id")), linked))
         step("statistics", lambda: S.statistics_rows(Q.statistics(entities, edges)))
         return out
 

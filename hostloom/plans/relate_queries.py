@@ -11,25 +11,19 @@ from . import views as V
 from .classify_queries import _FIRST
 from .registry import query
 
-SMALL = "ord.row_id < 60"
-_SMALL = "small AS (SELECT * FROM hosts WHERE hostname IN (SELECT hostname FROM picked GROUP BY hostname HAVING arg_min(row_id, (table_name, row_id)) < 60))"
-
-
-def small(spark, sf):
-    return V.hosts(spark, sf).filter(SMALL)
-
-
 _ENV = "(x.environment = y.environment AND x.environment <> 'unknown')"
 _APP = "(x.application IS NOT DISTINCT FROM y.application AND x.application IS DISTINCT FROM 'unknown')"
+_DC = "(x.datacenter = y.datacenter AND x.datacenter <> 'unknown')"
 
 
-@query("d10_same_place", V.with_(V.HOSTS_SQL, _SMALL) + f"""SELECT x.hostname AS source, y.hostname AS target, CASE WHEN {_ENV} THEN CASE WHEN {_APP} THEN 'same_application' ELSE 'same_environment' END ELSE 'same_datacenter' END AS type,
- CASE WHEN {_ENV} THEN CASE WHEN {_APP} THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END ELSE 0.5::DOUBLE END AS confidence FROM small x JOIN small y ON x.hostname < y.hostname AND ({_ENV} OR (x.datacenter = y.datacenter AND x.datacenter <> 'unknown'))""")
+@query("d10_same_place", V.with_(V.HOSTS_SQL) + f"""SELECT x.hostname, min(CASE WHEN {_ENV} THEN y.hostname END) AS environment_class, min(CASE WHEN {_DC} THEN y.hostname END) AS datacenter_class,
+ count(*) FILTER (x.hostname <> y.hostname AND {_ENV} AND {_APP}) AS same_application, count(*) FILTER (x.hostname <> y.hostname AND {_ENV} AND NOT {_APP}) AS same_environment,
+ count(*) FILTER (x.hostname <> y.hostname AND NOT {_ENV} AND {_DC}) AS same_datacenter FROM hosts x, hosts y GROUP BY 1""")
 def same_place(spark, sf):
-    return R.same_place(small(spark, sf))
+    return R.same_place(V.hosts(spark, sf))
 
 
-_KEYS = "keys AS (SELECT DISTINCT hostname, key FROM (" + " UNION ALL ".join(f"SELECT hostname, '{p}' || {c} AS key FROM small WHERE {H.sql_present(c)}" for c, p in (("environment", "env:"), ("datacenter", "dc:"), ("application", "app:"), ("owner", "owner:"))) + " UNION ALL SELECT hostname, attribute || ':' || lower(value) FROM firsts WHERE value <> '' AND hostname IN (SELECT hostname FROM small)))"
+_KEYS = "keys AS (SELECT DISTINCT hostname, key FROM (" + " UNION ALL ".join(f"SELECT hostname, '{p}' || {c} AS key FROM hosts WHERE {H.sql_present(c)}" for c, p in (("environment", "env:"), ("datacenter", "dc:"), ("application", "app:"), ("owner", "owner:"))) + " UNION ALL SELECT hostname, attribute || ':' || lower(value) FROM firsts WHERE value <> ''))"
 _SHARED = """shared AS (SELECT source, target, CASE via WHEN 'env' THEN 'same_environment' WHEN 'dc' THEN 'same_datacenter' WHEN 'app' THEN 'same_application' WHEN 'owner' THEN 'same_owner' ELSE 'shares_attribute' END AS type,
   CASE via WHEN 'env' THEN 0.5::DOUBLE WHEN 'dc' THEN 0.6::DOUBLE WHEN 'app' THEN 0.9::DOUBLE WHEN 'owner' THEN 0.5::DOUBLE ELSE 0.4::DOUBLE END AS confidence, via AS via_attribute
   FROM (SELECT a.hostname AS source, b.hostname AS target, split_part(key, ':', 1) AS via FROM keys a JOIN keys b USING (key) WHERE a.hostname < b.hostname AND key IN (SELECT key FROM keys GROUP BY key HAVING count(*) BETWEEN 2 AND 50)))"""
@@ -57,10 +51,9 @@ good AS (SELECT base FROM gaps WHERE gap IS NOT NULL GROUP BY base HAVING avg((g
 clustered AS (SELECT a.hostname AS source, b.hostname AS target, 'same_cluster' AS type, 0.8::DOUBLE AS confidence, 'cluster:' || base AS via_attribute FROM sized a JOIN sized b USING (base) WHERE a.hostname < b.hostname AND base IN (SELECT base FROM good))"""
 
 
-def patterns_sql(of):
-    rows = ", ".join(f"('{a}', '{b}', '{t}')" for a, b, t in K.APPLICATION_PATTERNS)
-    return f"""patterns AS (SELECT a.hostname AS source, b.hostname AS target, t AS type, 0.8::DOUBLE AS confidence, 'app_pattern:' || x || '->' || y AS via_attribute
-  FROM {of} a JOIN {of} b ON a.environment = b.environment AND a.datacenter = b.datacenter AND a.hostname <> b.hostname JOIN (VALUES {rows}) p(x, y, t) ON a.application = x AND b.application = y)"""
+_PATTERNS = f"""matched AS (SELECT a.hostname AS source, b.hostname AS target, a.environment, a.datacenter, t AS type, x, y FROM hosts a JOIN hosts b ON a.environment = b.environment AND a.datacenter = b.datacenter AND a.hostname <> b.hostname
+  JOIN (VALUES {", ".join(f"('{a}', '{b}', '{t}')" for a, b, t in K.APPLICATION_PATTERNS)}) p(x, y, t) ON a.application = x AND b.application = y),
+patterns AS (SELECT min(source) AS source, min(target) AS target, type, 0.8::DOUBLE AS confidence, 'app_pattern:' || x || '->' || y AS via_attribute, count(*) AS links FROM matched GROUP BY environment, datacenter, type, x, y)"""
 
 
 def dedupe_sql(union, name="edges", directed=False):
@@ -75,12 +68,12 @@ def edges(spark, sf):
     return R.named_edges(V.hosts(spark, sf))
 
 
-_FIRSTS = (V.HOSTS_SQL, V.ATTRIBUTES_SQL, _FIRST, _SMALL, _KEYS, _SHARED)
+_FIRSTS = (V.HOSTS_SQL, V.ATTRIBUTES_SQL, _FIRST, _KEYS, _SHARED)
 
 
 @query("j1_shared_attributes", V.with_(*_FIRSTS) + "SELECT * FROM shared")
 def shared_attributes(spark, sf):
-    return R.shared_attributes(small(spark, sf), V.picked(spark, sf))
+    return R.shared_attributes(V.hosts(spark, sf), V.picked(spark, sf))
 
 
 @query("j2_same_network", V.with_(V.HOSTS_SQL, network_sql("hosts")) + "SELECT * FROM network")
@@ -88,9 +81,14 @@ def same_network(spark, sf):
     return R.same_network(V.hosts(spark, sf))
 
 
-@query("j3_application_patterns", V.with_(V.HOSTS_SQL, _SMALL, patterns_sql("small")) + "SELECT * FROM patterns")
+@query("j3_application_patterns", V.with_(V.HOSTS_SQL, _PATTERNS) + "SELECT * FROM patterns")
 def application_patterns(spark, sf):
-    return R.application_patterns(small(spark, sf))
+    return R.application_patterns(V.hosts(spark, sf))
+
+
+@query("j3_application_classes", V.with_(V.HOSTS_SQL) + "SELECT hostname, min(hostname) OVER (PARTITION BY environment, datacenter, coalesce(application, 'unknown')) AS first FROM hosts")
+def application_classes(spark, sf):
+    return R.application_classes(V.hosts(spark, sf))
 
 
 @query("j4_hierarchy", V.with_(V.HOSTS_SQL, hierarchy_sql("hosts")) + "SELECT * FROM tree")
@@ -108,23 +106,21 @@ def deduplicated(spark, sf):
     return edges(spark, sf)
 
 
-_ALL = (*_FIRSTS, network_sql("small"), patterns_sql("small"), hierarchy_sql("small"), cluster_sql("small"))
-_UNION = " UNION ALL ".join(f"SELECT * FROM {t}" for t in ("shared", "network", "patterns", "tree", "clustered"))
+_ALL = (*_FIRSTS, network_sql("hosts"), _PATTERNS, hierarchy_sql("hosts"), cluster_sql("hosts"))
+_UNION = "SELECT source, target, type, confidence, via_attribute FROM patterns UNION ALL " + " UNION ALL ".join(f"SELECT * FROM {t}" for t in ("shared", "network", "tree", "clustered"))
+#: The same, pair by pair: no classes.
+_PAIRS = "SELECT source, target, type, 0.8::DOUBLE AS confidence, 'app_pattern:' || x || '->' || y AS via_attribute FROM matched UNION ALL " + " UNION ALL ".join(f"SELECT * FROM {t}" for t in ("shared", "network", "tree", "clustered"))
 
 
 @query("j7_directed_union", V.with_(*_ALL, dedupe_sql(_UNION, directed=True)) + "SELECT source, target, type, confidence FROM edges")
 def directed_union(spark, sf):
-    hosts, picked = small(spark, sf), V.picked(spark, sf)
-    frames = [R.shared_attributes(hosts, picked), R.same_network(hosts), R.application_patterns(hosts), R.hierarchy(hosts), R.clusters(hosts)]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return R.deduplicate(out, directed=True).select("source", "target", "type", "confidence")
+    return R.deduplicate(R.families(V.hosts(spark, sf), V.picked(spark, sf)), directed=True).select("source", "target", "type", "confidence")
 
 
-@query("j8_all_relationships", V.with_(*_ALL, dedupe_sql(_UNION)) + "SELECT type, count(*) AS n, round(avg(confidence), 9) AS confidence FROM edges GROUP BY 1")
+@query("j8_all_relationships", V.with_(*_ALL, dedupe_sql(_PAIRS)) + "SELECT type, count(*) AS n, round(avg(confidence), 9) AS confidence FROM edges GROUP BY 1")
 def all_relationships(spark, sf):
-    return R.all_relationships(small(spark, sf), V.picked(spark, sf)).groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 9).alias("confidence"))
+    n = F.sum("links")
+    return R.all_relationships(V.hosts(spark, sf), V.picked(spark, sf)).groupBy("type").agg(n.alias("n"), F.round(F.sum(F.col("confidence") * F.col("links")) / n, 9).alias("confidence"))
 
 
 _CATALOGUE = ", ".join(f"('{k}', '{d}', {b}, {s}::DOUBLE)" for k, (d, b, s) in K.RELATIONSHIP_TYPES.items())

@@ -6,43 +6,46 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("customer", "supplier", "pages", "nation")
 
-#: Rows of four tables with host names, addresses and attributes; runs on Spark and DuckDB alike.
+#: All rows of four tables with host names, addresses and attributes; runs on Spark and DuckDB alike. Three customers make a
+#: host, twelve hosts a rack, fifty a network, so groups keep their sizes while the tables grow; half of the hosts are "srv".
 HOST_RAW = """
 SELECT 'tpch.customer' AS table_name, c_custkey AS row_id,
-  concat(CASE c_custkey % 8 WHEN 0 THEN 'web' WHEN 1 THEN 'db' WHEN 2 THEN 'api' WHEN 3 THEN 'cache'
-           WHEN 4 THEN 'queue' WHEN 5 THEN 'lb' WHEN 6 THEN 'vm' ELSE 'srv' END, '-',
-         CASE c_nationkey % 4 WHEN 0 THEN 'prod' WHEN 1 THEN 'stg' WHEN 2 THEN 'dev' ELSE 'qa' END, '-',
-         lpad(CAST(c_custkey % 400 AS STRING), 3, '0'),
-         CASE WHEN c_nationkey % 3 = 0 THEN '.corp.example.com' ELSE '' END) AS host_name,
-  CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE concat('10.', CAST(c_nationkey * 7 AS STRING), '.',
-         CAST(c_custkey % 6 AS STRING), '.', CAST(c_custkey % 250 AS STRING)) END AS ip_address,
+  concat(role, '-', env, '-', translate(CAST(rack AS STRING), '0123456789', 'abcdefghij'), '-', CAST(k % 12 * CASE WHEN rack % 5 = 1 THEN 20 ELSE 1 END + 1 AS STRING),
+         CASE WHEN rack % 3 = 1 THEN '.corp.example.com' ELSE '' END) AS host_name,
+  CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE concat('10.', CAST(net * 37 % 200 AS STRING), '.',
+         CAST(CAST((net - net % 200) / 200 AS BIGINT) % 250 AS STRING), '.', CAST(c_custkey % 150 + 1 AS STRING)) END AS ip_address,
   CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN 'unknown'
-       ELSE CASE c_nationkey % 4 WHEN 0 THEN 'production' WHEN 1 THEN 'staging' WHEN 2 THEN 'development' ELSE 'testing' END END AS environment,
-  CASE c_custkey % 8 WHEN 0 THEN 'web' WHEN 1 THEN 'database' WHEN 2 THEN 'api' WHEN 3 THEN 'cache'
-       WHEN 4 THEN 'queue' WHEN 5 THEN 'load_balancer' ELSE NULL END AS application,
-  CASE WHEN c_custkey % 4 = 3 THEN NULL ELSE concat('team-', CAST(c_custkey % 40 AS STRING)) END AS owner,
-  CASE c_custkey % 3 WHEN 0 THEN 'linux' WHEN 1 THEN 'windows' ELSE NULL END AS os_type,
+       ELSE CASE env WHEN 'prod' THEN 'production' WHEN 'stg' THEN 'staging' WHEN 'dev' THEN 'development' ELSE 'testing' END END AS environment,
+  CASE role WHEN 'web' THEN 'web' WHEN 'db' THEN 'database' WHEN 'api' THEN 'api' WHEN 'cache' THEN 'cache'
+       WHEN 'queue' THEN 'queue' WHEN 'lb' THEN 'load_balancer' ELSE NULL END AS application,
+  CASE WHEN k % 4 = 3 THEN NULL ELSE concat('team-', CAST(CAST((k - k % 20) / 20 AS BIGINT) AS STRING)) END AS owner,
+  CASE c_custkey % 5 WHEN 0 THEN 'linux' WHEN 1 THEN 'windows' WHEN 2 THEN 'linux' ELSE NULL END AS os_type,
   CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 301 = 7 THEN 256 ELSE CAST(2 + c_custkey * 13 % 31 AS INT) END AS cpu_cores,
   CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE CAST(4 + c_custkey * 17 % 97 AS INT) END AS memory_gb,
   CASE c_custkey % 6 WHEN 0 THEN '2024-01-30T12:00:00' WHEN 1 THEN '2024-01-26T00:00:00' WHEN 2 THEN '2024-01-10T00:00:00'
-       WHEN 3 THEN '2023-12-01T00:00:00' WHEN 4 THEN '2023-01-01T00:00:00' ELSE NULL END AS last_seen
-FROM customer WHERE c_custkey < 1200
+       WHEN 3 THEN '2023-12-01T00:00:00' WHEN 4 THEN '2023-01-01T00:00:00' ELSE NULL END AS last_seen,
+  CASE c_custkey % 10 WHEN 0 THEN 'inactive' WHEN 1 THEN NULL ELSE 'active' END AS status
+FROM (SELECT *, CASE CAST((k - k % 4) / 4 AS BIGINT) % 12 WHEN 0 THEN 'web' WHEN 1 THEN 'db' WHEN 2 THEN 'api' WHEN 3 THEN 'cache' WHEN 4 THEN 'queue'
+        WHEN 5 THEN 'lb' ELSE 'srv' END AS role, CASE rack % 4 WHEN 0 THEN 'prod' WHEN 1 THEN 'stg' WHEN 2 THEN 'dev' ELSE 'qa' END AS env
+      FROM (SELECT *, CAST((k - k % 12) / 12 AS BIGINT) AS rack, CAST((k - k % 50) / 50 AS BIGINT) AS net
+            FROM (SELECT c_custkey, CAST((c_custkey - c_custkey % 3) / 3 AS BIGINT) AS k FROM customer
+            ) x) y) z
 UNION ALL
 SELECT 'tpch.supplier', s_suppkey,
   concat(CASE s_suppkey % 4 WHEN 0 THEN 'Web' WHEN 1 THEN 'DB' WHEN 2 THEN 'api' ELSE 'sw' END, '-PROD-',
-         lpad(CAST(s_suppkey % 400 AS STRING), 3, '0')),
+         translate(CAST(CAST((s_suppkey - s_suppkey % 15) / 15 AS BIGINT) AS STRING), '0123456789', 'klmnopqrst'), '-', CAST(s_suppkey % 15 AS STRING)),
   concat('192.168.', CAST(s_nationkey AS STRING), '.', CAST(s_suppkey % 300 AS STRING)),
-  'production', NULL, 'team-net', 'linux', 8, 32, '2024-01-30T12:00:00Z'
-FROM supplier WHERE s_suppkey < 400
+  'production', NULL, 'team-net', 'linux', 8, 32, '2024-01-30T12:00:00Z', 'active'
+FROM supplier
 UNION ALL
 SELECT 'web.pages', page_id, regexp_extract(url, '^https?://([^/?#]+)', 1), NULL, NULL, 'web', NULL, NULL,
-  CAST(NULL AS INT), CAST(NULL AS INT), NULL
-FROM pages WHERE page_id < 250
+  CAST(NULL AS INT), CAST(NULL AS INT), NULL, NULL
+FROM pages
 UNION ALL
 SELECT 'tpch.nation', CAST(n_nationkey AS BIGINT),
-  CASE n_nationkey WHEN 0 THEN 'web-prod' WHEN 1 THEN 'db-stg' WHEN 2 THEN 'api-dev' WHEN 3 THEN 'lb' WHEN 4 THEN 'queue'
-       WHEN 5 THEN 'vm-qa.corp.example.com' ELSE concat('srv-backup-', CAST(n_nationkey AS STRING)) END,
-  concat('172.16.0.', CAST(n_nationkey AS STRING)), 'production', 'backup', 'team-core', 'linux', 16, 64, 'not-a-date'
+  CASE n_nationkey WHEN 0 THEN 'srv' WHEN 1 THEN 'web-prod' WHEN 2 THEN 'db-stg' WHEN 3 THEN 'api-dev' WHEN 4 THEN 'lb'
+       WHEN 5 THEN 'vm-qa.corp.example.com' WHEN 6 THEN 'test-web-1' WHEN 7 THEN 'demo-db-2' ELSE concat('srv-backup-', CAST(n_nationkey AS STRING)) END,
+  concat('172.16.0.', CAST(n_nationkey AS STRING)), 'production', 'backup', 'team-core', 'linux', 16, 64, 'not-a-date', 'active'
 FROM nation
 """
 
@@ -52,8 +55,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def host_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """table_name, row_id, host_name, ip_address, environment, application, owner, os_type, cpu_cores, memory_gb, last_seen."""
+    """table_name, row_id, host_name, ip_address, environment, application, owner, os_type, cpu_cores, memory_gb, last_seen, status."""
     text = HOST_RAW
     for name in TABLES:
-        text = text.replace(f"FROM {name}\n", f"FROM {{{name}}}\n").replace(f"FROM {name} ", f"FROM {{{name}}} ")
+        text = text.replace(f"FROM {name}\n", f"FROM {{{name}}}\n")
     return spark.sql(text, **{name: table(spark, sf_dir, name) for name in TABLES})
