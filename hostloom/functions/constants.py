@@ -134,3 +134,40 @@ APPLICATION_PATTERNS = [("web", "database", "connects_to"), ("api", "database",
 # Fields of quality analysis, vocabulary, words that don't belong in production.
 REQUIRED_FIELDS = ["hostname", "environment", "datacenter", "application", "owner", "os_type"]
 TEST_WORDS = ["test", "temp", "demo", "sample"]
+# Declared limits of anomaly detection.
+NAMING_CONVENTIONS = [r"^[a-z0-9\-\.]+$", r"^[A-Z0-9\-\.]+$"]
+PRIVATE_RANGES = [(r"^10\.", "Private Class A"), (r"^172\.(1[6-9]|2[0-9]|3[0-1])\.", "Private Class B"), (r"^192\.168\.", "Private Class C")]
+RESOURCE_LIMITS = {"cpu_cores": (1, 128), "memory_gb": (1, 1024), "disk_gb": (10, 100000)}
+AGE_LIMITS = (0, 1095)
+# Texts of insights and recommendations.
+INSIGHTS = {
+    "low_ratio": "Low non-production to production ratio (%.1f:1) - Consider if testing resources are adequate",
+    "high_ratio": "High non-production to production ratio (%.1f:1) - Opportunity for resource optimization",
+    "missing": "Missing standard environments: %s",
+    "no_application": "%d entities with unknown application - Improve application tagging",
+    "one_place": "All infrastructure in single datacenter - Consider multi-region for resilience",
+    "many_places": "Infrastructure spread across %d datacenters - Review if consolidation is possible",
+    "systems": "Managing %d different OS types - Consider standardization",
+    "physical": "High number of physical servers - Consider virtualization or containerization",
+    "containers": "Container-heavy infrastructure - Ensure orchestration platform is robust",
+    "no_links": "No relationships discovered - Review discovery configuration",
+    "few_links": "Very low relationship density - Many isolated components",
+    "many_links": "Very high relationship density - Complex interdependencies",
+    "clustering": "Strong application clustering detected - Good architectural separation",
+    "costly": "%d non-production systems with high resources - Potential cost savings",
+    "inactive": "%d inactive systems - Review for decommissioning",
+    "public": "%d entities with public IPs - Verify security controls",
+    "no_owner": "%d entities without clear ownership - Security and accountability risk",
+    "cpu": "Total CPU capacity: %d cores across %d systems (avg: %.1f)",
+    "cpu_variance": "Large variance in CPU allocation - Consider load balancing",
+    "memory": "Total memory capacity: %,d GB across %d systems",
+    "one_application": "'%s' represents %.1f%% of infrastructure - Single point of failure risk",
+}
+RECOMMENDATIONS = {
+    "completeness": "Enrich data sources to improve completeness",
+    "consistency": "Standardize naming conventions and data formats",
+    "uniqueness": "Implement deduplication process",
+    "validity": "Add data validation rules to discovery process",
+    "timeliness": "Schedule regular discovery runs to keep data current",
+    "relationships": "Review relationship mapping rules",
+}

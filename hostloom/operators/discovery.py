@@ -92,6 +92,20 @@ def distinct_attributes(rows: DataFrame) -> DataFrame:
     return seen.select("hostname", "attribute", F.row_number().over(place).alias("place"), F.col("first.value").alias("value"))
 
 
+def merged_sources(rows: DataFrame) -> DataFrame:
+    """Per host over all its sources: rows, tables, and how many attributes and distinct values they give together."""
+    hosts = rows.groupBy("hostname").agg(F.count("*").alias("n_rows"), F.array_join(F.array_sort(F.collect_set("table_name")), ",").alias("sources"))  # a name a table
+    held = attributes(rows).select("hostname", "attribute", F.lower("value").alias("value")).distinct()
+    held = held.groupBy("hostname").agg(F.count_distinct("attribute").alias("n_attributes"), F.count("*").alias("n_values"))
+    return hosts.join(held, "hostname", "left").na.fill(0, ["n_attributes", "n_values"])
+
+
+def merged_attributes(rows: DataFrame) -> DataFrame:
+    """The attribute lists of each host's sources one after the other: a row a value, with its place in the list."""
+    place = F.row_number().over(Window.partitionBy("hostname", "attribute").orderBy("table_name", "row_id", "value"))
+    return attributes(rows).select("hostname", "attribute", "table_name", place.alias("place"), "value")
+
+
 def base_name(hostname: Column) -> Column:
     return F.when(hostname.contains("."), F.substring_index(hostname, ".", 1)).otherwise(F.regexp_replace(hostname, r"\d+", ""))
 

@@ -344,7 +344,7 @@ def critical_nodes(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def node_features(hosts: DataFrame, size: int = 64) -> DataFrame:
     """Five hashed features of a host, filled up with zeros: reproducible, unlike a salted hash."""
-    share = lambda c: F.pmod(F.xxhash64(F.coalesce(c, F.lit("unknown"))), F.lit(1000)) / 1000.0
+    share = lambda c: F.conv(F.substring(F.md5(F.coalesce(c, F.lit("unknown"))), 1, 8), 16, 10).cast("long") % 1000 / 1000.0
     own = F.array(share("hostname"), share("environment"), share("datacenter"), share("application"), F.col("confidence"))
     return hosts.select(F.col("hostname").alias("id"), F.slice(F.concat(own, F.array_repeat(F.lit(0.0), size)), 1, size).alias("features"))
 
@@ -378,9 +378,22 @@ def cytoscape(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.union(links)
 
 
+GRAPHML_HEAD = '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="type" for="edge" attr.name="type" attr.type="string"/><graph edgedefault="directed">'
+GRAPHML_FOOT = "</graph></graphml>"
+
+
 def graphml(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Lines of a GraphML document's nodes and edges, to be written as text between a head and a foot."""
+    """Lines of a GraphML document in order: head, nodes, edges, foot."""
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    nodes = vertices.select(F.lit(0).alias("part"), F.format_string('<node id="%s"/>', esc(F.col("id"))).alias("line"))
-    links = edges.select(F.lit(1), F.format_string('<edge source="%s" target="%s"><data key="type">%s</data></edge>', esc(F.col("source")), esc(F.col("target")), "type"))
-    return nodes.union(links).orderBy("part").select("line")
+    ends = vertices.sparkSession.createDataFrame([(0, GRAPHML_HEAD), (3, GRAPHML_FOOT)], "part int, line string")
+    nodes = vertices.select(F.lit(1).alias("part"), F.format_string('<node id="%s"/>', esc(F.col("id"))).alias("line"))
+    links = edges.select(F.lit(2), F.format_string('<edge source="%s" target="%s"><data key="type">%s</data></edge>', esc(F.col("source")), esc(F.col("target")), "type"))
+    return ends.union(nodes).union(links).orderBy("part").select("line")
+
+
+def hierarchy(hosts: DataFrame) -> DataFrame:
+    """The tree environment, datacenter, application, host as rows level, parent (a path), name and number of hosts below."""
+    env, dc, app = F.col("environment"), F.col("datacenter"), F.coalesce("application", F.lit("unknown"))
+    levels = [("environment", F.lit(""), env), ("datacenter", env, dc), ("application", F.concat_ws("/", env, dc), app), ("host", F.concat_ws("/", env, dc, app), F.col("hostname"))]
+    each = F.explode(F.array(*(F.struct(F.lit(level).alias("level"), up.alias("parent"), name.alias("name")) for level, up, name in levels))).alias("x")
+    return hosts.select(each).select("x.*").groupBy("level", "parent", "name").agg(F.count("*").alias("n"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import host as H
+from .lineage import cut
 
 KEYS = ["table_name", "column_name"]
 #: Sampled values of a column.
@@ -153,7 +154,7 @@ def feature_vector(parts: list[Column], size: int = 1588) -> Column:
 def tf_idf(docs: DataFrame, top: int = 500) -> DataFrame:
     """Rows id, word, score for the top words by document frequency: count over length, times ln(N / (df + 1))."""
     words = docs.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\w+)"))).alias("word"))
-    counts = words.groupBy("id", "word").agg(F.count("*").alias("k"))
+    counts = cut(words.groupBy("id", "word").agg(F.count("*").alias("k")))  # the texts are split once
     sizes = counts.groupBy("id").agg(F.sum("k").alias("len"))
     df = counts.groupBy("word").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "word").limit(top)
     n = docs.agg(F.count("*").alias("n"))  # one row
@@ -203,7 +204,31 @@ def votes(values: DataFrame) -> DataFrame:
     share = lambda p: F.avg(F.col("value").rlike(p).cast("double"))
     rows = filled(values).groupBy(*KEYS).agg(share(K.VALUE_PATTERNS["ipv4"]).alias("ip"), share("@").alias("at"), share(r"^\d{4}-\d{2}-\d{2}").alias("date"), share(r"^\d+$").alias("digits"))
     vote = F.when(F.col("ip") > 0.8, 1).when(F.col("at") > 0.8, 2).when(F.col("date") > 0.8, 3).when(F.col("digits") > 0.8, 4).when(F.lower("column_name").contains("host"), 0).otherwise(-1)
-    return rows.select(*KEYS, vote.alias("vote"))
+    return rows.select(*KEYS, vote.alias("vote"), "ip", "at", "date", "digits")
+
+
+#: Types by labelling functions' votes, and by patterns of values, in order.
+VOTED = {1: "ip_address", 2: "email", 3: "timestamp", 4: "numeric_id", 0: "hostname"}
+SHAPE_TYPES = {"ip_address": "ipv4", "email": "email", "url": "url", "timestamp": "datetime_iso", "phone": "phone_us", "numeric_id": "zip_us", "hostname": "hostname"}
+
+
+def predictions(values: DataFrame) -> DataFrame:
+    """column_name, model, type, confidence of the four voters of the ensemble. Three of them are networks of random weights
+    in the survey; deterministic judges stand in for them: shares of value patterns (sherlock), hints in the column's
+    name (sato), labelling functions with their shares (doduo); the fourth is the rule classifier (llm)."""
+    name, low = F.concat_ws(".", *KEYS).alias("column_name"), F.lower("column_name")
+    out = rule_types(values).select(name, F.lit("llm").alias("model"), "type", "confidence")
+    first = lambda rules, default: reduce(lambda out, x: F.when(x[0], x[1]).otherwise(out), reversed(rules), F.lit(default))
+    voted = votes(values)
+    shares = {1: "ip", 2: "at", 3: "date", 4: "digits"}
+    share = first([*((F.col("vote") == k, F.col(c)) for k, c in shares.items()), (F.col("vote") == 0, 0.5)], 0.0)
+    out = out.unionByName(voted.select(name, F.lit("doduo").alias("model"), first([(F.col("vote") == k, t) for k, t in VOTED.items()], "unknown").alias("type"), share.alias("confidence")))
+    shaped = filled(values).groupBy(*KEYS).agg(*(F.avg(F.col("value").rlike(K.VALUE_PATTERNS[p]).cast("double")).alias(t) for t, p in SHAPE_TYPES.items()))
+    best = F.greatest(*SHAPE_TYPES)
+    out = out.unionByName(shaped.select(name, F.lit("sherlock").alias("model"), F.when(best > 0, first([(F.col(t) == best, t) for t in SHAPE_TYPES], "unknown")).otherwise("unknown").alias("type"), best.alias("confidence")))
+    hints = [(H.any_contains(low, list(words)), kind, floor) for words, kind, floor in K.NAME_HINTS]
+    hinted = values.select(*KEYS).distinct().select(name, F.lit("sato").alias("model"), first([(f, k) for f, k, _ in hints], "unknown").alias("type"), first([(f, x) for f, _, x in hints], 0.0).alias("confidence"))
+    return out.unionByName(hinted)
 
 
 def ensemble(predictions: DataFrame, weights: dict[str, float] = K.ENSEMBLE_WEIGHTS) -> DataFrame:
@@ -236,11 +261,13 @@ def hashed_embedding(text: Column, size: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("float"))
 
 
-def inclusion(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The share of a's distinct values that b has: a deterministic test for a foreign key."""
-    a, b = a.distinct().toDF("v"), b.distinct().toDF("v")
-    held = a.join(b, "v", "left_semi").agg(F.count("*").alias("shared"))
-    return a.agg(F.count("*").alias("n")).crossJoin(held).select("n", "shared", (F.col("shared") / F.col("n")).alias("ratio"))  # two single rows
+def relation(a: DataFrame, b: DataFrame, share: float = 0.95) -> DataFrame:
+    """One row for two columns: distinct values, those shared, and the relation. same_entity: each holds the other's values;
+    foreign_key: b holds a's; hierarchical: a holds b's; else none. A deterministic test where the survey has a network."""
+    a, b = a.select(F.col(a.columns[0]).cast("string").alias("v")).dropna().distinct(), b.select(F.col(b.columns[0]).cast("string").alias("v")).dropna().distinct()
+    both = a.withColumn("a", F.lit(1)).join(b.withColumn("b", F.lit(1)), "v", "full").agg(F.count("a").alias("n"), F.count("b").alias("m"), F.count(F.col("a") + F.col("b")).alias("shared"))
+    inside, holds = F.col("shared") >= F.col("n") * share, F.col("shared") >= F.col("m") * share
+    return both.select("n", "m", "shared", F.when(inside & holds, "same_entity").when(inside, "foreign_key").when(holds, "hierarchical").otherwise("none").alias("relation"))
 
 
 def topics(docs: DataFrame, k: int = 16, vocabulary: int = 500, seed: int = 42) -> DataFrame:

@@ -17,6 +17,15 @@ def _add(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
+def _links(edges: DataFrame) -> Column:
+    """How many links there are: an edge between classes stands for many."""
+    return F.coalesce(F.sum("links"), F.lit(0)) if "links" in edges.columns else F.count("*")
+
+
+def _confidence(edges: DataFrame) -> Column:
+    return F.sum(F.col("confidence") * F.col("links")) / F.sum("links") if "links" in edges.columns else F.avg("confidence")
+
+
 def _as_text(c: str) -> Column:
     return F.col(c).cast("string")
 
@@ -49,17 +58,16 @@ def naming_consistency(hosts: DataFrame) -> DataFrame:
 def dimensions(hosts: DataFrame, edges: DataFrame, now: str) -> DataFrame:
     """One row: the six dimension scores and their mean. Each part is one aggregation; the parts are single rows."""
     known = [*(x for x, _ in K.ENVIRONMENTS), "sandbox", "unknown"]
-    envs = F.collect_set("environment")  # a vocabulary, not the rows
     rows = hosts.agg(
         F.count("*").alias("n"),
         F.avg(_add([F.when(H.present(F.col(f)), 1.0).otherwise(0.0) for f in K.REQUIRED_FIELDS]) / len(K.REQUIRED_FIELDS)).alias("completeness"),
         F.coalesce(F.avg(F.when(F.col("ip_address").isNotNull(), F.when(H.four_octets(F.col("ip_address")), 1.0).otherwise(0.0))), F.lit(0.5)).alias("ip"),
-        (F.size(F.filter(envs, lambda e: e.isin(known))) / F.greatest(F.size(envs), F.lit(1))).alias("env"),
+        (F.count_distinct(F.when(F.col("environment").isin(known), F.col("environment"))) / F.greatest(F.count_distinct("environment"), F.lit(1))).alias("env"),
         (F.count_distinct("hostname") / F.count("*")).alias("uniqueness"),
         F.avg(validity()).alias("validity"),
         F.avg(timeliness(F.col("last_seen"), now)).alias("timeliness"),
     )
-    links = edges.agg(F.count("*").alias("m"), F.avg("confidence").alias("c"))
+    links = edges.agg(_links(edges).alias("m"), _confidence(edges).alias("c"))
     density = F.col("m") / (F.col("n") * (F.col("n") - 1) / 2)
     score = F.when(density < 0.05, density * 20).when(density > 0.2, 1 - (density - 0.2) * 2).otherwise(1.0)
     rows = rows.crossJoin(naming_consistency(hosts)).crossJoin(links)  # three single rows
@@ -81,8 +89,7 @@ def distributions(hosts: DataFrame, fields: list[str]) -> DataFrame:
 
 def recommendations(scores: DataFrame, covered: DataFrame) -> DataFrame:
     """Texts for dimensions and critical fields under a half, ten at most."""
-    texts = [("completeness", "Enrich data sources to improve completeness"), ("consistency", "Standardize naming conventions and data formats"), ("uniqueness", "Implement deduplication process"), ("validity", "Add data validation rules to discovery process"), ("timeliness", "Schedule regular discovery runs to keep data current"), ("relationships", "Review relationship mapping rules")]
-    by_score = scores.select(F.explode(F.array_compact(F.array(*(F.when(F.col(d) < 0.5, F.struct(F.lit(k).alias("place"), F.lit(t).alias("text"))) for k, (d, t) in enumerate(texts))))).alias("x")).select("x.*")
+    by_score = scores.select(F.explode(F.array_compact(F.array(*(F.when(F.col(d) < 0.5, F.struct(F.lit(k).alias("place"), F.lit(t).alias("text"))) for k, (d, t) in enumerate(K.RECOMMENDATIONS.items()))))).alias("x")).select("x.*")
     critical = ["environment", "owner", "application", "datacenter"]
     by_field = covered.filter(F.col("field").isin(critical) & (F.col("percent") < 50)).select((F.lit(10) + F.array_position(F.lit(critical), F.col("field"))).cast("int").alias("place"), F.format_string("Improve %s identification - only %.1f%% coverage", "field", "percent").alias("text"))
     return by_score.unionByName(by_field).orderBy("place").limit(10)
@@ -146,6 +153,21 @@ def test_in_production(hosts: DataFrame) -> DataFrame:
     return rows.select(F.lit("test_in_production").alias("type"), F.lit("high").alias("severity"), F.col("hostname").alias("affected"), F.format_string("Possible test entity in production: %s", F.lower("hostname")).alias("description"))
 
 
+def out_of_limits(hosts: DataFrame, now: str) -> DataFrame:
+    """Hosts beyond the declared limits: names of mixed case, addresses that aren't private, resources and ages out of
+    bounds. hosts may lack a column, and a missing value breaks no limit."""
+    have = hosts.columns
+    rules = [("naming_convention", ~reduce(lambda a, b: a | b, (F.col("hostname").rlike(p) for p in K.NAMING_CONVENTIONS)))]
+    if "ip_address" in have:
+        rules.append(("ip_range", ~reduce(lambda a, b: a | b, (F.col("ip_address").rlike(p) for p, _ in K.PRIVATE_RANGES))))
+    rules += [(c, ~F.col(c).between(*bounds)) for c, bounds in K.RESOURCE_LIMITS.items() if c in have]
+    if "last_seen" in have:
+        seen = F.try_to_timestamp("last_seen", F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+        rules.append(("age", ~F.floor((F.lit(now).cast("timestamp").cast("long") - seen.cast("long")) / 86400).between(*K.AGE_LIMITS)))
+    broken = F.array_compact(F.array(*(F.when(rule, name) for name, rule in rules)))
+    return hosts.select("hostname", F.explode(broken).alias("rule"))
+
+
 def anomalies(hosts: DataFrame, edges: DataFrame) -> DataFrame:
     """All families, the most severe first."""
     families = [duplicates(hosts, "hostname", "high", "Hostname '%s' appears %d times"), duplicates(hosts, "ip_address", "medium", "IP address '%s' assigned to %d entities"), naming_violations(hosts), resource_anomalies(hosts), orphan_anomalies(hosts, edges), drift(hosts), missing_fields(hosts), test_in_production(hosts)]
@@ -162,7 +184,7 @@ def insights(hosts: DataFrame, edges: DataFrame) -> DataFrame:
     a = hosts.agg(
         F.count("*").alias("n"),
         cond(F.col("environment") == "production").alias("prod"),
-        F.array_join(F.array_sort(F.array_except(F.array(*map(F.lit, ("development", "production", "staging"))), F.collect_set("environment"))), ", ").alias("missing"),
+        F.concat_ws(", ", *(F.when(~F.max(F.coalesce(F.col("environment") == e, F.lit(False))), e) for e in ("development", "production", "staging"))).alias("missing"),
         cond(F.coalesce("application", F.lit("unknown")) == "unknown").alias("no_app"),
         F.count_distinct("datacenter").alias("dcs"),
         F.count_distinct(F.coalesce("os_type", F.lit("unknown"))).alias("systems"),
@@ -170,8 +192,9 @@ def insights(hosts: DataFrame, edges: DataFrame) -> DataFrame:
         cond(F.col("environment").isin("development", "testing") & ((F.coalesce("cpu_cores", F.lit(0)) > 8) | (F.coalesce("memory_gb", F.lit(0)) > 32))).alias("costly"),
         cond((F.col("ip_address") != "") & ~private).alias("public"),
         cond(~H.present(F.col("owner"))).alias("no_owner"),
+        cond(F.coalesce("status", F.lit("")) != "active").alias("inactive"),
         F.count(cpu).alias("with_cpu"), F.sum(cpu).alias("cpu"), F.avg(cpu).alias("avg_cpu"), F.max(cpu).alias("max_cpu"), F.count(memory).alias("with_memory"), F.sum(memory).alias("memory"),
-    ).crossJoin(edges.agg(F.count("*").alias("m"), cond(F.col("type") == "same_application").alias("apps")))
+    ).crossJoin(edges.agg(_links(edges).alias("m"), cond(F.col("type") == "same_application").alias("apps")))
     ratio = (F.col("n") - F.col("prod")) / F.col("prod")
     density = F.col("m") / (F.col("n") * (F.col("n") - 1) / 2)
     say = lambda topic, when, text, *args: F.when(when, F.struct(F.lit(topic).alias("topic"), (F.format_string(text, *args) if args else F.lit(text)).alias("insight")))
@@ -180,33 +203,33 @@ def insights(hosts: DataFrame, edges: DataFrame) -> DataFrame:
         F.explode(
             F.array_compact(
                 F.array(
-                    say("environment", both & (ratio < 0.5), "Low non-production to production ratio (%.1f:1) - Consider if testing resources are adequate", ratio),
-                    say("environment", both & (ratio > 3), "High non-production to production ratio (%.1f:1) - Opportunity for resource optimization", ratio),
-                    say("environment", F.col("missing") != "", "Missing standard environments: %s", F.col("missing")),
-                    say("application", F.col("no_app") > F.col("n") * 0.2, "%d entities with unknown application - Improve application tagging", F.col("no_app")),
-                    say("infrastructure", F.col("dcs") == 1, "All infrastructure in single datacenter - Consider multi-region for resilience"),
-                    say("infrastructure", F.col("dcs") > 5, "Infrastructure spread across %d datacenters - Review if consolidation is possible", F.col("dcs")),
-                    say("infrastructure", F.col("systems") > 3, "Managing %d different OS types - Consider standardization", F.col("systems")),
-                    say("infrastructure", F.col("physical_server") > F.col("virtual_machine") + F.col("container"), "High number of physical servers - Consider virtualization or containerization"),
-                    say("infrastructure", (F.col("container") > F.col("virtual_machine") * 2) & (F.col("physical_server") <= F.col("virtual_machine") + F.col("container")), "Container-heavy infrastructure - Ensure orchestration platform is robust"),
-                    say("relationship", F.col("m") == 0, "No relationships discovered - Review discovery configuration"),
-                    say("relationship", (F.col("m") > 0) & (density < 0.01), "Very low relationship density - Many isolated components"),
-                    say("relationship", density > 0.3, "Very high relationship density - Complex interdependencies"),
-                    say("relationship", F.col("apps") > F.col("m") * 0.5, "Strong application clustering detected - Good architectural separation"),
-                    say("cost", F.col("costly") > 0, "%d non-production systems with high resources - Potential cost savings", F.col("costly")),
-                    say("cost", F.col("n") > 0, "%d inactive systems - Review for decommissioning", F.col("n")),
-                    say("security", F.col("public") > 0, "%d entities with public IPs - Verify security controls", F.col("public")),
-                    say("security", F.col("no_owner") > F.col("n") * 0.2, "%d entities without clear ownership - Security and accountability risk", F.col("no_owner")),
-                    say("capacity", F.col("with_cpu") > 0, "Total CPU capacity: %d cores across %d systems (avg: %.1f)", F.col("cpu"), F.col("with_cpu"), F.col("avg_cpu")),
-                    say("capacity", F.col("max_cpu") > F.col("avg_cpu") * 5, "Large variance in CPU allocation - Consider load balancing"),
-                    say("capacity", F.col("with_memory") > 0, "Total memory capacity: %,d GB across %d systems", F.col("memory"), F.col("with_memory")),
+                    say("environment", both & (ratio < 0.5), K.INSIGHTS["low_ratio"], ratio),
+                    say("environment", both & (ratio > 3), K.INSIGHTS["high_ratio"], ratio),
+                    say("environment", F.col("missing") != "", K.INSIGHTS["missing"], F.col("missing")),
+                    say("application", F.col("no_app") > F.col("n") * 0.2, K.INSIGHTS["no_application"], F.col("no_app")),
+                    say("infrastructure", F.col("dcs") == 1, K.INSIGHTS["one_place"]),
+                    say("infrastructure", F.col("dcs") > 5, K.INSIGHTS["many_places"], F.col("dcs")),
+                    say("infrastructure", F.col("systems") > 3, K.INSIGHTS["systems"], F.col("systems")),
+                    say("infrastructure", F.col("physical_server") > F.col("virtual_machine") + F.col("container"), K.INSIGHTS["physical"]),
+                    say("infrastructure", (F.col("container") > F.col("virtual_machine") * 2) & (F.col("physical_server") <= F.col("virtual_machine") + F.col("container")), K.INSIGHTS["containers"]),
+                    say("relationship", F.col("m") == 0, K.INSIGHTS["no_links"]),
+                    say("relationship", (F.col("m") > 0) & (density < 0.01), K.INSIGHTS["few_links"]),
+                    say("relationship", density > 0.3, K.INSIGHTS["many_links"]),
+                    say("relationship", F.col("apps") > F.col("m") * 0.5, K.INSIGHTS["clustering"]),
+                    say("cost", F.col("costly") > 0, K.INSIGHTS["costly"], F.col("costly")),
+                    say("cost", F.col("inactive") > F.col("n") * 0.1, K.INSIGHTS["inactive"], F.col("inactive")),
+                    say("security", F.col("public") > 0, K.INSIGHTS["public"], F.col("public")),
+                    say("security", F.col("no_owner") > F.col("n") * 0.2, K.INSIGHTS["no_owner"], F.col("no_owner")),
+                    say("capacity", F.col("with_cpu") > 0, K.INSIGHTS["cpu"], F.col("cpu"), F.col("with_cpu"), F.col("avg_cpu")),
+                    say("capacity", F.col("max_cpu") > F.col("avg_cpu") * 5, K.INSIGHTS["cpu_variance"]),
+                    say("capacity", F.col("with_memory") > 0, K.INSIGHTS["memory"], F.col("memory"), F.col("with_memory")),
                 )
             )
         ).alias("x")
     ).select("x.*")
     top = hosts.groupBy(F.coalesce("application", F.lit("unknown")).alias("app")).agg(F.count("*").alias("k")).orderBy(F.desc("k"), "app").limit(3).crossJoin(hosts.agg(F.count("*").alias("n")))
     share = F.col("k") * 100.0 / F.col("n")
-    top = top.filter(share > 30).select(F.lit("application").alias("topic"), F.format_string("'%s' represents %.1f%% of infrastructure - Single point of failure risk", "app", share).alias("insight"))
+    top = top.filter(share > 30).select(F.lit("application").alias("topic"), F.format_string(K.INSIGHTS["one_application"], "app", share).alias("insight"))
     return rows.unionByName(top)
 
 
@@ -215,4 +238,4 @@ def statistics(hosts: DataFrame, edges: DataFrame) -> DataFrame:
     distinct = lambda c: F.count_distinct(F.coalesce(c, F.lit("\x00")))
     known = lambda c: F.count_if(F.coalesce(c, F.lit("")) != "unknown")
     h = hosts.agg(F.count("*").alias("entities"), distinct("environment").alias("environments"), distinct("datacenter").alias("datacenters"), distinct("application").alias("applications"), distinct("os_type").alias("os_types"), ((known("environment") + known("application") + known("owner")) / (3 * F.count("*"))).alias("accuracy"), F.avg("confidence").alias("confidence"))
-    return h.crossJoin(edges.agg(F.count("*").alias("relationships"), F.avg("confidence").alias("relationship_confidence")))
+    return h.crossJoin(edges.agg(_links(edges).alias("relationships"), _confidence(edges).alias("relationship_confidence")))

@@ -58,7 +58,7 @@ def attribute_keys(hosts: DataFrame, picked: DataFrame) -> DataFrame:
 
 
 def shared_attributes(hosts: DataFrame, picked: DataFrame) -> DataFrame:
-    keys = sized(attribute_keys(hosts, picked), "key", 2, 50)
+    keys = cut(sized(cut(attribute_keys(hosts, picked)), "key", 2, 50))
     pairs = keys.alias("a").join(keys.alias("b"), "key").filter("a.hostname < b.hostname")
     via = F.substring_index("key", ":", 1)
     kinds = {"env": ("same_environment", 0.5), "dc": ("same_datacenter", 0.6), "app": ("same_application", 0.9), "owner": ("same_owner", 0.5), "cluster": ("same_cluster", 0.9), "cluster_name": ("same_cluster", 0.9), "cluster_id": ("same_cluster", 0.9)}
@@ -136,7 +136,6 @@ def deduplicate(edges: DataFrame, directed: bool = False) -> DataFrame:
 
 def families(hosts: DataFrame, picked: DataFrame) -> DataFrame:
     """The edges of all five families and how many links each stands for: one, but for those between classes."""
-    hosts = cut(hosts)
     single = [shared_attributes(hosts, picked), same_network(hosts), hierarchy(hosts), clusters(hosts)]
     frames = [application_patterns(hosts), *(f.select(*EDGE, F.lit(1).cast("long").alias("links")) for f in single)]
     return reduce(lambda a, b: a.unionByName(b), frames)

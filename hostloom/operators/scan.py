@@ -3,17 +3,47 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import host as H
+
 log = logging.getLogger(__name__)
 
 
 def sampled(df: DataFrame, percent: float, most: int, seed: int | None = None) -> DataFrame:
-    """A Bernoulli sample of percent, cut at most rows."""
-    return df.sample(percent / 100, seed).limit(most)
+    """A sample of min(percent of the rows, most) rows, rounded down; None of an empty table or where that is no row, so
+    that a ladder of scans goes on. Drawn by a Bernoulli sample of twice the share, which a limit cuts to the number."""
+    n = min(int(df.count() * percent / 100), most)
+    if not n:
+        return None
+    # of under a thousand rows, twice the share may fall short by chance
+    return (df if n < 1000 else df.sample(min(1.0, percent / 50), seed)).limit(n)
+
+
+def hostname_samples(df: DataFrame, columns: list[str], percent: float = 1, most: int = 100, seed: int | None = None) -> DataFrame:
+    """hostname: the values that look like host names in the first three columns of a sample of rows, most at most, whose
+    first column isn't null."""
+    rows = df.select(*columns[:3]).sample(percent / 100, seed).filter(F.col(columns[0]).isNotNull()).limit(most)
+    values = rows.select(F.explode(F.array(*(F.col(c).cast("string") for c in columns[:3]))).alias("hostname"))
+    return values.filter(H.looks_like_hostname(F.col("hostname")))
+
+
+def training_export(rows: DataFrame, catalog: DataFrame, hostname: str = "host_name") -> DataFrame:
+    """Rows kind, value: distinct host names that look like ones, tables and columns."""
+    names = rows.filter(H.looks_like_hostname(F.col(hostname))).select(F.lit("hostname").alias("kind"), F.col(hostname).alias("value")).distinct()
+    return names.union(catalog.select(F.lit("table"), "table_name").distinct()).union(catalog.select(F.lit("column"), "column_name").distinct())
+
+
+def scan_statistics(export: DataFrame, catalog: DataFrame, seconds: float | None = None) -> DataFrame:
+    """One row: tables, columns and host names; with the seconds that a scan took, tables a second too."""
+    found = export.agg(F.count_if(F.col("kind") == "table").alias("n_tables"), F.count_if(F.col("kind") == "hostname").alias("n_hostnames"))
+    out = found.crossJoin(catalog.agg(F.count("*").alias("n_columns")))
+    return out.withColumn("tables_per_second", F.col("n_tables") / F.lit(seconds)) if seconds else out
 
 
 def is_complex(kind: T.DataType) -> bool:
@@ -53,10 +83,40 @@ def report(spark: SparkSession, tables: dict[str, DataFrame | None]) -> DataFram
 
 
 def load(spark: SparkSession, paths: list[str], skip_corrupt: bool = False) -> DataFrame:
-    """Parquet files as one table; with skip_corrupt, files that can't be read are left out."""
+    """Parquet files as one table; with skip_corrupt, files that can't be read are logged and left out."""
+    if skip_corrupt:
+        good = []
+        for path in paths:
+            try:
+                spark.read.parquet(path)  # the footer alone
+                good.append(path)
+            except Exception as e:  # noqa: BLE001  whatever is wrong with one file, the others are wanted
+                log.warning("%s can't be read: %s", path, e)
+        if not good:
+            raise ValueError("none of the files can be read")
+        paths = good
     return spark.read.option("ignoreCorruptFiles", skip_corrupt).parquet(*paths)
 
 
+class LoadCache:
+    """Frames by key, kept by the cluster; over most bytes, the oldest one goes. Sizes are the optimiser's estimates."""
+
+    def __init__(self, most: int = 8 << 30):
+        self.most, self.held = most, {}
+
+    def get(self, key: str, load: Callable[[], DataFrame]) -> DataFrame:
+        if key not in self.held:
+            df = load()
+            size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+            if self.held and size + sum(s for _, s in self.held.values()) > self.most:
+                self.drop(next(iter(self.held)))
+            self.held[key] = df.persist(StorageLevel.MEMORY_AND_DISK), size
+        return self.held[key][0]
+
+    def drop(self, key: str) -> None:
+        self.held.pop(key)[0].unpersist()
+
+
 def scan(strategies: list) -> tuple[DataFrame | None, str]:
     """The result of the first strategy that succeeds with a frame, and its name; each is a function of no argument."""
     for strategy in strategies:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import host as H
 from ..operators import classify as C
+from ..operators import discovery as D
+from ..operators.lineage import cut
 from . import views as V
 from .registry import query
 
@@ -48,8 +50,14 @@ _CLASSES = """classes AS (SELECT hostname, type, sub_type, least((type_confidenc
 CLASSES_SQL = ",\n".join((*_BASE, _FIRST, _SCORES, _TYPES, _SUB, _ATTR, _CLASSES))
 
 
+def once(spark, sf):
+    """Picked rows and hosts, found once for plans that read them many times."""
+    picked = cut(V.picked(spark, sf))
+    return cut(D.enrich(D.group_hosts(picked))), picked
+
+
 def classes(spark, sf):
-    return C.classify(V.hosts(spark, sf), V.picked(spark, sf))
+    return C.classify(*once(spark, sf))
 
 
 _INFERRED = f"""inferred_names AS (SELECT hostname, {H.sql_first_keyword('hostname', K.INFERRED_ENVIRONMENTS)} AS environment_inferred, {H.sql_first_keyword('hostname', K.INFERRED_REGIONS)} AS datacenter_inferred,
@@ -123,7 +131,8 @@ _TAGS = ", ".join(
 
 @query("n14_tags", V.with_(CLASSES_SQL) + f"SELECT hostname, concat_ws(' ', {_TAGS}) AS tags FROM hosts JOIN classes USING (hostname)")
 def tags(spark, sf):
-    return C.tags(V.hosts(spark, sf), classes(spark, sf)).select("hostname", F.array_join("tags", " ").alias("tags"))
+    hosts, picked = once(spark, sf)
+    return C.tags(hosts, C.classify(hosts, picked)).select("hostname", F.array_join("tags", " ").alias("tags"))
 
 
 def _points(c, table):
@@ -135,10 +144,12 @@ _CRITICAL = f"""critical AS (SELECT hostname, {_points('environment', K.CRITICAL
 
 @query("n15_criticality", V.with_(CLASSES_SQL, _CRITICAL) + "SELECT hostname, points, CASE WHEN points >= 70 THEN 'critical' WHEN points >= 50 THEN 'high' WHEN points >= 30 THEN 'medium' ELSE 'low' END AS criticality FROM critical")
 def criticality(spark, sf):
-    return C.criticality(V.hosts(spark, sf), classes(spark, sf))
+    hosts, picked = once(spark, sf)
+    return C.criticality(hosts, C.classify(hosts, picked))
 
 
 @query("n1_n16_enriched_hosts", V.with_(CLASSES_SQL) + "SELECT hostname, environment, datacenter, application, type, sub_type, method, occurrences FROM hosts JOIN classes USING (hostname) JOIN scores USING (hostname)")
 def enriched(spark, sf):
-    scores = C.source_scores(V.picked(spark, sf)).select("hostname", "occurrences")
-    return V.hosts(spark, sf).join(classes(spark, sf).drop("confidence"), "hostname").join(scores, "hostname").select("hostname", "environment", "datacenter", "application", "type", "sub_type", "method", "occurrences")
+    hosts, picked = once(spark, sf)
+    scores = C.source_scores(picked).select("hostname", "occurrences")
+    return hosts.join(C.classify(hosts, picked).drop("confidence"), "hostname").join(scores, "hostname").select("hostname", "environment", "datacenter", "application", "type", "sub_type", "method", "occurrences")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import host as H
+from ..operators import discovery as D
 from ..operators import profile as P
 from ..operators import scan as S
 from ..sources.inventory import table
@@ -181,9 +182,22 @@ def token_counts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", P.token_count(F.col("text")).alias("n_tokens"))
 
 
-@query("c23_inclusion", "SELECT count(*) AS n, count(*) FILTER (c_custkey IS NOT NULL) AS shared, round(count(c_custkey) / count(*), 9) AS ratio FROM (SELECT DISTINCT o_custkey FROM orders) o LEFT JOIN (SELECT DISTINCT c_custkey FROM customer) c ON o_custkey = c_custkey")
-def inclusion(spark, sf):
-    return P.inclusion(table(spark, sf, "orders").select("o_custkey"), table(spark, sf, "customer").select("c_custkey")).withColumn("ratio", F.round("ratio", 9))
+#: Pairs of columns whose relation is asked for.
+RELATED = [("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_custkey", "orders", "o_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "supplier", "s_nationkey"), ("events", "user_id", "part", "p_size"), ("region", "r_name", "nation", "n_name")]
+
+
+def _relation(a, c, b, d):
+    return f"""SELECT '{a}.{c}' AS one, '{b}.{d}' AS other, n, m, shared, CASE WHEN shared >= n * 0.95 AND shared >= m * 0.95 THEN 'same_entity' WHEN shared >= n * 0.95 THEN 'foreign_key' WHEN shared >= m * 0.95 THEN 'hierarchical' ELSE 'none' END AS relation FROM
+  (SELECT count(x) AS n, count(y) AS m, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS shared FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS x FROM {a}) FULL JOIN (SELECT DISTINCT CAST({d} AS VARCHAR) AS y FROM {b}) ON x = y)"""
+
+
+@query("c23_relations", " UNION ALL ".join(_relation(*r) for r in RELATED))
+def relations(spark, sf):
+    out = None
+    for a, c, b, d in RELATED:
+        row = P.relation(table(spark, sf, a).select(c), table(spark, sf, b).select(d)).select(F.lit(f"{a}.{c}").alias("one"), F.lit(f"{b}.{d}").alias("other"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 _KINDS = list(K.TYPE_PATTERNS)
@@ -215,24 +229,35 @@ _VOTES = f"votes AS (SELECT {_K}, CASE WHEN {_share(K.VALUE_PATTERNS['ipv4'])} T
 
 @query("c25_votes", f"WITH {_VALUES}, {_VOTES} SELECT * FROM votes")
 def votes(spark, sf):
-    return P.votes(values(spark, sf))
+    return P.votes(values(spark, sf)).select(*P.KEYS, "vote")
+
 
+def _hinted():
+    """The type that a column's name hints at, with its floor."""
+    fits = [("(" + " OR ".join(f"contains({_L}, '{w}')" for w in words) + ")", kind, value) for words, kind, value in K.NAME_HINTS]
+    return f"CASE {' '.join(f"WHEN {f} THEN '{k}'" for f, k, _ in fits)} ELSE 'unknown' END AS type, CASE {' '.join(f'WHEN {f} THEN {x}::DOUBLE' for f, _, x in fits)} ELSE 0::DOUBLE END AS confidence"
 
-_VOTED = {1: "ip_address", 2: "email", 3: "timestamp", 4: "numeric_id", 0: "hostname"}
 
+_SHARES = [(t, f"avg(regexp_matches(value, '{K.VALUE_PATTERNS[p]}')::INT)") for t, p in P.SHAPE_TYPES.items()]
+_TOP = f"greatest({', '.join(f'x{k}' for k in range(len(_SHARES)))})"
+_PREDICTIONS = f"""{_typed()}, voted AS (SELECT {_K}, vote, CASE vote WHEN 1 THEN ip WHEN 2 THEN mail WHEN 3 THEN date WHEN 4 THEN digits WHEN 0 THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS share FROM votes JOIN (SELECT {_K}, avg(regexp_matches(value, '{K.VALUE_PATTERNS['ipv4']}')::INT) AS ip, avg(contains(value, '@')::INT) AS mail, avg(regexp_matches(value, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')::INT) AS date, avg(regexp_matches(value, '^[0-9]+$')::INT) AS digits FROM v GROUP BY 1, 2) USING (table_name, column_name)),
+shaped AS (SELECT {_K}, {', '.join(f'{x} AS x{k}' for k, (_, x) in enumerate(_SHARES))} FROM v GROUP BY 1, 2),
+preds AS (SELECT table_name || '.' || column_name AS c, 'llm' AS model, type, confidence FROM typed
+  UNION ALL SELECT table_name || '.' || column_name, 'doduo', CASE vote {' '.join(f"WHEN {k} THEN '{t}'" for k, t in P.VOTED.items())} ELSE 'unknown' END, share FROM voted
+  UNION ALL SELECT table_name || '.' || column_name, 'sherlock', CASE WHEN {_TOP} > 0 THEN CASE {_TOP} {' '.join(f"WHEN x{k} THEN '{t}'" for k, (t, _) in enumerate(_SHARES))} END ELSE 'unknown' END, {_TOP} FROM shaped
+  UNION ALL SELECT c, 'sato', type, confidence FROM (SELECT table_name || '.' || column_name AS c, {_hinted()} FROM (SELECT DISTINCT {_K} FROM v)))"""
 
-@query("c26_ensemble", f"""WITH {_VALUES}, {_typed()}, {_VOTES}, preds AS (SELECT table_name || '.' || column_name AS c, 'llm' AS model, type, confidence FROM typed UNION ALL SELECT table_name || '.' || column_name, 'doduo', CASE vote {' '.join(f"WHEN {k} THEN '{t}'" for k, t in _VOTED.items())} ELSE 'unknown' END, 0.5::DOUBLE FROM votes),
-sums AS (SELECT c, type, sum(CASE model WHEN 'llm' THEN 0.10::DOUBLE ELSE 0.35::DOUBLE END * confidence) AS s FROM preds GROUP BY 1, 2)
+
+@query("c19_predictions", f"WITH {_VALUES}, {_VOTES}, {_PREDICTIONS} SELECT c AS column_name, model, type, round(confidence, 9) AS confidence FROM preds")
+def predictions(spark, sf):
+    return P.predictions(values(spark, sf)).withColumn("confidence", F.round("confidence", 9))
+
+
+@query("c26_ensemble", f"""WITH {_VALUES}, {_VOTES}, {_PREDICTIONS},
+sums AS (SELECT c, type, sum(CASE model {' '.join(f"WHEN '{m}' THEN {w}::DOUBLE" for m, w in K.ENSEMBLE_WEIGHTS.items())} END * confidence) AS s FROM preds GROUP BY 1, 2)
 SELECT c AS column_name, arg_min(type, (-round(s, 9), type)) AS type, round(max(s), 9) AS confidence FROM sums GROUP BY 1""")
 def ensemble(spark, sf):
-    v = values(spark, sf)
-    name = F.concat_ws(".", *P.KEYS).alias("column_name")
-    kind = F.lit("unknown")
-    for k, t in _VOTED.items():
-        kind = F.when(F.col("vote") == k, t).otherwise(kind)
-    a = P.rule_types(v).select(name, F.lit("llm").alias("model"), "type", "confidence")
-    b = P.votes(v).select(name, F.lit("doduo").alias("model"), kind.alias("type"), F.lit(0.5).alias("confidence"))
-    return P.ensemble(a.unionByName(b))
+    return P.ensemble(P.predictions(values(spark, sf)))
 
 
 _SAMPLES = "samples AS (SELECT host_name AS value, row_id AS place FROM host_raw WHERE table_name = 'tpch.supplier' AND host_name IS NOT NULL UNION ALL SELECT host_name, row_id + 1000000 FROM host_raw WHERE table_name = 'web.pages')"
@@ -259,6 +284,11 @@ def sampled_scan(spark, sf):
     return S.sampled(table(spark, sf, "orders"), percent=10, most=100_000, seed=42)
 
 
+@query("s3_sample_size", "SELECT least(floor(count(*) * 10 / 100), 100000)::BIGINT AS n FROM orders")
+def sample_size(spark, sf):
+    return sampled_scan(spark, sf).agg(F.count("*").alias("n"))
+
+
 @query("s4_json_projection", "SELECT vec_id, label, len(embedding) AS n FROM embeddings")
 def json_projection(spark, sf):
     out = S.complex_as_json(table(spark, sf, "embeddings"))
@@ -292,8 +322,9 @@ def scan_report(spark, sf):
 
 @query("s12_hostname_samples")
 def hostname_samples(spark, sf):
-    rows = V.raw(spark, sf).filter("host_name is not null").sample(0.2, 7).limit(100)
-    return rows.filter(H.looks_like_hostname(F.col("host_name"))).select("host_name")
+    raw = V.raw(spark, sf)
+    found = [r.column_name for r in D.find_columns(catalog(spark, sf).filter("table_name = 'host_raw'"), "hostname", 0.5).collect()]  # of one table
+    return S.hostname_samples(raw, found, percent=1, seed=7)
 
 
 @query("s15_s17_files", "SELECT count(*) AS n, count(DISTINCT l_orderkey) AS orders FROM lineitem")

@@ -8,6 +8,7 @@ from ..functions import constants as K
 from ..functions import host as H
 from ..operators import discovery as D
 from ..operators import graph as G
+from ..operators import scan as S
 from ..sources.inventory import table
 from . import views as V
 from .registry import query
@@ -77,9 +78,14 @@ def looks_like(spark, sf):
     return V.raw(spark, sf).select("host_name", H.looks_like_hostname(F.col("host_name")).alias("looks"))
 
 
-@query("s14_training_hostnames", V.with_(V.RAW_SQL) + f"SELECT DISTINCT host_name FROM host_raw WHERE {_LOOSE}")
-def training_hostnames(spark, sf):
-    return V.raw(spark, sf).filter(H.looks_like_hostname(F.col("host_name"))).select("host_name").distinct()
+@query("s14_training_export", f"WITH {_CATALOG} SELECT DISTINCT 'hostname' AS kind, host_name AS value FROM host_raw WHERE {_LOOSE} UNION ALL SELECT DISTINCT 'table', table_name FROM catalog UNION ALL SELECT DISTINCT 'column', column_name FROM catalog")
+def training_export(spark, sf):
+    return S.training_export(V.raw(spark, sf), catalog(spark, sf))
+
+
+@query("s14_scan_statistics", f"WITH {_CATALOG} SELECT (SELECT count(DISTINCT table_name) FROM catalog) AS n_tables, (SELECT count(*) FROM catalog) AS n_columns, (SELECT count(DISTINCT host_name) FROM host_raw WHERE {_LOOSE}) AS n_hostnames")
+def scan_statistics(spark, sf):
+    return S.scan_statistics(S.training_export(V.raw(spark, sf), catalog(spark, sf)), catalog(spark, sf))
 
 
 @query("p6_valid_hostname", V.with_(V.RAW_SQL) + f"SELECT host_name, {H.sql_valid_hostname('host_name')} AS valid FROM host_raw")
@@ -102,7 +108,11 @@ def ip_shape(spark, sf):
     return V.raw(spark, sf).select("ip_address", H.ip_shaped(F.col("ip_address")).alias("shaped"))
 
 
-@query("p11_attribute_type")
+_TYPE = r"""CASE WHEN json_valid(value) THEN 'json' WHEN regexp_matches(value, '^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$') OR lower(trim(value)) IN ('inf', '+inf', '-inf', 'infinity', 'nan') THEN 'numeric'
+  WHEN regexp_matches(value, '^\d{4}-\d{2}-\d{2}') THEN 'date' WHEN lower(value) IN ('true', 'false', 'yes', 'no', '1', '0') THEN 'boolean' ELSE 'text' END"""
+
+
+@query("p11_attribute_type", V.with_(V.PICKED_SQL, V.ATTRIBUTES_SQL) + f"SELECT attribute, {_TYPE} AS type, count(*) AS n FROM attributes GROUP BY 1, 2")
 def attribute_type(spark, sf):
     return D.attributes(V.picked(spark, sf)).select("attribute", H.attribute_type(F.col("value")).alias("type")).groupBy("attribute", "type").agg(F.count("*").alias("n"))
 
@@ -173,10 +183,15 @@ def duplicate_groups(spark, sf):
 
 
 
-@query("d11_merged_sources", V.with_(V.PICKED_SQL) + "SELECT n_tables, count(*) AS n_hosts, sum(n_rows)::BIGINT AS n_rows FROM (SELECT hostname, count(DISTINCT table_name) AS n_tables, count(*) AS n_rows FROM picked GROUP BY 1) GROUP BY 1")
+@query("d11_merged_sources", V.with_(V.PICKED_SQL, V.ATTRIBUTES_SQL) + """SELECT hostname, n_rows, sources, coalesce(n_attributes, 0) AS n_attributes, coalesce(n_values, 0) AS n_values FROM (SELECT hostname, count(*) AS n_rows, string_agg(DISTINCT table_name, ',' ORDER BY table_name) AS sources FROM picked GROUP BY 1)
+LEFT JOIN (SELECT hostname, count(DISTINCT attribute) AS n_attributes, count(*) AS n_values FROM (SELECT DISTINCT hostname, attribute, lower(value) FROM attributes) GROUP BY 1) USING (hostname)""")
 def merged_sources(spark, sf):
-    hosts = V.picked(spark, sf).groupBy("hostname").agg(F.count_distinct("table_name").alias("n_tables"), F.count("*").alias("n_rows"))
-    return hosts.groupBy("n_tables").agg(F.count("*").alias("n_hosts"), F.sum("n_rows").alias("n_rows"))
+    return D.merged_sources(V.picked(spark, sf))
+
+
+@query("d11_merged_attributes", V.with_(V.PICKED_SQL, V.ATTRIBUTES_SQL) + "SELECT hostname, attribute, table_name, CAST(row_number() OVER (PARTITION BY hostname, attribute ORDER BY table_name, row_id, value) AS INT) AS place, value FROM attributes")
+def merged_attributes(spark, sf):
+    return D.merged_attributes(V.picked(spark, sf))
 
 
 _LINKS = "links AS (SELECT DISTINCT a.hostname AS x, b.hostname AS y FROM keyed a JOIN keyed b USING (key))"

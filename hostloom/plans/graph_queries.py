@@ -134,15 +134,21 @@ def articulation_points(spark, sf):
     return G.articulation_points(vertices(spark, sf), edges(spark, sf))
 
 
-@query("g13_node_features")
+def _share(c):
+    return f"('0x' || left(md5(coalesce({c}, 'unknown')), 8))::BIGINT % 1000 / 1000.0::DOUBLE"
+
+
+@query("g13_node_features", V.with_(V.HOSTS_SQL) + f"SELECT hostname AS id, list_concat([{', '.join(_share(c) for c in ('hostname', 'environment', 'datacenter', 'application'))}, confidence], list_transform(range(59), lambda x: 0::DOUBLE)) AS features FROM hosts")
 def node_features(spark, sf):
     return G.node_features(V.hosts(spark, sf))
 
 
-@query("g14_hierarchy", V.with_(V.HOSTS_SQL) + "SELECT environment, datacenter, coalesce(application, 'unknown') AS application, count(*) AS n, string_agg(hostname, ',' ORDER BY hostname) AS hosts FROM hosts GROUP BY 1, 2, 3")
+_LEVELS = [("environment", "''", "environment"), ("datacenter", "environment", "datacenter"), ("application", "environment || '/' || datacenter", "application"), ("host", "environment || '/' || datacenter || '/' || application", "hostname")]
+
+
+@query("g14_hierarchy", V.with_(V.HOSTS_SQL, "named AS (SELECT hostname, environment, datacenter, coalesce(application, 'unknown') AS application FROM hosts)") + " UNION ALL ".join(f"SELECT '{level}' AS level, {up} AS parent, {name} AS name, count(*) AS n FROM named GROUP BY ALL" for level, up, name in _LEVELS))
 def hierarchy(spark, sf):
-    app = F.coalesce("application", F.lit("unknown")).alias("application")
-    return V.hosts(spark, sf).groupBy("environment", "datacenter", app).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("hostname")), ",").alias("hosts"))
+    return G.hierarchy(V.hosts(spark, sf))
 
 
 @query("g15_node_export", V.with_(EDGES_SQL, _VERTICES, _PAIR, _DEGREE, _TOTAL) + "SELECT hostname AS id, environment, host_type, coalesce(degree, 0) AS degree, round(CASE WHEN d > 1 THEN 2 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END, 9) AS clustering FROM hosts LEFT JOIN total ON hostname = total.id LEFT JOIN deg ON hostname = deg.id LEFT JOIN tc ON hostname = tc.id")
@@ -192,11 +198,11 @@ def statistics(spark, sf):
     return G.statistics(vertices(spark, sf), edges(spark, sf)).withColumn("average", F.round("average", 9))
 
 
-@query("g22_cytoscape")
+@query("g22_cytoscape", _BASE + """SELECT '{"group":"nodes","data":{"id":"' || id || '"}}' AS element FROM vertices UNION ALL SELECT '{"group":"edges","data":{"source":"' || source || '","target":"' || target || '","type":"' || type || '","confidence":' || confidence || '}}' FROM edges""")
 def cytoscape(spark, sf):
     return G.cytoscape(vertices(spark, sf), edges(spark, sf))
 
 
-@query("g22_graphml")
+@query("g22_graphml", _BASE + f"""SELECT unnest(['{G.GRAPHML_HEAD}', '{G.GRAPHML_FOOT}']) AS line UNION ALL SELECT '<node id="' || id || '"/>' FROM vertices UNION ALL SELECT '<edge source="' || source || '" target="' || target || '"><data key="type">' || type || '</data></edge>' FROM edges""")
 def graphml(spark, sf):
     return G.graphml(vertices(spark, sf), edges(spark, sf))

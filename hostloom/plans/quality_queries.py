@@ -8,8 +8,10 @@ from ..functions import constants as K
 from ..functions import host as H
 from ..operators import classify as C
 from ..operators import quality as Q
+from ..operators import relate as R
+from ..operators.lineage import cut
 from . import views as V
-from .classify_queries import CLASSES_SQL
+from .classify_queries import CLASSES_SQL, once
 from .registry import query
 from .relate_queries import EDGES_SQL, edges
 
@@ -30,7 +32,8 @@ _SIX = ["completeness", "consistency", "uniqueness", "validity", "timeliness", "
 
 
 def dims(spark, sf):
-    return Q.dimensions(V.hosts(spark, sf), edges(spark, sf), NOW)
+    hosts = cut(V.hosts(spark, sf))
+    return Q.dimensions(hosts, R.named_edges(hosts), NOW)
 
 
 @query("q1_completeness", V.with_(V.HOSTS_SQL) + f"SELECT hostname, ({_COMPLETE}) AS fields FROM hosts")
@@ -79,11 +82,10 @@ def ip_consistency(spark, sf):
     return V.raw(spark, sf).filter("ip_address is not null").agg(F.round(F.avg(F.when(H.four_octets(F.col("ip_address")), 1.0).otherwise(0.0)), 9).alias("share"))
 
 
-_TEXTS = {"completeness": "Enrich data sources to improve completeness", "consistency": "Standardize naming conventions and data formats", "uniqueness": "Implement deduplication process", "validity": "Add data validation rules to discovery process", "timeliness": "Schedule regular discovery runs to keep data current", "relationships": "Review relationship mapping rules"}
 _CRITICAL = ["environment", "owner", "application", "datacenter"]
 
 
-@query("q12_recommendations", V.with_(EDGES_SQL, _DIMENSIONS) + " UNION ALL ".join([*(f"SELECT {k} AS place, '{t}' AS text FROM dims WHERE {d} < 0.5" for k, (d, t) in enumerate(_TEXTS.items())), *(f"SELECT {11 + k}, printf('Improve {f} identification - only %.1f%% coverage', p) FROM (SELECT avg(CASE WHEN {H.sql_present(f)} THEN 100.0::DOUBLE ELSE 0 END) AS p FROM hosts) WHERE p < 50" for k, f in enumerate(_CRITICAL))]))
+@query("q12_recommendations", V.with_(EDGES_SQL, _DIMENSIONS) + " UNION ALL ".join([*(f"SELECT {k} AS place, '{t}' AS text FROM dims WHERE {d} < 0.5" for k, (d, t) in enumerate(K.RECOMMENDATIONS.items())), *(f"SELECT {11 + k}, printf('Improve {f} identification - only %.1f%% coverage', p) FROM (SELECT avg(CASE WHEN {H.sql_present(f)} THEN 100.0::DOUBLE ELSE 0 END) AS p FROM hosts) WHERE p < 50" for k, f in enumerate(_CRITICAL))]))
 def recommendations(spark, sf):
     return Q.recommendations(dims(spark, sf), Q.coverage(V.hosts(spark, sf), FIELDS))
 
@@ -137,7 +139,8 @@ UNION ALL SELECT 'orphaned_entity', 'low', hostname, printf('Entity ''%s'' has n
 
 @query("a4_orphans", V.with_(EDGES_SQL, _ALONE) + _ORPHANS)
 def orphan_anomalies(spark, sf):
-    return Q.orphan_anomalies(V.hosts(spark, sf), edges(spark, sf))
+    hosts = cut(V.hosts(spark, sf))
+    return Q.orphan_anomalies(hosts, R.named_edges(hosts))
 
 
 _DRIFT = f"""SELECT type, 'medium' AS severity, affected, description FROM (SELECT affected, 'configuration_drift' AS type, printf('Inconsistent OS types in %s: %s', affected, os) AS description FROM drifted WHERE contains(os, ',')
@@ -171,43 +174,65 @@ _HOST_NAMED = "named AS (SELECT hostname, ip_address FROM hosts)"
 
 @query("a8_anomalies", V.with_(EDGES_SQL, _HOST_NAMED, _TOP3, _ALONE, _DRIFTED) + " UNION ALL ".join(f"(SELECT * FROM ({q}))" for q in (_dup("hostname", "duplicate_hostname", "high", "Hostname ''%s'' appears %d times"), _dup("ip_address", "duplicate_ip", "medium", "IP address ''%s'' assigned to %d entities"), _violations("hostname"), _RESOURCES, _ORPHANS, _DRIFT, _MISSING, _TESTS)))
 def anomalies(spark, sf):
-    return Q.anomalies(V.hosts(spark, sf), edges(spark, sf))
+    hosts = cut(V.hosts(spark, sf))
+    return Q.anomalies(hosts, R.named_edges(hosts))
 
 
 _FIGURES = f"""figures AS (SELECT count(*) AS n, count(*) FILTER (environment = 'production') AS prod, count(*) FILTER (coalesce(application, 'unknown') = 'unknown') AS no_app, count(DISTINCT datacenter) AS dcs, count(DISTINCT coalesce(os_type, 'unknown')) AS systems,
   count(*) FILTER (type = 'physical_server') AS ps, count(*) FILTER (type = 'virtual_machine') AS vm, count(*) FILTER (type = 'container') AS ct,
   count(*) FILTER (environment IN ('development', 'testing') AND (coalesce(cpu_cores, 0) > 8 OR coalesce(memory_gb, 0) > 32)) AS costly, count(*) FILTER (ip_address <> '' AND NOT (starts_with(ip_address, '10.') OR starts_with(ip_address, '172.') OR starts_with(ip_address, '192.168.'))) AS public,
-  count(*) FILTER (NOT {H.sql_present('owner')}) AS no_owner, count(nullif(cpu_cores, 0)) AS with_cpu, sum(cpu_cores)::BIGINT AS cpu, avg(nullif(cpu_cores, 0)) AS avg_cpu, max(cpu_cores) AS max_cpu, count(nullif(memory_gb, 0)) AS with_memory, sum(memory_gb)::BIGINT AS memory,
+  count(*) FILTER (NOT {H.sql_present('owner')}) AS no_owner, count(*) FILTER (coalesce(status, '') <> 'active') AS inactive, count(nullif(cpu_cores, 0)) AS with_cpu, sum(cpu_cores)::BIGINT AS cpu, avg(nullif(cpu_cores, 0)) AS avg_cpu, max(cpu_cores) AS max_cpu, count(nullif(memory_gb, 0)) AS with_memory, sum(memory_gb)::BIGINT AS memory,
   (SELECT count(*) FROM edges) AS m, (SELECT count(*) FROM edges WHERE type = 'same_application') AS apps, (SELECT string_agg(e, ', ' ORDER BY e) FROM (VALUES ('development'), ('production'), ('staging')) v(e) WHERE e NOT IN (SELECT environment FROM hosts)) AS missing FROM hosts JOIN typed USING (hostname))"""
 _INSIGHTS = [
-    ("environment", "prod > 0 AND n > prod AND (n - prod) / prod < 0.5", "printf('Low non-production to production ratio (%.1f:1) - Consider if testing resources are adequate', (n - prod) / prod)"),
-    ("environment", "prod > 0 AND (n - prod) / prod > 3", "printf('High non-production to production ratio (%.1f:1) - Opportunity for resource optimization', (n - prod) / prod)"),
-    ("environment", "missing <> ''", "'Missing standard environments: ' || missing"),
-    ("application", "no_app > n * 0.2", "printf('%d entities with unknown application - Improve application tagging', no_app)"),
-    ("infrastructure", "dcs = 1", "'All infrastructure in single datacenter - Consider multi-region for resilience'"),
-    ("infrastructure", "dcs > 5", "printf('Infrastructure spread across %d datacenters - Review if consolidation is possible', dcs)"),
-    ("infrastructure", "systems > 3", "printf('Managing %d different OS types - Consider standardization', systems)"),
-    ("infrastructure", "ps > vm + ct", "'High number of physical servers - Consider virtualization or containerization'"),
-    ("infrastructure", "ct > vm * 2 AND ps <= vm + ct", "'Container-heavy infrastructure - Ensure orchestration platform is robust'"),
-    ("relationship", "m = 0", "'No relationships discovered - Review discovery configuration'"),
-    ("relationship", "m > 0 AND m / (n * (n - 1) / 2) < 0.01", "'Very low relationship density - Many isolated components'"),
-    ("relationship", "m / (n * (n - 1) / 2) > 0.3", "'Very high relationship density - Complex interdependencies'"),
-    ("relationship", "apps > m * 0.5", "'Strong application clustering detected - Good architectural separation'"),
-    ("cost", "costly > 0", "printf('%d non-production systems with high resources - Potential cost savings', costly)"),
-    ("cost", "n > 0", "printf('%d inactive systems - Review for decommissioning', n)"),
-    ("security", "public > 0", "printf('%d entities with public IPs - Verify security controls', public)"),
-    ("security", "no_owner > n * 0.2", "printf('%d entities without clear ownership - Security and accountability risk', no_owner)"),
-    ("capacity", "with_cpu > 0", "printf('Total CPU capacity: %d cores across %d systems (avg: %.1f)', cpu, with_cpu, avg_cpu)"),
-    ("capacity", "max_cpu > avg_cpu * 5", "'Large variance in CPU allocation - Consider load balancing'"),
-    ("capacity", "with_memory > 0", "format('Total memory capacity: {:,} GB across {} systems', memory, with_memory)"),
+    ("environment", "prod > 0 AND n > prod AND (n - prod) / prod < 0.5", "low_ratio", ["(n - prod) / prod"]),
+    ("environment", "prod > 0 AND (n - prod) / prod > 3", "high_ratio", ["(n - prod) / prod"]),
+    ("environment", "missing <> ''", "missing", ["missing"]),
+    ("application", "no_app > n * 0.2", "no_application", ["no_app"]),
+    ("infrastructure", "dcs = 1", "one_place", []),
+    ("infrastructure", "dcs > 5", "many_places", ["dcs"]),
+    ("infrastructure", "systems > 3", "systems", ["systems"]),
+    ("infrastructure", "ps > vm + ct", "physical", []),
+    ("infrastructure", "ct > vm * 2 AND ps <= vm + ct", "containers", []),
+    ("relationship", "m = 0", "no_links", []),
+    ("relationship", "m > 0 AND m / (n * (n - 1) / 2) < 0.01", "few_links", []),
+    ("relationship", "m / (n * (n - 1) / 2) > 0.3", "many_links", []),
+    ("relationship", "apps > m * 0.5", "clustering", []),
+    ("cost", "costly > 0", "costly", ["costly"]),
+    ("cost", "inactive > n * 0.1", "inactive", ["inactive"]),
+    ("security", "public > 0", "public", ["public"]),
+    ("security", "no_owner > n * 0.2", "no_owner", ["no_owner"]),
+    ("capacity", "with_cpu > 0", "cpu", ["cpu", "with_cpu", "avg_cpu"]),
+    ("capacity", "max_cpu > avg_cpu * 5", "cpu_variance", []),
+    ("capacity", "with_memory > 0", "memory", ["memory", "with_memory"]),
 ]
 
 
-@query("i1_i8_insights", V.with_(CLASSES_SQL, EDGES_SQL.removeprefix(V.HOSTS_SQL + ",\n"), _FIGURES) + " UNION ALL ".join([*(f"SELECT '{t}' AS topic, {x} AS insight FROM figures WHERE {w}" for t, w, x in _INSIGHTS), "SELECT 'application', printf('''%s'' represents %.1f%% of infrastructure - Single point of failure risk', app, k * 100.0::DOUBLE / n) FROM (SELECT coalesce(application, 'unknown') AS app, count(*) AS k FROM hosts GROUP BY 1 ORDER BY k DESC, app LIMIT 3), figures WHERE k * 100.0 / n > 30"]))
+def _said(key, values):
+    """The text as DuckDB says it, whose printf marks thousands another way."""
+    text = K.INSIGHTS[key].replace("'", "''")
+    if "%,d" in text:
+        return f"format('{text.replace('%,d', '{:,}').replace('%d', '{}')}', {', '.join(values)})"
+    return f"printf('{text}', {', '.join(values)})" if values else f"'{text}'"
+
+
+@query("i1_i8_insights", V.with_(CLASSES_SQL, EDGES_SQL.removeprefix(V.HOSTS_SQL + ",\n"), _FIGURES) + " UNION ALL ".join([*(f"SELECT '{t}' AS topic, {_said(k, v)} AS insight FROM figures WHERE {w}" for t, w, k, v in _INSIGHTS), f"SELECT 'application', {_said('one_application', ['app', 'k * 100.0::DOUBLE / n'])} FROM (SELECT coalesce(application, 'unknown') AS app, count(*) AS k FROM hosts GROUP BY 1 ORDER BY k DESC, app LIMIT 3), figures WHERE k * 100.0 / n > 30"]))
 def insights(spark, sf):
-    hosts = V.hosts(spark, sf)
-    types = C.entity_type(hosts, V.picked(spark, sf)).select("hostname", "type")
-    return Q.insights(hosts.join(types, "hostname"), edges(spark, sf))
+    hosts, picked = once(spark, sf)
+    types = C.entity_type(hosts, picked).select("hostname", "type")
+    return Q.insights(cut(hosts.join(types, "hostname")), R.named_edges(hosts))
+
+
+_LIMITS = [
+    ("naming_convention", "NOT (" + " OR ".join(f"regexp_matches(hostname, '{p}')" for p in K.NAMING_CONVENTIONS) + ")"),
+    ("ip_range", "NOT (" + " OR ".join(f"regexp_matches(ip_address, '{p}')" for p, _ in K.PRIVATE_RANGES) + ")"),
+    *((c, f"{c} NOT BETWEEN {low} AND {high}") for c, (low, high) in K.RESOURCE_LIMITS.items() if c != "disk_gb"),
+    ("age", f"{_DAYS} NOT BETWEEN {K.AGE_LIMITS[0]} AND {K.AGE_LIMITS[1]}"),
+]
+
+
+@query("a9_out_of_limits", V.with_(V.HOSTS_SQL) + " UNION ALL ".join(f"SELECT hostname, '{n}' AS rule FROM hosts WHERE {w}" for n, w in _LIMITS))
+def out_of_limits(spark, sf):
+    return Q.out_of_limits(V.hosts(spark, sf), NOW)
 
 
 _D = ", ".join(f"count(DISTINCT coalesce({c}, '')) AS {a}" for c, a in (("environment", "environments"), ("datacenter", "datacenters"), ("application", "applications"), ("os_type", "os_types")))

@@ -8,7 +8,7 @@ from ..functions import constants as K
 from ..functions import host as H
 from ..operators import relate as R
 from . import views as V
-from .classify_queries import _FIRST
+from .classify_queries import _FIRST, once
 from .registry import query
 
 _ENV = "(x.environment = y.environment AND x.environment <> 'unknown')"
@@ -73,7 +73,7 @@ _FIRSTS = (V.HOSTS_SQL, V.ATTRIBUTES_SQL, _FIRST, _KEYS, _SHARED)
 
 @query("j1_shared_attributes", V.with_(*_FIRSTS) + "SELECT * FROM shared")
 def shared_attributes(spark, sf):
-    return R.shared_attributes(V.hosts(spark, sf), V.picked(spark, sf))
+    return R.shared_attributes(*once(spark, sf))
 
 
 @query("j2_same_network", V.with_(V.HOSTS_SQL, network_sql("hosts")) + "SELECT * FROM network")
@@ -114,13 +114,13 @@ _PAIRS = "SELECT source, target, type, 0.8::DOUBLE AS confidence, 'app_pattern:'
 
 @query("j7_directed_union", V.with_(*_ALL, dedupe_sql(_UNION, directed=True)) + "SELECT source, target, type, confidence FROM edges")
 def directed_union(spark, sf):
-    return R.deduplicate(R.families(V.hosts(spark, sf), V.picked(spark, sf)), directed=True).select("source", "target", "type", "confidence")
+    return R.deduplicate(R.families(*once(spark, sf)), directed=True).select("source", "target", "type", "confidence")
 
 
 @query("j8_all_relationships", V.with_(*_ALL, dedupe_sql(_PAIRS)) + "SELECT type, count(*) AS n, round(avg(confidence), 9) AS confidence FROM edges GROUP BY 1")
 def all_relationships(spark, sf):
     n = F.sum("links")
-    return R.all_relationships(V.hosts(spark, sf), V.picked(spark, sf)).groupBy("type").agg(n.alias("n"), F.round(F.sum(F.col("confidence") * F.col("links")) / n, 9).alias("confidence"))
+    return R.all_relationships(*once(spark, sf)).groupBy("type").agg(n.alias("n"), F.round(F.sum(F.col("confidence") * F.col("links")) / n, 9).alias("confidence"))
 
 
 _CATALOGUE = ", ".join(f"('{k}', '{d}', {b}, {s}::DOUBLE)" for k, (d, b, s) in K.RELATIONSHIP_TYPES.items())

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import discovery as D
 from ..operators import resolve as R
+from ..operators.lineage import cut
 from ..sources import sinks as S
 from ..sources.inventory import table
 from . import views as V
@@ -25,8 +26,8 @@ def pairs(spark, sf):
 
 
 def matched(spark, sf):
-    hosts, picked = V.hosts(spark, sf), V.picked(spark, sf)
-    return R.match(R.similarity(R.candidate_pairs(R.blocking_keys(hosts)), hosts, picked), threshold=0.7)
+    hosts, picked = cut(V.hosts(spark, sf)), V.picked(spark, sf)
+    return R.match(R.similarity(R.candidate_pairs(R.blocking_keys(hosts)), hosts, picked))
 
 
 @query("e1_blocking_keys", V.with_(V.HOSTS_SQL, _KEYS) + "SELECT * FROM keys")
@@ -71,10 +72,19 @@ def merged_attributes(spark, sf):
 
 @query("e9_blocking_text", V.with_(V.HOSTS_SQL) + "SELECT hostname, hostname || ' ' || array_to_string(list_sort(list_distinct(list_filter([split_part(hostname, '.', 1), ip_address], lambda x: x IS NOT NULL))), ' ') AS text FROM hosts")
 def blocking_text(spark, sf):
+    return texts(spark, sf)
+
+
+def texts(spark, sf):
     forms = F.array_sort(F.array_distinct(F.array_compact(F.array(F.substring_index("hostname", ".", 1), F.col("ip_address")))))
     return V.hosts(spark, sf).select("hostname", F.concat_ws(" ", "hostname", F.array_join(forms, " ")).alias("text"))
 
 
+@query("e9_blocking_vectors")
+def blocking_vectors(spark, sf):
+    return R.blocking_vectors(texts(spark, sf))
+
+
 # Stores
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("customer", "supplier", "pages", "nation")
 
-#: All rows of four tables with host names, addresses and attributes; runs on Spark and DuckDB alike. Three customers make a
+#: All rows of four tables (one of them told by two sources) with host names, addresses and attributes; runs on Spark and DuckDB alike. Three customers make a
 #: host, twelve hosts a rack, fifty a network, so groups keep their sizes while the tables grow; half of the hosts are "srv".
 HOST_RAW = """
 SELECT 'tpch.customer' AS table_name, c_custkey AS row_id,
@@ -20,7 +20,7 @@ SELECT 'tpch.customer' AS table_name, c_custkey AS row_id,
        WHEN 'queue' THEN 'queue' WHEN 'lb' THEN 'load_balancer' ELSE NULL END AS application,
   CASE WHEN k % 4 = 3 THEN NULL ELSE concat('team-', CAST(CAST((k - k % 20) / 20 AS BIGINT) AS STRING)) END AS owner,
   CASE c_custkey % 5 WHEN 0 THEN 'linux' WHEN 1 THEN 'windows' WHEN 2 THEN 'linux' ELSE NULL END AS os_type,
-  CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 301 = 7 THEN 256 ELSE CAST(2 + c_custkey * 13 % 31 AS INT) END AS cpu_cores,
+  CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 300 = 6 THEN 256 ELSE CAST(2 + c_custkey * 13 % 31 AS INT) END AS cpu_cores,
   CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE CAST(4 + c_custkey * 17 % 97 AS INT) END AS memory_gb,
   CASE c_custkey % 6 WHEN 0 THEN '2024-01-30T12:00:00' WHEN 1 THEN '2024-01-26T00:00:00' WHEN 2 THEN '2024-01-10T00:00:00'
        WHEN 3 THEN '2023-12-01T00:00:00' WHEN 4 THEN '2023-01-01T00:00:00' ELSE NULL END AS last_seen,
@@ -33,7 +33,16 @@ FROM (SELECT *, CASE CAST((k - k % 4) / 4 AS BIGINT) % 12 WHEN 0 THEN 'web' WHEN
 UNION ALL
 SELECT 'tpch.supplier', s_suppkey,
   concat(CASE s_suppkey % 4 WHEN 0 THEN 'Web' WHEN 1 THEN 'DB' WHEN 2 THEN 'api' ELSE 'sw' END, '-PROD-',
-         translate(CAST(CAST((s_suppkey - s_suppkey % 15) / 15 AS BIGINT) AS STRING), '0123456789', 'klmnopqrst'), '-', CAST(s_suppkey % 15 AS STRING)),
+         translate(CAST(CAST((s_suppkey - s_suppkey % 15) / 15 AS BIGINT) AS STRING), '0123456789', 'klmnopqrst'), '-', CAST(s_suppkey % 15 AS STRING),
+         CASE s_suppkey % 5 WHEN 0 THEN '.dc.example.com' ELSE '' END),
+  concat('192.168.', CAST(s_nationkey AS STRING), '.', CAST(s_suppkey % 300 AS STRING)),
+  'production', NULL, 'team-net', 'linux', 8, 32, '2024-01-30T12:00:00Z', 'active'
+FROM supplier
+UNION ALL
+SELECT 'dns.supplier', s_suppkey,
+  concat(CASE s_suppkey % 4 WHEN 0 THEN 'Web' WHEN 1 THEN 'DB' WHEN 2 THEN 'api' ELSE 'sw' END, '-PROD-',
+         translate(CAST(CAST((s_suppkey - s_suppkey % 15) / 15 AS BIGINT) AS STRING), '0123456789', 'klmnopqrst'), '-', CAST(s_suppkey % 15 AS STRING),
+         CASE s_suppkey % 5 WHEN 0 THEN '.dc.example.net' ELSE '' END),
   concat('192.168.', CAST(s_nationkey AS STRING), '.', CAST(s_suppkey % 300 AS STRING)),
   'production', NULL, 'team-net', 'linux', 8, 32, '2024-01-30T12:00:00Z', 'active'
 FROM supplier

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +19,9 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def attribute_rows(attributes: DataFrame, most: int = 10) -> DataFrame:
     """hostname, attribute, value as JSON: one value as it is, more as a list cut to most."""
-    each = attributes.groupBy("hostname", "attribute").agg(F.slice(F.array_sort(F.collect_set("value")), 1, most).alias("v"))
+    rank = F.row_number().over(Window.partitionBy("hostname", "attribute").orderBy("value"))
+    few = attributes.select("hostname", "attribute", "value").distinct().withColumn("rn", rank).filter(F.col("rn") <= most)
+    each = few.groupBy("hostname", "attribute").agg(F.array_sort(F.collect_list("value")).alias("v"))
     return each.select("hostname", "attribute", F.when(F.size("v") == 1, F.to_json(F.create_map(F.lit("value"), F.col("v")[0]))).otherwise(F.to_json("v")).alias("value"))
 
 
@@ -76,7 +79,10 @@ def save_stage(df: DataFrame, path: str, stage: str) -> DataFrame:
 def load_stage(spark: SparkSession, path: str, stage: str) -> DataFrame | None:
     """A finished stage, or None where its manifest is missing."""
     try:
-        manifest = json.loads(spark.read.text(f"{path}/{stage}/manifest").first()[0])
-    except Exception:  # noqa: BLE001  no manifest: the stage hasn't ended
-        return None
+        held = spark.read.text(f"{path}/{stage}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":  # the stage hasn't ended
+            return None
+        raise
+    manifest = json.loads(held.first()[0])
     return spark.read.parquet(f"{path}/{stage}/data").select(manifest["columns"])

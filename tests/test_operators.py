@@ -116,9 +116,123 @@ def test_graph(spark, path_graph):
     assert abs(sum(r["rank"] for r in G.pagerank(v, e).collect()) - 1) < 1e-9
 
 
-def test_graph_guard(spark, path_graph):
-    big = spark.range(G.GUARD).selectExpr("cast(id as string) as id")
-    assert G.betweenness(big, path_graph[1]).count() == 0
+def test_rank_by_arrays_is_that_by_joins(spark, path_graph, monkeypatch):
+    v, e = path_graph
+    e = e.union(e.filter("source = 'b'")).union(spark.createDataFrame([("d", "a", "t", 1.0)], e.schema))
+    arrays = {r.id: r["rank"] for r in G.pagerank(v, e).collect()}
+    monkeypatch.setattr(G, "SMALL", 1)
+    joins = {r.id: r["rank"] for r in G.pagerank(v, e, tolerance=1e-6).collect()}
+    assert arrays.keys() == joins.keys() and all(abs(arrays[k] - joins[k]) < 1e-5 for k in arrays)
+
+
+def test_closeness_of_connected_graphs_only(spark, path_graph):
+    v, e = path_graph
+    assert G.closeness(v, e).count() == 0
+    got = {r.id: round(r.closeness, 9) for r in G.closeness(v.filter("id <> 'z'"), e).collect()}
+    assert got == {"a": 0, "b": 0.25, "c": round(2 / 3 * 2 / 4, 9), "d": 0.375, "e": round(2 / 3 * 2 / 4, 9)}
+
+
+def test_betweenness_and_cut_vertices_of_random_graphs(spark):
+    import itertools
+    import random
+
+    r = random.Random(3)
+    ids = [f"v{k:02}" for k in range(14)]
+    ends = sorted({tuple(r.sample(ids, 2)) for _ in range(24)})
+    v = spark.createDataFrame([(x,) for x in ids], "id string")
+    e = spark.createDataFrame([(*p, "t", 1.0) for p in ends], "source string, target string, type string, confidence double")
+    out = {x: [b for a, b in ends if a == x] for x in ids}
+
+    def paths(s, t):
+        front = [[s]]
+        while front:
+            if found := [p for p in front if p[-1] == t]:
+                return found
+            front = [[*p, w] for p in front for w in out[p[-1]] if w not in p]
+        return []
+
+    want = dict.fromkeys(ids, 0.0)
+    for s, t in itertools.permutations(ids, 2):
+        every = paths(s, t)
+        for p in every:
+            for x in p[1:-1]:
+                want[x] += 1 / len(every)
+    got = {x.id: x.betweenness for x in G.betweenness(v, e).collect()}
+    assert all(abs(got[x] - want[x] / (13 * 12)) < 1e-12 for x in ids)
+
+    def parts(without):
+        left = [x for x in ids if x != without]
+        n = 0
+        while left:
+            n, todo = n + 1, [left.pop()]
+            while todo:
+                x = todo.pop()
+                for y in [b for a, b in ends if a == x] + [a for a, b in ends if b == x]:
+                    if y in left:
+                        left.remove(y)
+                        todo.append(y)
+        return n
+
+    alone = {x for x in ids if not any(x in p for p in ends)}
+    assert {x.id for x in G.articulation_points(v, e).collect()} == {x for x in ids if x not in alone and parts(x) > parts(None)}
+    found = {(x.start, x.end): x.path for x in G.shortest_paths(e, [(a, b) for a in ids[:4] for b in ids[4:]]).collect()}
+    for a in ids[:4]:
+        for b in ids[4:]:
+            every = paths(a, b)
+            assert found.get((a, b)) == (min(every) if every else None)
+
+
+def test_places_count_every_pair_once(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(f"h{k}", r.choice(["production", "testing", "unknown"]), r.choice(["dc1", "dc2", "unknown"]), r.choice(["web", "unknown", None])) for k in range(40)]
+    got = {x.hostname: (x.same_application, x.same_environment, x.same_datacenter) for x in R.same_place(spark.createDataFrame(rows, "hostname string, environment string, datacenter string, application string")).collect()}
+    for h, env, dc, app in rows:
+        kinds = [0, 0, 0]
+        for h2, env2, dc2, app2 in rows:
+            if h2 == h:
+                continue
+            if env == env2 != "unknown":
+                kinds[0 if app == app2 != "unknown" else 1] += 1
+            elif dc == dc2 != "unknown":
+                kinds[2] += 1
+        assert got[h] == tuple(kinds)
+
+
+def test_match_ends_only_when_nothing_is_left(spark):
+    chain = [(f"n{k:03}", f"n{k + 1:03}", 0.81 + k / 1000) for k in range(12)]
+    got = E.match(spark.createDataFrame(chain, "a string, b string, similarity double")).collect()
+    assert len(got) == 6 and E.match(spark.createDataFrame([], "a string, b string, similarity double")).count() == 0
+
+
+def test_relations_of_columns(spark):
+    col = lambda *v: spark.createDataFrame([(x,) for x in v], "v string")
+    assert [P.relation(a, b).first().relation for a, b in ((col("1", "2", None), col("2", "1")), (col("1"), col("1", "2")), (col("1", "2"), col("1")), (col("1"), col("2")))] == ["same_entity", "foreign_key", "hierarchical", "none"]
+
+
+def test_bad_files_are_skipped_and_loads_are_kept(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "good"))
+    (tmp_path / "bad.parquet").write_text("no parquet")
+    paths = [str(tmp_path / "good"), str(tmp_path / "bad.parquet")]
+    assert S.load(spark, paths, skip_corrupt=True).count() == 5
+    with pytest.raises(ValueError):
+        S.load(spark, paths[1:], skip_corrupt=True)
+    cache, asked = S.LoadCache(most=1), []
+    for key in ("a", "a", "b", "a"):
+        cache.get(key, lambda key=key: asked.append(key) or spark.read.parquet(paths[0]))
+    assert asked == ["a", "b", "a"]
+
+
+def test_sample_has_its_size(spark):
+    assert S.sampled(spark.range(5000), 10, 100_000, 1).count() == 500 and S.sampled(spark.range(5000), 10, 7, 1).count() == 7
+    assert S.sampled(spark.range(55), 10, 100).count() == 5 and S.sampled(spark.range(9), 10, 100) is None
+
+
+def test_limits(spark):
+    rows = [("Web-1", "8.8.8.8", 200, 5000, "2019-01-01T00:00:00"), ("web-1", "10.0.0.1", 2, 4, None), ("db", None, None, None, "2024-01-01T00:00:00")]
+    got = Q.out_of_limits(spark.createDataFrame(rows, "hostname string, ip_address string, cpu_cores int, memory_gb int, last_seen string"), "2024-01-31 00:00:00").collect()
+    assert sorted((r.hostname, r.rule) for r in got) == [("Web-1", r) for r in ("age", "cpu_cores", "ip_range", "memory_gb", "naming_convention")]
 
 
 def test_scan_ladder(spark):
