@@ -82,21 +82,68 @@ def test_html_cases(spark):
     assert {"nav", "article", "body"} <= set(keys.template)
 
 
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
 def test_html_template_decides(spark):
     page = "<html><body><div class=top>Welcome to <b>our</b> site</div><div class=what>%s</div><div class=end>Imprint%s</div></body></html>"
     rows = [(k, f"http://many/{k}", page % (f"text {k}", " of old" if k == 5 else "")) for k in range(6)]
     rows += [(10 + k, f"http://few/{k}", page % (f"text {k}", "")) for k in range(3)]
     rows += [(20 + k, f"http://copies/{k}", page % ("all the same", "")) for k in range(8)]
-    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert [got[k] for k in range(5)] == [f"text {k}" for k in range(5)] and got[5] == "text 5\n\nImprint of old"
+    got = extracted(spark, rows)
+    assert [got[k] for k in range(6)] == [f"text {k}" for k in range(6)]
     assert [got[10 + k] for k in range(3)] == [f"Welcome to our site\n\ntext {k}\n\nImprint" for k in range(3)]
     assert {got[20 + k] for k in range(8)} == {"Welcome to our site\n\nall the same\n\nImprint"}
 
 
+def test_html_furniture_without_a_telling_name(spark):
+    """Menus, adverts and footers that vary from page to page and are called nothing: only the template parts them from the text."""
+    page = "<html><body><div class=k1><a href=/%d>to %d</a> <a href=/>home</a></div><div class=k2>Buy %d now</div><div class=k3><h1>Title %d</h1><p>%s</div><div class=k4>Page %d of all</div></body></html>"
+    rows = [(k, f"http://h/{k}", page % (k, k, k, k, "Words of the text " * (k + 2), k)) for k in range(7)]
+    assert extracted(spark, rows) == {k: f"Title {k}\n\n" + ("Words of the text " * (k + 2)).strip() for k in range(7)}
+    for _, _, html_ in rows:  # without the template, all of it stays
+        assert "Buy" in html_extract.main_text(html_, set()) and "home" in html_extract.main_text(html_, set())
+
+
+def test_html_copies_of_an_article_stay(spark):
+    page = "<body><nav>menu %d</nav><div class=ad>advert %d</div><article><h1>same</h1><p>the same text</article><footer>foot %d</footer>"
+    rows = [(k, f"http://h/{k}", page % (k, k, k)) for k in range(9)]
+    assert set(extracted(spark, rows).values()) == {"same\n\nthe same text"}
+
+
+def test_html_two_layouts_and_ties(spark):
+    one = "<body><div class=x1>menu %d</div><div class=x2>%s</div></body>"
+    two = "<body><section id=y1>%s</section><nav>menu %d</nav></body>"
+    rows = [(k, f"http://h/{k}", one % (k, f"first layout with text {k}")) for k in range(6)] + [(10 + k, f"http://h/{k}", two % (f"second {k}", k)) for k in range(4)]
+    got = extracted(spark, rows)
+    assert all(got[k] == f"first layout with text {k}" for k in range(6)) and all(got[10 + k] == f"second {k}" for k in range(4))
+    tied = [(k, f"http://t/{k}", f"<div id=a>{'w' * 9}{k}</div><div id=b>{'v' * 9}{k}</div>") for k in range(5)]
+    assert extracted(spark, tied) == {k: f"{'w' * 9}{k}\n\n{'v' * 9}{k}" for k in range(5)}
+
+
+def test_html_words_never_drop_what_holds_the_text():
+    cases = {
+        '<body class="has-sidebar"><div id="content"><p>whole article</p></div></body>': "whole article",
+        '<article class="post tags-open"><p>x</article>': "x",
+        "<div class='page has-sidebar'><article>x</article><div class=sidebar>y</div></div>": "x",
+        "<main><header><h1>t</h1></header><p>x</main><header>y</header>": "t\n\nx",
+        "<div class=social-page><p>long text of all</div><div class=share>z</div>": "long text of all",
+    }
+    for page, want in cases.items():
+        assert html_extract.main_text(page, set()) == want, page
+
+
 def test_html_slots_of_both_passes_have_the_same_fingerprints():
-    template = {"body", "div a", "/div", "/body"}
+    template = {"body", "div a", "/div a", "/body"}
     for page in ("x<body>1 <div class=a>b&nbsp;<p>c<br>d<nav> e</nav></div> f <i>g</i></body>", "<body><div class=a><article>t</article>u</div></body>"):
-        assert html_extract.main_text(page, template) != "" == html_extract.main_text(page, template, html_extract.contents(page, template))
+        fixed = {k: x[0] for k, x in html_extract.contents(page, template).items()}
+        assert html_extract.main_text(page, template) != "" == html_extract.main_text(page, template, fixed)
+
+
+def test_html_empty_slots_keep_their_block_ends():
+    for page in ("<b>a</b> <span> <p></span>b", "<b>a</b><i> </i><p> <i></i>b"):
+        assert html_extract.main_text(page, set()) == html_extract.main_text(page, {"b", "/b", "span", "p", "i", "/i"}) == "a\n\nb"
 
 
 def test_pipeline(spark):
