@@ -145,13 +145,12 @@ class Encoder:
         self.fits[pair] = found
         return found
 
-    def last_token(self, prefix: str, ended: bool, last: list[str]) -> str:
-        """The last token of prefix, given those of all shorter prefixes (last[0] is the root's)."""
-        n, mark = len(prefix), END if ended else ""
+    def last_token(self, word: str, n: int, mark: str, last: list[str]) -> str:
+        """The last token of the first n symbols of word, given those of all shorter prefixes (last[0] is the root's)."""
         fits = self.fits
-        for length in self.lengths.get(prefix[-3:] + mark, ()):
+        for length in self.lengths.get(word[max(n - 3, 0) : n] + mark, ()):
             if length <= n:
-                token = prefix[n - length :] + mark
+                token = word[n - length : n] + mark
                 if token in self.ids:
                     if length == n:
                         return token
@@ -159,10 +158,11 @@ class Encoder:
                     fit = fits.get((left, token))
                     if fit or fit is None and self.compatible(left, token):
                         return token
-        token = prefix[-2:] + mark
-        if n > 1 and token in self.doubles and (n == 2 or self.compatible(last[n - 2], token)):
-            return token
-        return prefix[-1:] + mark
+        if n > 1:
+            token = word[n - 2 : n] + mark
+            if token in self.doubles and (n == 2 or self.compatible(last[n - 2], token)):
+                return token
+        return word[n - 1 : n] + mark
 
     def reached(self, token: str) -> bool:
         """Whether the token encodes as itself."""
@@ -177,10 +177,10 @@ class Encoder:
                 keep += 1
             del last[keep + 1 :]
             for n in range(keep + 1, len(word)):
-                last.append(self.last_token(word[:n], False, last))
+                last.append(self.last_token(word, n, "", last))
             path = word[:-1]
             del last[len(path) + 1 :]
-            token = self.last_token(word, True, last)
+            token = self.last_token(word, len(word), END, last)
             tokens, at = [token], len(word) + len(END) - len(token)
             while at:
                 token = last[at]
@@ -305,7 +305,7 @@ def decode(ids: list[int], path: str) -> str:
     return " ".join(known[i] for i in ids if i in known)
 
 
-def _encode(name: str, digests: bool):
+def _encode(name: str, digests: bool, decoded: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary_path(name))
         with uncollected():
@@ -318,30 +318,39 @@ def _encode(name: str, digests: bool):
                     if digests:
                         columns += [pa.array([hashlib.sha256(r).hexdigest() for r in raw]), pa.array([hashlib.sha256(r[1].encode()).hexdigest() for r in rows])]
                     else:
-                        columns += [pa.array(raw, pa.binary()), pa.array([r[1] for r in rows], pa.string())]
-                    yield pa.RecordBatch.from_arrays([*columns, *part.columns[1:]], names=["n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]), *part.schema.names[1:]])
+                        columns += [pa.array(raw, pa.binary()), *([pa.array([r[1] for r in rows], pa.string())] if decoded else [])]
+                    names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"][: 1 + decoded]
+                    yield pa.RecordBatch.from_arrays([*columns, *part.columns[1:]], names=["n_tokens", *names, *part.schema.names[1:]])
         own.rest()
 
     return run
 
 
-def bpe_encode(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, vocabulary: str = "word_bpe_49k.json", digests: bool = False) -> DataFrame:
+def bpe_encode(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, vocabulary: str = "word_bpe_49k.json", digests: bool = False, decoded: bool = True) -> DataFrame:
     """Per row of docs: n_tokens, ids (binary, little-endian unsigned 32-bit), decoded, and the columns in keep
-    (null: all). With digests, ids_sha256 and decoded_sha256 instead of ids and decoded.
+    (null: all). With digests, ids_sha256 and decoded_sha256 instead of ids and decoded; without decoded, the ids alone.
 
     Whole texts are encoded; null is an empty text, which has no tokens and decodes to ''. Strings of
     special tokens in a text become those tokens. Rows stand for themselves, so repeated rows repeat
-    their result and an empty table gives an empty one. A kept column may not have the name of a result.
+    their result and an empty table gives an empty one. A kept column that has the name of a result
+    (case ignored) gets underscores before its own, as many as make it another.
     """
     narrow_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
-    if clash := set(names) & set(keep):
-        raise ValueError(f"columns {sorted(clash)} are results")
-    rows = docs.select(F.col(text_col).cast("string").alias("\x00text"), *(F.col(f"`{c}`") for c in keep))
-    kinds = ["long", "string", "string"] if digests else ["long", "binary", "string"]
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"][: 2 + decoded]
+    taken, own = {n.lower() for n in names} | {c.lower() for c in keep if c.lower() not in names}, []
+    for c in keep:
+        name = c
+        if c.lower() in names:
+            while name.lower() in taken:
+                name = "_" + name
+            taken.add(name.lower())
+        own.append(name)
+    # numbered on the way: Arrow maps know no dotted names
+    rows = docs.select(F.col(text_col).cast("string").alias("\x00text"), *(F.col(f"`{c}`").alias(f"k{k}") for k, c in enumerate(keep)))
+    kinds = ["long", "string", "string"] if digests else ["long", "binary", "string"][: 2 + decoded]
     schema = ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds, strict=True)), *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])])
-    return rows.mapInArrow(_encode(vocabulary, digests), schema)
+    return rows.mapInArrow(_encode(vocabulary, digests, decoded), schema).toDF(*names, *own)
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:

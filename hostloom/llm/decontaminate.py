@@ -38,15 +38,23 @@ class Items:
     sets: list[np.ndarray]
     #: by class: its size, and for each minwise function the sorted values, the items that have them, and a filter on the upper 16 bits
     classes: list[tuple[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]
+    #: by number of words, for items too short for a shingle: sorted hashes of whole items, and their ids
+    short: list[tuple[int, np.ndarray, list[int | None]]]
 
 
-def prepare(ids: list, texts: list, size: int) -> Items:
-    kept_ids, sets = [], []
+def prepare(ids: list, texts: list, size: int, short: bool = True) -> Items:
+    kept_ids, sets, brief = [], [], {}
     for i, words in _words(ids, texts):
-        tokens = distinct(shingle_hashes(words, size)) if len(words) >= size else words[:0]
-        if len(tokens):
+        if len(words) >= size:
             kept_ids.append(i)
-            sets.append(tokens)
+            sets.append(distinct(shingle_hashes(words, size)))
+        elif short and len(words):
+            brief.setdefault(len(words), []).append((shingle_hashes(words, len(words))[0], i))
+    whole = []
+    for n, pairs in sorted(brief.items()):
+        marks = np.array([m for m, _ in pairs], np.uint64)
+        order = np.argsort(marks, kind="stable")
+        whole.append((n, marks[order], [pairs[k][1] for k in order]))
     of = np.array([1 << int(len(x) - 1).bit_length() for x in sets], int)
     classes = []
     for s in sorted(set(of.tolist())):
@@ -58,7 +66,7 @@ def prepare(ids: list, texts: list, size: int) -> Items:
             bits[low >> np.uint32(16)] = True
             tables.append((low[order], own[order], bits))
         classes.append((s, tables))
-    return Items(kept_ids, sets, classes)
+    return Items(kept_ids, sets, classes, whole)
 
 
 def _words(ids: list, texts: list) -> Iterator[tuple[object, np.ndarray]]:
@@ -103,6 +111,14 @@ def _search(sent, size: int, percent: int, clean: int | None = None):
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
                 codes = candidates(np.concatenate(parts), offsets, items) if offsets[-1] and items.sets else np.zeros(0, np.int64)
                 out, own, doc, dirty = [], None, -1, np.zeros(to - at, bool)
+                for n, marks, short in items.short:
+                    for d, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                        if b - a >= n:
+                            runs = distinct(shingle_hashes(words[a:b], n))
+                            place = np.searchsorted(runs, marks).clip(max=len(runs) - 1)
+                            for k in np.flatnonzero(runs[place] == marks):
+                                dirty[d] = True
+                                out.append((None if clean is not None else batch.column(0)[at + d].as_py(), short[k], 1, 1))
                 for code in codes.tolist():
                     d, i = divmod(code, len(items.sets))
                     if d != doc:
@@ -136,9 +152,10 @@ def _blocks(items: DataFrame, item_col: str, item_text: str) -> Iterator[list]:
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Rows doc_id, item_id, n_item, n_shared: documents that hold percent of an item's distinct shingles of size words.
 
-    Words are lower-cased (A-Z) and split at ASCII white space. Items and documents without text or of
-    fewer than size words have no shingles and are in no row. A repeated document row repeats its rows;
-    null ids stay null. Either table empty: an empty result. Other columns are not read.
+    Words are lower-cased (A-Z) and split at ASCII white space. An item of fewer than size words is one shingle, all of
+    its words, and is held by documents in which these follow each other. Items and documents without a word
+    are in no row. Items of the same words are found alike, each in a row of its own. A repeated document row repeats its
+    rows; null ids stay null. Either table empty: an empty result. Other columns are not read.
 
     The items are a stated query set: they pass through the driver in blocks of BLOCK, each searched for in
     all documents.
@@ -153,14 +170,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return found
 
 
-def without_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, that contamination() would name in no row. No shuffle."""
+def without_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 5, percent: int = 80, short: bool = True) -> DataFrame:
+    """The rows of docs, with all their columns, that contamination() would name in no row. No shuffle. Without short, items
+    of fewer than size words are passed over: a word or two alone are no sign of a leak."""
     narrow_batches(docs.sparkSession)
-    out = docs
+    out = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # Arrow maps know no dotted names
     for block in _blocks(items, item_col, item_text):
-        sent = docs.sparkSession.sparkContext.broadcast(prepare([r[0] for r in block], [r[1] for r in block], size))
+        sent = docs.sparkSession.sparkContext.broadcast(prepare([r[0] for r in block], [r[1] for r in block], size, short))
         out = out.mapInArrow(_search(sent, size, percent, docs.columns.index(text_col)), out.schema)
-    return out
+    return out.toDF(*docs.columns)
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -168,14 +186,15 @@ def op9_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH sh AS (
-  SELECT k, id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
-  FROM (SELECT 'd' AS k, doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+WITH words AS (SELECT 'd' AS k, doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
         UNION ALL
-        SELECT 'b', item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') FROM benchmark)
-  WHERE len(w) >= 5),
+        SELECT 'b', item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') FROM benchmark),
+sh AS (SELECT k, id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM words WHERE len(w) >= 5),
 item AS (SELECT id AS item_id, len(s) AS n_item, unnest(s) AS sh FROM sh WHERE k = 'b'),
 doc AS (SELECT id AS doc_id, unnest(s) AS sh FROM sh WHERE k = 'd')
 SELECT doc_id, item_id, n_item, count(*) AS n_shared FROM doc JOIN item USING (sh)
 GROUP BY ALL HAVING 100 * count(*) >= 80 * n_item
+UNION ALL
+SELECT d.id, b.id, 1, 1 FROM words b JOIN words d ON b.k = 'b' AND d.k = 'd' AND len(b.w) BETWEEN 1 AND 4
+  AND contains(concat(' ', array_to_string(d.w, ' '), ' '), concat(' ', array_to_string(b.w, ' '), ' '))
 """

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .sieve import sifted
 
 NULL_ID = (1 << 63) - 1
 
@@ -49,9 +50,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = scratch.cut(first.groupBy("len", "digit").agg(F.min("id").alias("group"), F.count("*").alias("n")).filter("n > 1"))
     joined = first.join(groups, ["len", "digit"])
     ended = [scratch.cut(joined.filter(F.col("len") <= width).select("id", "sha", "group", "n").dropDuplicates(["id", "sha"]))]
-    alive = joined.filter(F.col("len") > width).select("id", "len", "digit", "sha", "group").dropDuplicates(["id", "sha"])
+    alive = scratch.cut(joined.filter(F.col("len") > width).select("id", "len", "digit", "sha", "group").dropDuplicates(["id", "sha"]))
     rest = scratch.cut(
-        docs.join(alive, "id")
+        sifted(docs, alive, "id")  # only texts that may go on are shuffled
+        .join(alive, "id")
         .select("id", text.alias("b"), "len", "digit", "sha", "group")
         .filter((F.octet_length("b") == F.col("len")) & (F.substring("b", 1, width) == F.col("digit")))
         .select("id", "sha", "group", F.expr(f"substring(b, {width + 1})").alias("rest"))

@@ -171,12 +171,13 @@ def detect_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     result; an empty table gives an empty one.
     """
     narrow_batches(docs.sparkSession)
-    kept = [F.col(f"`{c}`").alias(f"kept_{c}") for c in keep]
+    kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]  # numbered on the way: Arrow maps know no dotted names
     own = [] if text_col in keep else [F.col(text_col).cast("string").alias("text")]  # a text travels once
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *own, *kept)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # contexts of at most ORDER of S symbols: bounded
     more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1 + len(own) :])
-    return rows.mapInArrow(_score(sent, 1 if own else 1 + list(keep).index(text_col), 1 + len(own)), f"doc_id long, lang_pred string, score double{more}")
+    out = rows.mapInArrow(_score(sent, 1 if own else 1 + list(keep).index(text_col), 1 + len(own)), f"doc_id long, lang_pred string, score double{more}")
+    return out.toDF(*NAMES, *(f"kept_{c}" for c in keep))
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ similarity J go down the same branch with probability J. The first two levels of
 step. Small nodes are compared exhaustively; a large node branches on, by 1.25 tokens a level on
 average (1/J at J = 0.8), so that a pair keeps a chance to stay together at any depth while the
 number of leaves of a document grows slowly. Trees are independent and repeat: a pair at J = 0.85
-is missed by all of them in 2 cases of 10 ** 7 where nodes are small at once, and in 1 of 10 ** 4
-three levels deeper. A node that no token splits any more is compared exhaustively in tiles, so no
+is missed by all twelve of them in 2 cases of 10 ** 7 where nodes are small at once, and in 1 of 10 ** 4
+three levels deeper; for 0.8 there are sixteen, which miss 8 of 10 ** 8 and 2 of 10 ** 4. A node that no token splits any more is compared exhaustively in tiles, so no
 task ever holds a node without bound.
 
 A node's comparison tells candidates by their signatures, with a margin under the threshold. Links
@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import Scratch, narrow_batches
 from .shingles import distinct, mix, shingle_hashes, text_words
+from .sieve import sifted
 
 #: Length of a signature; the first two tokens of each tree are its own, the rest serve deeper levels.
-K, TREES, DEEPER = 64, 12, 16
+K, DEEPER = 64, 16
 #: Most documents of a node that is compared as it is, and of a tile of a larger one.
 NODE, TILE, TILE_SHINGLES = 2048, 512, 1 << 21
 _rng = np.random.default_rng(85)
@@ -38,6 +39,11 @@ _A = _rng.integers(0, 1 << 31, K, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, K, dtype=np.uint32)
 
 
+def trees(percent: int) -> int:
+    """Independent trees: more for pairs that part more easily."""
+    return 12 if percent >= 85 else 16
+
+
 def least_matches(percent: int) -> int:
     """Matching tokens of a signature that make a candidate: 4.5 standard deviations under the mean at the threshold."""
     return int(K * percent / 100 - 4.5 * (K * percent / 100 * (1 - percent / 100)) ** 0.5)
@@ -87,19 +93,22 @@ def _fixed(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's node in each tree, two levels below the root, and its tokens of 8 bits each."""
-    for batch in batches:
-        if not len(batch):
-            continue
-        tokens = _matrix(batch.column(1), np.uint32)
-        for tree in range(TREES):
-            pair = tokens[:, 2 * tree].astype(np.uint64) << np.uint64(32) | tokens[:, 2 * tree + 1]
-            node = mix(pair ^ mix(np.full(1, tree + 1, np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(0), _fixed(tokens.astype(np.uint8))], names=["node", "id", "tokens"])
+def _roots(trees: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each document's node in each tree, two levels below the root, and its tokens of 8 bits each."""
+        for batch in batches:
+            if not len(batch):
+                continue
+            tokens = _matrix(batch.column(1), np.uint32)
+            for tree in range(trees):
+                pair = tokens[:, 2 * tree].astype(np.uint64) << np.uint64(32) | tokens[:, 2 * tree + 1]
+                node = mix(pair ^ mix(np.full(1, tree + 1, np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(0), _fixed(tokens.astype(np.uint8))], names=["node", "id", "tokens"])
+
+    return run
 
 
-def _branch(level: int):
+def _branch(level: int, trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A child of each node for each document, by a token that the node's name selects; a second one for a quarter of the nodes."""
         for batch in batches:
@@ -111,7 +120,7 @@ def _branch(level: int):
                     break
                 node, tokens = batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(2), np.uint8)
                 chosen = mix(node + np.uint64(2 * level + twig + 1))
-                at = 2 * TREES + (chosen % np.uint64(K - 2 * TREES)).astype(np.int64)
+                at = 2 * trees + (chosen % np.uint64(K - 2 * trees)).astype(np.int64)
                 child = mix(chosen ^ mix(tokens[np.arange(len(at)), at].astype(np.uint64) + np.uint64(1)))
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(1), batch.column(2)], names=["node", "id", "tokens"])
 
@@ -276,7 +285,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # The trees, level by level
     form = "node long, id long, tokens binary"
-    nodes = classes.select("id", "signature").mapInArrow(_roots, form)
+    nodes = classes.select("id", "signature").mapInArrow(_roots(trees(percent)), form)
     leaves, parts = [], "node long, id long, tokens binary, size long"
     for level in range(DEEPER + 1):
         sizes = scratch.cut(nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"))
@@ -286,7 +295,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if large.isEmpty():
             break
         if level < DEEPER:
-            nodes = large.select("node", "id", "tokens").mapInArrow(_branch(level), form)
+            nodes = large.select("node", "id", "tokens").mapInArrow(_branch(level, trees(percent)), form)
         else:  # exhaustively, each pair of tiles by itself
             tiles = F.ceil(F.col("size") / NODE)
             own = F.pmod(F.xxhash64("id"), tiles)
@@ -304,8 +313,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Links confirmed on full sets
     member = clusters.join(classes.select("id", "digest", "n"), "id").select("id", "label", "digest", "n")
     tiles = member.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("tiles"))
-    member = member.join(tiles, "label").select("id", "digest", F.col("label").alias("cluster"), "tiles")
-    sets = docs.join(member, "id").select("id", "text", "digest", "cluster", "tiles").mapInArrow(_sets(size), "tile long, id long, tokens binary")
+    member = scratch.cut(member.join(tiles, "label").select("id", "digest", F.col("label").alias("cluster"), "tiles"))
+    # only texts that may be members' go to the join
+    sets = sifted(docs, member, "id").join(member, "id").select("id", "text", "digest", "cluster", "tiles").mapInArrow(_sets(size), "tile long, id long, tokens binary")
     links = sets.repartition("tile").sortWithinPartitions("tile").mapInArrow(_links(percent), "a long, b long")
     repeated = full.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("id")
     same = full.join(repeated, "id", "left_semi").join(classes.select("digest", F.col("id").alias("b")), "digest").select(F.col("id").alias("a"), "b")

@@ -1,8 +1,9 @@
 """Words and word shingles of whole texts as 64-bit hashes, vectorised over Arrow batches.
 
 Words are runs of bytes outside ASCII white space (space and 0x09 to 0x0D), with A-Z lower-cased.
-A word's hash is a polynomial over random byte values, taken from running sums, so that no Python
-loop runs over words. Shingle hashes mix the hashes of consecutive words.
+A word's hash is the sum of one random value for each of its bytes and the place of that byte in the word (tabulation
+hashing), so that no Python loop runs over words and no structure of a word makes it meet another one. Shingle hashes mix
+the hashes of consecutive words.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 
 _rng = np.random.default_rng(20_240_101)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A value for each byte at each of 64 places; further places mix in the number of the round.
+_PLACES = 64
+_VALUE = _rng.integers(0, 1 << 63, (_PLACES, 256), dtype=np.uint64) * np.uint64(2) + _rng.integers(0, 2, (_PLACES, 256), dtype=np.uint64)
 _STEP = [np.uint64(x) for x in (_rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1))]
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -25,15 +26,6 @@ _SPACE[[32, *range(9, 14)]] = True
 CHUNK = 1 << 20
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base), np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out, dtype=np.uint64)
-
-
-_power = {"up": powers(_BASE, CHUNK + 1), "down": powers(_INVERSE, CHUNK + 1)}
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -74,13 +66,21 @@ def word_spans(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans of data."""
-    if len(data) >= len(_power["up"]):
-        for k, base in (("up", _BASE), ("down", _INVERSE)):
-            _power[k] = powers(base, 2 * len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power["up"][: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power["down"][starts])
+    """64-bit hashes of the spans of data, none of them empty; about CHUNK bytes are worked on at once."""
+    upto = np.cumsum(ends - starts)
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, "right")))
+        size = ends[at:to] - starts[at:to]
+        first = np.cumsum(size) - size
+        place = np.arange(size.sum()) - np.repeat(first, size)
+        value = _VALUE[place & (_PLACES - 1), data[np.repeat(starts[at:to], size) + place]]
+        if size.max() > _PLACES:
+            far = np.flatnonzero(place >= _PLACES)
+            value[far] = mix(value[far] + mix((place[far] // _PLACES).astype(np.uint64)))
+        out[at:to] = mix(np.add.reduceat(value, first) + size.astype(np.uint64))
+        at = to
+    return out
 
 
 def text_words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

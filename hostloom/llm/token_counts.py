@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs  # noqa: F401  as pa.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -80,19 +81,55 @@ def _carried(rows: DataFrame, before, by: str, ends, tokens, left) -> DataFrame:
     return rows.withColumns({"carried": F.col("total") - upto, "seen": F.col("ordinal") > 0})
 
 
-def read_token_files(spark: SparkSession, path: str, bits: int = 16) -> DataFrame:
-    """Blocks of the flat token files at path. A file passes through one task, in pieces; it may have 2 GB at most."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = BLOCK * bits // 8
+def read_token_files(spark: SparkSession, path: str, bits: int = 16, blocks_a_read: int = 64) -> DataFrame:
+    """Blocks of the flat token files at path, a file or a folder. A file is cut into ranges of blocks_a_read blocks, which
+    tasks read by their offsets, so a file may be of any size. Where the storage isn't one that Arrow can open, a file
+    passes whole through one task and may have 2 GB at most. An empty file has no block."""
+    size = BLOCK * bits // 8
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop) or []
+    files = []
+    for f in found:
+        inner = f.getPath().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(f.getPath()) if f.isDirectory() else [f]
+        files += [(g.getPath().toString(), g.getLen()) for g in inner if g.isFile() and not g.getPath().getName().startswith(("_", "."))]
+    listed = spark.createDataFrame(files, "file string, size long").filter("size > 0")
+    try:
+        for name, _ in files[:1]:
+            pa.fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file:///") else name)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_whole(size), "file string, block long, payload binary")
+    ranges = listed.select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size - 1) div {size * blocks_a_read}"))).alias("part"))
+    return ranges.repartition("file", "part").mapInArrow(_ranged(size, blocks_a_read), "file string, block long, payload binary")
+
+
+def _block(name: str, block: int, payload: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([payload], pa.binary())], names=["file", "block", "payload"])
+
+
+def _whole(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 data = content.as_buffer()
                 for k in range(0, len(data), size):
-                    part = pa.array([data.slice(k, min(size, len(data) - k)).to_pybytes()], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([k // size], pa.int64()), part], names=["file", "block", "payload"])
+                    yield _block(name.as_py(), k // size, data.slice(k, min(size, len(data) - k)).to_pybytes())
+
+    return run
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, "file string, block long, payload binary")
+def _ranged(size: int, blocks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, length, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                uri = "file://" + name.removeprefix("file:").removeprefix("//") if name.startswith("file:") else name
+                system, at = pa.fs.FileSystem.from_uri(uri)
+                with system.open_input_file(at) as f:
+                    for block in range(part * blocks, (part + 1) * blocks):
+                        if block * size >= length:
+                            break
+                        yield _block(name, block, f.read_at(min(size, length - block * size), block * size))
+
+    return run
 
 
 def _flatten(name: str, separator: int):

@@ -128,3 +128,45 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(100, 130)] + [(1, k) for k in range(50, 80)] + [(5, 5)]
     got = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
     assert got == {**dict.fromkeys(range(100, 131), 100), **dict.fromkeys([1, *range(50, 80)], 1)}
+
+
+def test_words_of_any_structure_have_hashes_of_their_own(spark):
+    """Thue-Morse words and their complements meet in any polynomial modulo a power of two."""
+    import pyarrow as pa
+
+    from hostloom.llm.shingles import text_words
+
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    found = {}
+    for n in (1024, 2048, 4096):
+        found[n], found[-n] = word[:n], word[:n].translate(str.maketrans("ab", "ba"))
+    texts = [*found.values(), "x" * 64, "x" * 65, "x" * 128, "x" * 129, "ab" * 40, "ba" * 40]
+    hashes = [int(h) for _, _, words_, _ in text_words(pa.array(texts)) for h in words_]
+    assert len(set(hashes)) == len(texts)
+    assert hashes == [int(h) for t in texts for _, _, words_, _ in text_words(pa.array([t])) for h in words_]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r.kept for r in near_dedup(rows).collect())
+
+
+def test_sieve_lets_all_of_the_ids_through(spark):
+    from hostloom.llm import sieve
+
+    rows = spark.range(20_000).selectExpr("id * 977 - 5 as id", "id as v").unionByName(spark.createDataFrame([(None, -1)], "id long, v long"))
+    ids = rows.filter("v % 7 = 0").select("id")
+    got = sieve.sifted(rows, ids, "id")
+    assert got.columns == rows.columns
+    kept = {r.id for r in got.collect()}
+    assert {r.id for r in ids.collect()} <= kept and len(kept) < 4000 and None not in kept
+    assert {r.v for r in sieve.without(rows, ids, "id").collect()} == {-1} | {v for v in range(20_000) if v % 7}
+    assert sieve.without(rows, ids.filter("false"), "id").count() == 20_001 and sieve.sifted(rows, ids.filter("false"), "id").count() == 0
+
+
+def test_recall_on_documents(spark):
+    """All pairs of the documents compared, at the thresholds of the query and of the pipeline."""
+    docs = spark.read.parquet(DATA.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for size, percent in ((3, 85), (5, 80)):
+        got = {r.doc_id: r.component_id for r in near_dedup(docs, size=size, percent=percent).collect()}
+        assert got == linked(rows, size, percent)

@@ -213,3 +213,25 @@ def test_pipeline(spark):
     for _, stage in c.STAGES[:-1]:
         assert stage(spark, docs, DATA).columns == docs.columns
         assert stage(spark, docs.filter("false"), DATA).count() == 0
+
+
+def test_pipeline_stages_on_odd_tables(spark, docs, tmp_path):
+    """Nulls, repeated ids and rows, ties, long texts, clashing and dotted column names."""
+    import corpus_pipeline as c
+
+    odd = docs.withColumnRenamed("key", "a.b").withColumnRenamed("n", "ids").withColumn("kept", F.lit(1)).withColumn("n_tokens", F.lit("x"))
+    spark.createDataFrame([(1, "fox jumps over the LAZY dog near the old river bank"), (2, "one")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    ids = lambda df: sorted((r.doc_id if r.doc_id is not None else -1 for r in df.collect()))
+    assert set(ids(c.language_id(spark, odd, ""))) <= {-1, 1, 2, 6, 7, 9, 10, 11} and c.language_id(spark, odd, "").columns == odd.columns
+    # 4 and 5 are empty or a space; 2 is 1 with other spaces; a null id is the largest; 10 is there twice
+    assert ids(c.exact(spark, odd, "")) == [1, 3, 5, 6, 7, 8, 9, 10]
+    assert ids(c.near(spark, odd, "")) == [1, 3, 4, 5, 6, 8, 9, 10]
+    assert ids(c.decontaminate(spark, odd, str(tmp_path))) == [3, 4, 5, 6, 8, 9, 10, 10, 11]
+    for stage in (c.exact, c.near):
+        assert stage(spark, odd, "").columns == odd.columns
+    out = c.encode(spark, odd, "")
+    assert {"_n_tokens", "_ids", "a.b", "n_tokens", "ids"} <= set(out.columns) and "decoded" not in out.columns and out.count() == odd.count()
+    # a unique text whose id stands on a copy's row too stays
+    rows = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "u v w x y z"), (3, "q r s t u v")], "doc_id long, text string")
+    for stage in (c.exact, c.near):
+        assert sorted(map(tuple, stage(spark, rows, "").collect())) == [(1, "a b c d e f g"), (2, "u v w x y z"), (3, "q r s t u v")]

@@ -102,8 +102,19 @@ def test_bpe_cases(docs, empty, library):
     path = bpe.vocabulary_path("word_bpe_49k.json")
     assert all(bpe.decode(np.frombuffer(r.ids, "<u4").tolist(), path) == r.decoded for r in rows)
     assert bpe.bpe_encode(empty, keep=[]).count() == 0
-    with pytest.raises(ValueError):
-        bpe.bpe_encode(docs.withColumnRenamed("n", "ids"))
+    clash = bpe.bpe_encode(docs.withColumnRenamed("n", "Ids").withColumnRenamed("id", "_ids"), keep=["doc_id", "Ids", "_ids"], decoded=False)
+    assert clash.columns == ["n_tokens", "ids", "doc_id", "__Ids", "_ids"] and {r["__Ids"] for r in clash.collect()} == {1.5}
+
+
+def test_long_words_take_linear_time(library):
+    import time
+
+    own, took = bpe.Encoder(bpe.vocabulary_path("word_bpe_49k.json")), []
+    for n in (40_000, 160_000):
+        word, began = "abcd" * (n // 4), time.perf_counter()
+        assert next(iter(own.encode([word]))) == by_library(library, word)[:2]
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 1
 
 
 # Token counts
@@ -140,6 +151,19 @@ def test_token_files(spark, tmp_path):
     assert sorted((r.file[-5:], r.ordinal, r.n_tokens, r.ended) for r in got) == [("a.bin", 0, 2, True), ("a.bin", 1, 0, True), ("a.bin", 2, 1, False), ("b.bin", 0, 0, True)]
 
 
+def test_large_token_files_are_cut_into_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "BLOCK", 64)
+    r = np.random.default_rng(2)
+    tokens = np.where(r.random(64 * 50 + 17) < 0.01, 9, r.integers(10, 60_000, 64 * 50 + 17)).astype("<u2")
+    tokens.tofile(tmp_path / "large.bin")
+    (tmp_path / "empty.bin").write_bytes(b"")
+    blocks = token_counts.read_token_files(spark, str(tmp_path), blocks_a_read=8).collect()
+    assert [x.block for x in sorted(blocks, key=lambda x: x.block)] == list(range(51))
+    assert b"".join(bytes(x.payload) for x in sorted(blocks, key=lambda x: x.block)) == tokens.tobytes()
+    whole = [bytes(x.column(2)[0].as_py()) for x in token_counts._whole(128)(iter([__import__("pyarrow").RecordBatch.from_pydict({"path": ["f"], "content": [tokens.tobytes()]})]))]
+    assert b"".join(whole) == tokens.tobytes() and len(whole) == 51
+
+
 def test_token_count_query(spark, docs, library):
     library.encode_special_tokens = True
     blocks, names = token_counts.flatten(docs, Scratch(spark))
@@ -161,7 +185,7 @@ def test_decontamination_query(spark):
 def test_decontamination_cases(spark, docs, empty):
     items = spark.createDataFrame([(1, "fox jumps over the LAZY dog near the old river bank", 1), (2, None, 1), (3, "too short", 1), (4, "word " * 9, 1)], "item_id long, text string, doc_id int")
     got = decontaminate.contamination(docs, items)
-    assert sorted((r.doc_id or 0, r.item_id) for r in got.collect()) == [(0, 1), (1, 1), (2, 1), (7, 1), (9, 4)]
+    assert sorted((r.doc_id or 0, r.item_id) for r in got.collect()) == [(0, 1), (1, 1), (2, 1), (7, 1), (9, 4)]  # "too short" is in none
     left = decontaminate.without_contamination(docs, items)
     assert left.columns == docs.columns
     assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6, 8, 10, 10, 11]
@@ -180,9 +204,41 @@ def test_items_of_all_sizes_are_found(spark):
     assert {(x.doc_id, x.item_id) for x in got} == {(k, k) for k, _ in items}
 
 
+def test_items_of_few_words_are_found_whole(spark):
+    items = [(1, "Red  FISH"), (2, "red fish"), (3, "fish"), (4, "one two three four"), (5, ""), (6, "fish red"), (7, "a b c d e"), (8, "x " * 40_000)]
+    rows = [(1, "the red\tfish swims"), (2, "red"), (3, "redfish"), (4, "One two three four"), (5, None), (6, "x " * 40_000), (7, "a b c d e f"), (1, "the red\tfish swims")]
+    docs, table_ = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in decontaminate.contamination(docs, table_).collect())
+    assert got == [(1, 1, 1, 1), (1, 1, 1, 1), (1, 2, 1, 1), (1, 2, 1, 1), (1, 3, 1, 1), (1, 3, 1, 1), (4, 4, 1, 1), (6, 8, 1, 1), (7, 7, 1, 1)]
+    assert sorted(r.doc_id for r in decontaminate.without_contamination(docs, table_, short=False).collect()) == [1, 1, 2, 3, 4, 5]
+
+
 # Toxicity
 
 
+def plain_kernel(a, b):
+    """Common subsequences of three characters, by all pairs of places: the kernel without any feature map."""
+    def parts(w):
+        w, out = f"^{w}$", collections.Counter()
+        for i in range(len(w)):
+            for j in range(i + 1, len(w)):
+                for k in range(j + 1, min(len(w), i + toxicity.SPAN)):
+                    out[w[i] + w[j] + w[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    x, y = parts(a), parts(b)
+    dot = lambda p, q: sum(v * q[c] for c, v in p.items())
+    return dot(x, y) / math.sqrt(dot(x, x) * dot(y, y))
+
+
+def test_kernel_is_that_of_all_common_subsequences():
+    some = ["idiot", "idxiot", "i", "moron", "iidioott", "stupid", "dot"]
+    found = toxicity.feature_map(some) @ toxicity.feature_map(some).T
+    for i, a in enumerate(some):
+        for j, b in enumerate(some):
+            assert abs(found[i, j] - plain_kernel(a, b)) < 0.02
+
+
 def test_toxicity_held_out(spark):
     got = toxicity.op7_toxicity(spark, DATA.replace("sf0.001", "sf0.1")).filter("held_out").join(table(spark, "labels", DATA.replace("sf0.001", "sf0.1")), "doc_id").collect()
     hit = [r for r in got if r.toxic == 1 and r.predicted == 1]
