@@ -53,7 +53,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alive = scratch.cut(joined.filter(F.col("len") > width).select("id", "len", "digit", "sha", "group").dropDuplicates(["id", "sha"]))
     rest = scratch.cut(
         sifted(docs, alive, "id")  # only texts that may go on are shuffled
-        .join(alive, "id")
+        .join(alive.hint("merge"), "id")
         .select("id", text.alias("b"), "len", "digit", "sha", "group")
         .filter((F.octet_length("b") == F.col("len")) & (F.substring("b", 1, width) == F.col("digit")))
         .select("id", "sha", "group", F.expr(f"substring(b, {width + 1})").alias("rest"))

@@ -289,7 +289,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     leaves, parts = [], "node long, id long, tokens binary, size long"
     for level in range(DEEPER + 1):
         sizes = scratch.cut(nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"))
-        held = scratch.cut(nodes.join(sizes, "node").select("node", "id", "tokens", "size"))
+        # only rows of nodes that may have others go to the join, which is one of shuffled rows at any size
+        held = scratch.cut(sifted(nodes, sizes, "node").join(sizes.hint("merge"), "node").select("node", "id", "tokens", "size"))
         leaves.append(held.filter(F.col("size") <= NODE).select("node", "id", "tokens"))
         large = held.filter(F.col("size") > NODE)
         if large.isEmpty():
@@ -315,7 +316,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tiles = member.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("tiles"))
     member = scratch.cut(member.join(tiles, "label").select("id", "digest", F.col("label").alias("cluster"), "tiles"))
     # only texts that may be members' go to the join
-    sets = sifted(docs, member, "id").join(member, "id").select("id", "text", "digest", "cluster", "tiles").mapInArrow(_sets(size), "tile long, id long, tokens binary")
+    sets = sifted(docs, member, "id").join(member.hint("merge"), "id").select("id", "text", "digest", "cluster", "tiles").mapInArrow(_sets(size), "tile long, id long, tokens binary")
     links = sets.repartition("tile").sortWithinPartitions("tile").mapInArrow(_links(percent), "a long, b long")
     repeated = full.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("id")
     same = full.join(repeated, "id", "left_semi").join(classes.select("digest", F.col("id").alias("b")), "digest").select(F.col("id").alias("a"), "b")

@@ -43,4 +43,4 @@ def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't among those of ids: only those that may be are shuffled for the join."""
     told = sieve(rows, ids, key)
     clear = told.filter(~F.col("\0maybe")).drop("\0maybe")
-    return clear.unionByName(told.filter(F.col("\0maybe")).drop("\0maybe").join(ids.select(key).distinct(), key, "left_anti").select(*(F.col(f"`{c}`") for c in clear.columns)))
+    return clear.unionByName(told.filter(F.col("\0maybe")).drop("\0maybe").join(ids.select(key).distinct().hint("merge"), key, "left_anti").select(*(F.col(f"`{c}`") for c in clear.columns)))
