@@ -32,17 +32,50 @@ def test_language_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.98
 
 
-def test_code_lengths_are_those_of_the_probabilities():
-    model = language_id.fit({"a": [b"abab abab", b"abba"], "b": [b"xyxy", b"zz xy"]})
-    table_ = model.bits.reshape(-1, language_id.S, 2)
-    p = np.exp2(-table_.astype(float))
-    p[:, 0] *= 256 - language_id.S + 1  # the symbol 0 without its second step
-    assert np.allclose(p.sum(1), 1, atol=1e-3)
-    data = np.frombuffer(b"ababxyxy", np.uint8)
-    bits = language_id.code_lengths(model, data, np.array([0, 4, 4, 8]))
-    assert bits[1].tolist() == [0, 0] and bits[0].argmin() == 0 and bits[2].argmin() == 1
-    alone = language_id.code_lengths(model, data[:4], np.array([0, 4]))
-    assert np.allclose(alone[0], bits[0])
+def plain_ppm(samples, text):
+    """Bits of text by prediction by partial matching with dictionaries: method C, exclusions, frozen counts."""
+    pad, order = b"\n" * language_id.ORDER, language_id.ORDER
+    seen = collections.Counter((pad + t)[i - k : i] for texts in samples.values() for t in texts for i in range(order, order + len(t)) for k in range(order + 1))
+    out = []
+    for language in sorted(samples):
+        after = collections.defaultdict(collections.Counter)
+        for t in samples[language]:
+            for i in range(order, order + len(t)):
+                for k in range(order + 1):
+                    after[(pad + t)[i - k : i]][(pad + t)[i]] += 1
+
+        def chances(context):
+            below = chances(context[1:]) if context else [1 / 256] * 256
+            if not after[context] or (context and seen[context] < language_id.LEAST):
+                return below
+            n, kinds = sum(after[context].values()), len(after[context])
+            left = sum(p for s, p in enumerate(below) if s not in after[context])
+            return [after[context][s] / (n + kinds) if s in after[context] else kinds / (n + kinds) * p / left for s, p in enumerate(below)]
+
+        whole = pad + text
+        out.append(sum(-math.log2(chances(whole[i - order : i])[whole[i]]) for i in range(order, len(whole))))
+    return out
+
+
+@pytest.mark.parametrize("piece", [1 << 18, 7])
+def test_code_lengths_are_those_of_the_plain_method(monkeypatch, piece):
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    samples = {"a": [b"the cat sat on the mat, the cat", b"that", b""], "b": ["là, où l'été naît\n\nun chat là".encode(), b"le chat"], "c": [b""]}
+    model = language_id.fit(samples)
+    texts = [b"the chat", b"", "où est l'été".encode(), bytes(range(256)), b"the cat sat on the hat"]
+    cuts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = language_id.code_lengths(model, np.frombuffer(b"".join(texts), np.uint8), cuts)
+    assert np.allclose(got, [plain_ppm(samples, t) for t in texts], rtol=1e-4, atol=1e-4)
+
+
+def test_trees_are_bounded(monkeypatch):
+    monkeypatch.setattr(language_id, "CELLS", 40)
+    rng = np.random.default_rng(1)
+    model = language_id.fit({"a": [rng.integers(97, 123, 5000, np.uint8).tobytes()], "b": [b"abab " * 50]})
+    assert all(len(level.escape) <= 20 for level in model.levels)
+    p = np.exp2(-np.array([language_id.code_lengths(model, np.frombuffer(b"abab" + bytes([s]), np.uint8), np.array([0, 5]))[0] for s in range(256)]))
+    base = np.exp2(-language_id.code_lengths(model, np.frombuffer(b"abab", np.uint8), np.array([0, 4]))[0])
+    assert np.allclose(p.sum(0) / base, 1, atol=1e-3)
 
 
 def test_language_cases(spark, docs, empty):
