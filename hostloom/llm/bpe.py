@@ -13,7 +13,6 @@ characters of a word, and a word ends in a symbol that carries the mark.
 from __future__ import annotations
 
 import contextlib
-import ctypes
 import gc
 import hashlib
 import json
@@ -28,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import narrow_batches
+from .scratch import give_back, narrow_batches
 from .shingles import chunks, text_buffers
 
 END = "</w>"
@@ -262,9 +261,8 @@ class Encoder:
 
     def rest(self) -> None:
         """Lets go of what a task doesn't leave to the next one of its worker."""
-        self.chunks = {}
-        with contextlib.suppress(OSError, AttributeError):  # where the C library can, freed memory goes back to the system
-            ctypes.CDLL(None).malloc_trim(0)
+        self.chunks, self.older = {}, {}
+        give_back()
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """Of each text the ids, as little-endian unsigned 32-bit integers, and what they decode to."""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import narrow_batches
+from .scratch import narrow_batches, tidy
 from .shingles import distinct, shingle_hashes, text_words
 
 #: Minwise values: an item at the containment 0.8 that is half as long as its class allows agrees with
@@ -165,7 +165,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     found = None
     for block in _blocks(items, item_col, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(prepare([r[0] for r in block], [r[1] for r in block], size))
-        more = rows.mapInArrow(_search(sent, size, percent), "doc_id long, item_id long, n_item long, n_shared long")
+        more = rows.mapInArrow(tidy(_search(sent, size, percent)), "doc_id long, item_id long, n_item long, n_shared long")
         found = more if found is None else found.unionByName(more)
     return found
 
@@ -177,7 +177,7 @@ def without_contamination(docs: DataFrame, items: DataFrame, text_col: str = "te
     out = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # Arrow maps know no dotted names
     for block in _blocks(items, item_col, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(prepare([r[0] for r in block], [r[1] for r in block], size, short))
-        out = out.mapInArrow(_search(sent, size, percent, docs.columns.index(text_col)), out.schema)
+        out = out.mapInArrow(tidy(_search(sent, size, percent, docs.columns.index(text_col))), out.schema)
     return out.toDF(*docs.columns)
 
 

@@ -21,15 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import bounded_sample, fold
-from .scratch import narrow_batches
+from .scratch import narrow_batches, tidy
 from .shingles import chunks, text_buffers
 
 ORDER = 5
 #: A context is in the tree if the training texts have it LEAST times; the tree of an order holds the CELLS / languages
 #: most frequent ones, so that a model is bounded however many languages there are.
-LEAST, CELLS = 2, 1 << 20
+LEAST, CELLS = 2, 1 << 18
 #: Bytes that are scored at once.
-PIECE = 1 << 18
+PIECE = 1 << 16
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 UNDETERMINED = "und"
@@ -258,7 +258,7 @@ def detect_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *own, *kept)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # CELLS numbers of contexts an order at most, and their symbols
     more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1 + len(own) :])
-    out = rows.mapInArrow(_score(sent, 1 if own else 1 + list(keep).index(text_col), 1 + len(own)), f"doc_id long, lang_pred string, score double{more}")
+    out = rows.mapInArrow(tidy(_score(sent, 1 if own else 1 + list(keep).index(text_col), 1 + len(own))), f"doc_id long, lang_pred string, score double{more}")
     return out.toDF(*NAMES, *(f"kept_{c}" for c in keep))
 
 

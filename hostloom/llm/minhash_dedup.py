@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch, narrow_batches
+from .scratch import Scratch, narrow_batches, tidy
 from .shingles import distinct, mix, shingle_hashes, text_words
 from .sieve import sifted
 
@@ -279,13 +279,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.cut(docs.mapInArrow(_sign(size), "id long, n long, digest binary, signature binary"))
+    signed = scratch.cut(docs.mapInArrow(tidy(_sign(size)), "id long, n long, digest binary, signature binary"))
     full = signed.filter("n > 0 and id is not null")
     classes = scratch.cut(full.groupBy("digest").agg(F.min("id").alias("id"), F.min("signature").alias("signature"), F.min("n").alias("n")))
 
     # The trees, level by level
     form = "node long, id long, tokens binary"
-    nodes = classes.select("id", "signature").mapInArrow(_roots(trees(percent)), form)
+    nodes = classes.select("id", "signature").mapInArrow(tidy(_roots(trees(percent))), form)
     leaves, parts = [], "node long, id long, tokens binary, size long"
     for level in range(DEEPER + 1):
         sizes = scratch.cut(nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"))
@@ -296,7 +296,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if large.isEmpty():
             break
         if level < DEEPER:
-            nodes = large.select("node", "id", "tokens").mapInArrow(_branch(level, trees(percent)), form)
+            nodes = large.select("node", "id", "tokens").mapInArrow(tidy(_branch(level, trees(percent))), form)
         else:  # exhaustively, each pair of tiles by itself
             tiles = F.ceil(F.col("size") / NODE)
             own = F.pmod(F.xxhash64("id"), tiles)
@@ -308,7 +308,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     compared = leaves[0]
     for more in leaves[1:]:
         compared = compared.unionByName(more)
-    pairs = compared.repartition("node").sortWithinPartitions("node").mapInArrow(_candidates(least_matches(percent)), "a long, b long")
+    pairs = compared.repartition("node").sortWithinPartitions("node").mapInArrow(tidy(_candidates(least_matches(percent))), "a long, b long")
     clusters = scratch.cut(components(pairs, scratch))
 
     # Links confirmed on full sets
@@ -316,8 +316,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tiles = member.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("tiles"))
     member = scratch.cut(member.join(tiles, "label").select("id", "digest", F.col("label").alias("cluster"), "tiles"))
     # only texts that may be members' go to the join
-    sets = sifted(docs, member, "id").join(member.hint("merge"), "id").select("id", "text", "digest", "cluster", "tiles").mapInArrow(_sets(size), "tile long, id long, tokens binary")
-    links = sets.repartition("tile").sortWithinPartitions("tile").mapInArrow(_links(percent), "a long, b long")
+    sets = sifted(docs, member, "id").join(member.hint("merge"), "id").select("id", "text", "digest", "cluster", "tiles").mapInArrow(tidy(_sets(size)), "tile long, id long, tokens binary")
+    links = sets.repartition("tile").sortWithinPartitions("tile").mapInArrow(tidy(_links(percent)), "a long, b long")
     repeated = full.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("id")
     same = full.join(repeated, "id", "left_semi").join(classes.select("digest", F.col("id").alias("b")), "digest").select(F.col("id").alias("a"), "b")
     found = components(links.unionByName(same), scratch)

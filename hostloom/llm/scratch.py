@@ -1,10 +1,14 @@
-"""Cutting lineage with Parquet tables in the shared folder that the cluster names."""
+"""Cutting lineage with Parquet tables in the shared folder that the cluster names, and the memory of Python workers."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
@@ -43,6 +47,23 @@ def narrow_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, rows)
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system, where its libraries can do that."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """run, a function of Arrow batches. Workers serve task after task and stage after stage, so each gives back at its end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 class Scratch:
     """A folder for one operator call. Tables in it survive lost executors."""
 
