@@ -24,13 +24,16 @@ def find_columns(catalog: DataFrame, category: str, above: float) -> DataFrame:
     return catalog.select("table_name", "column_name", column_confidence(F.col("column_name"), category).alias("confidence")).filter(F.col("confidence") > above)
 
 
+def picked_name(names: list[tuple[Column, float]], ips: list[tuple[Column, float]]) -> tuple[Column, Column]:
+    """The first valid host name, in lower case, else the first valid address at 0.7 of its confidence; and the confidence."""
+    found = [(H.valid_hostname(c), F.lower(c), conf) for c, conf in names] + [(H.valid_ip(c), c, conf * 0.7) for c, conf in ips]
+    return F.coalesce(*(F.when(ok, v) for ok, v, _ in found)), F.coalesce(*(F.when(ok, F.lit(conf)) for ok, _, conf in found))
+
+
 def pick(rows: DataFrame, hostname_columns: list[tuple[str, float]], ip_columns: list[tuple[str, float]]) -> DataFrame:
     """Adds hostname and confidence: the first column by confidence with a valid name, else the first valid address at
     0.7 of its confidence. Rows without either go."""
-    names = [(H.valid_hostname(F.col(c)), F.lower(F.col(c)), conf) for c, conf in hostname_columns]
-    ips = [(H.valid_ip(F.col(c)), F.col(c), conf * 0.7) for c, conf in ip_columns]
-    name = F.coalesce(*(F.when(ok, v) for ok, v, _ in names + ips))
-    confidence = F.coalesce(*(F.when(ok, F.lit(conf)) for ok, _, conf in names + ips))
+    name, confidence = picked_name(*([(F.col(c), conf) for c, conf in cs] for cs in (hostname_columns, ip_columns)))
     return rows.withColumns({"hostname": name, "confidence": confidence}).filter("hostname is not null")
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .lineage import cut, forget
 
-#: Edges and vertices up to which a graph is handled as arrays within a task; parts that a component is ordered in.
-SMALL, SALTS = 1 << 20, 64
+#: Edges and vertices up to which a graph is handled as arrays within a task; parts that a component is ordered in; sources that joins search from at once.
+SMALL, SALTS, SOURCES = 1 << 20, 64, 4096
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -59,12 +59,15 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def clustering(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per vertex the clustering coefficient of the undirected projection."""
+    """Per vertex the clustering coefficient of the undirected projection. Edges point from the end of the lower degree to that of
+    the higher one (ties by id), so that no vertex has more than the root of twice the edges going out and a hub forms no wedges."""
     e = cut(simple(edges))
-    degree = e.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
-    ab, ac, bc = e.alias("x"), e.alias("y"), e.alias("z")
-    tri = ab.join(ac, F.col("x.a") == F.col("y.a")).filter("x.b < y.b").join(bc, (F.col("z.a") == F.col("x.b")) & (F.col("z.b") == F.col("y.b")))
-    count = tri.select(F.explode(F.array("x.a", "x.b", "y.b")).alias("id")).groupBy("id").agg(F.count("*").alias("t"))
+    degree = cut(e.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d")))
+    ends = e.join(degree.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("id").alias("b"), F.col("d").alias("db")), "b")
+    forward = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+    out = cut(ends.select(F.when(forward, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("high")))
+    wedges = out.alias("x").join(out.alias("y"), "low").filter("x.high < y.high").select("low", F.col("x.high").alias("a"), F.col("y.high").alias("b"))
+    count = wedges.join(e, ["a", "b"]).select(F.explode(F.array("low", "a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("t"))
     rows = vertices.select("id").join(degree, "id", "left").join(count, "id", "left")
     return rows.select("id", F.when(F.col("d") > 1, 2 * F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("clustering"))
 
@@ -235,13 +238,64 @@ def _levels(starts: np.ndarray, to: np.ndarray, n: int, source: int) -> tuple[np
     return hops, paths, steps
 
 
-def _from_all(vertices: DataFrame, edges: DataFrame, per_source: Callable, column: str, scale: Callable[[int], float]) -> DataFrame:
-    """id and a figure that per_source(levels of a source) adds up over all sources. The sources are dealt over tasks, each with
-    the whole graph; no rows for a graph of more than SMALL edges or vertices, whose n searches no cluster would end."""
+def _searches(vertices: DataFrame, edges: DataFrame) -> Iterator[tuple[DataFrame, list[DataFrame]]]:
+    """Breadth-first searches from all vertices, SOURCES at a time, by joins of frontiers: for each part of the sources the edges (a, b) and the
+    levels, tables of s, v, paths (how many shortest ones). For graphs of any size; n searches take their time."""
+    e = cut(edges.join(vertices.select(F.col("id").alias("source")), "source", "left_semi").join(vertices.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("a"), F.col("target").alias("b")))
+    parts = max(1, -(-vertices.count() // SOURCES))
+    for k in range(parts):
+        own = vertices.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == k)
+        levels = [cut(own.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))]
+        while True:
+            found = e.join(levels[-1].withColumnRenamed("v", "a"), "a").groupBy("s", F.col("b").alias("v")).agg(F.sum("paths").alias("paths"))
+            seen = reduce(DataFrame.unionAll, [x.select("s", "v") for x in levels])
+            front = cut(found.join(seen, ["s", "v"], "left_anti"))
+            if front.isEmpty():
+                break
+            levels.append(front)
+        yield e, levels
+
+
+def _summed(vertices: DataFrame, parts: list[DataFrame], column: str, scale: float) -> DataFrame:
+    sums = reduce(DataFrame.unionAll, parts).groupBy("id").agg(F.sum("part").alias("part"))
+    return vertices.select("id").join(sums, "id", "left").select("id", (F.coalesce("part", F.lit(0.0)) * scale).alias(column))
+
+
+def _owed(vertices: DataFrame, edges: DataFrame) -> list[DataFrame]:
+    """Rows id, part: what the searches from each part of the sources owe to a vertex, level by level from the last one back."""
+    out = []
+    for e, levels in _searches(vertices, edges):
+        below = levels[-1].withColumn("owed", F.lit(0.0))
+        for upper in levels[-2::-1]:
+            out.append(cut(below.groupBy(F.col("v").alias("id")).agg(F.sum("owed").alias("part"))))
+            share = below.select("s", F.col("v").alias("b"), ((1 + F.col("owed")) / F.col("paths")).alias("share"))
+            up = e.join(share, "b").groupBy("s", F.col("a").alias("v")).agg(F.sum("share").alias("share"))
+            below = cut(upper.join(up, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("owed")))
+    return out or [vertices.select("id", F.lit(0.0).alias("part"))]
+
+
+def _close(vertices: DataFrame, edges: DataFrame) -> list[DataFrame]:
+    """Rows id, part: the closeness of each source of _searches."""
+    n, out = vertices.count(), []
+    for _, levels in _searches(vertices, edges):
+        far = reduce(DataFrame.unionAll, [x.select("s", F.lit(k).alias("hops")) for k, x in enumerate(levels)]).groupBy("s").agg(F.count("*").alias("r"), F.sum("hops").alias("far"))
+        r = F.col("r") - 1
+        out.append(cut(far.filter("far > 0").select(F.col("s").alias("id"), (r / F.col("far") * r / (n - 1)).alias("part"))))
+    return out
+
+
+def is_small(vertices: DataFrame, edges: DataFrame) -> bool:
+    return vertices.limit(SMALL + 1).count() <= SMALL and edges.limit(SMALL + 1).count() <= SMALL
+
+
+def _from_all(vertices: DataFrame, edges: DataFrame, per_source: Callable, joined: Callable[[DataFrame, DataFrame], list[DataFrame]], column: str, scale: Callable[[int], float]) -> DataFrame:
+    """id and a figure that adds up over searches from all sources. Where the graph has SMALL edges and vertices at most, the sources are
+    dealt over tasks, each with the whole graph, and per_source(levels of a source) gives a source's part; a larger graph is
+    searched by joins, and joined(vertices, edges) gives the parts."""
     vertices, edges = cut(vertices.select("id").distinct()), cut(edges.select("source", "target").filter("source <> target").distinct())
-    spark, schema = vertices.sparkSession, f"id string, {column} double"
-    if vertices.limit(SMALL + 1).count() > SMALL or edges.limit(SMALL + 1).count() > SMALL:
-        return spark.createDataFrame([], schema)
+    spark = vertices.sparkSession
+    if not is_small(vertices, edges):
+        return _summed(vertices, joined(vertices, edges), column, scale(vertices.count()))
     ids = np.array(sorted(r[0] for r in vertices.toLocalIterator()))
     place = {v: k for k, v in enumerate(ids)}
     ends = np.array([(place[a], place[b]) for a, b in edges.toLocalIterator() if a in place and b in place], np.int64).reshape(-1, 2)
@@ -274,7 +328,7 @@ def betweenness(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         owed[source] = 0
         total += owed
 
-    return _from_all(vertices, edges, add, "betweenness", lambda n: 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0)
+    return _from_all(vertices, edges, add, _owed, "betweenness", lambda n: 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0)
 
 
 def closeness(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -288,15 +342,15 @@ def closeness(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         far, r = hops[hops > 0].sum(), np.count_nonzero(hops > 0)
         total[source] = r / far * r / (len(hops) - 1) if far else 0.0
 
-    return _from_all(vertices, edges.select(F.col("target").alias("source"), F.col("source").alias("target")), add, "closeness", lambda n: 1.0)
+    return _from_all(vertices, edges.select(F.col("target").alias("source"), F.col("source").alias("target")), add, _close, "closeness", lambda n: 1.0)
 
 
 def articulation_points(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Vertices whose loss would part their component: one depth-first search over a graph of up to SMALL edges, no rows
-    for a larger one."""
+    """Vertices whose loss would part their component. A graph of up to SMALL edges and vertices is one depth-first search in a
+    task; of a larger one the blocks are found by joins."""
     vertices, edges = cut(vertices.select("id").distinct()), cut(edges.select("source", "target"))
-    if vertices.limit(SMALL + 1).count() > SMALL or edges.limit(SMALL + 1).count() > SMALL:
-        return vertices.sparkSession.createDataFrame([], "id string")
+    if not is_small(vertices, edges):
+        return _cut_vertices(vertices, edges)
 
     def run(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
         near = defaultdict(set)
@@ -335,6 +389,61 @@ def articulation_points(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return _whole(vertices, edges, run, "id string")
 
 
+def _cut_vertices(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Articulation points without a depth-first search, which can't be dealt over tasks: a breadth-first forest is numbered in
+    preorder, level by level; edges of the forest are in one block if an edge outside of it leads around their common vertex;
+    the blocks are components of a graph of the forest's edges, and a vertex on two blocks is an articulation point."""
+    ids = vertices.select("id")
+    e = cut(simple(edges).join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"))
+    sym = e.union(e.select("b", "a"))
+    roots = components(ids, e.select(F.col("a").alias("source"), F.col("b").alias("target"))).select("component").distinct()
+    levels = [cut(roots.select(F.col("component").alias("v"), F.lit(None).cast("string").alias("p")))]
+    while True:
+        found = sym.join(levels[-1].select(F.col("v").alias("a")), "a").groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p"))
+        front = cut(found.join(reduce(DataFrame.unionAll, [x.select("v") for x in levels]), "v", "left_anti"))
+        if front.isEmpty():
+            break
+        levels.append(front)
+    # sizes of subtrees from the last level back, then places from the first level on
+    sized, below = [], None
+    for x in reversed(levels):
+        if below is None:
+            below = cut(x.withColumn("n", F.lit(1).cast("long")))
+        else:
+            under = below.groupBy(F.col("p").alias("v")).agg(F.sum("n").alias("under"))
+            below = cut(x.join(under, "v", "left").select("v", "p", (1 + F.coalesce("under", F.lit(0))).alias("n")))
+        sized.append(below)
+    sized.reverse()
+    placed = []
+    for k, x in enumerate(sized):
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        if k:
+            x = x.withColumn("before", before).join(placed[-1].select(F.col("v").alias("p"), F.col("pre").alias("up"), "root"), "p").select("v", "p", "n", (F.col("up") + 1 + F.col("before")).alias("pre"), "root")
+        else:
+            x = x.select("v", "p", "n", F.lit(0).cast("long").alias("pre"), F.col("v").alias("root"))  # places are told within a tree
+        placed.append(cut(x))
+    tree = cut(reduce(DataFrame.unionAll, placed))
+    side = lambda c: tree.select(F.col("v").alias(c), F.col("p").alias(f"p_{c}"), F.col("pre").alias(f"pre_{c}"), F.col("n").alias(f"n_{c}"))
+    outside = cut(e.join(side("a"), "a").join(side("b"), "b").filter("not (p_a <=> b) and not (p_b <=> a)"))
+    near = outside.select(F.col("a").alias("v"), F.col("pre_b").alias("pre")).union(outside.select("b", "pre_a")).groupBy("v").agg(F.min("pre").alias("least"), F.max("pre").alias("most"))
+    told, below = [], None
+    for x in reversed(placed):
+        own = x.join(near, "v", "left").select("v", "p", "n", "pre", F.least("pre", "least").alias("low"), F.greatest("pre", "most").alias("high"))
+        if below is not None:
+            under = below.groupBy(F.col("p").alias("v")).agg(F.min("low").alias("l"), F.max("high").alias("h"))
+            own = own.join(under, "v", "left").select("v", "p", "n", "pre", F.least("low", "l").alias("low"), F.greatest("high", "h").alias("high"))
+        below = cut(own)
+        told.append(below)
+    # an edge of the forest goes by its lower end v
+    lower = reduce(DataFrame.unionAll, told)
+    up = tree.filter("p is not null").select(F.col("v").alias("p"), F.col("pre").alias("pre_p"), F.col("n").alias("n_p"))
+    around = lower.join(up, "p").filter("low < pre_p or high >= pre_p + n_p").select(F.col("v").alias("source"), F.col("p").alias("target"))
+    across = outside.filter("pre_a + n_a <= pre_b or pre_b + n_b <= pre_a").select("a", "b")
+    blocks = components(tree.filter("p is not null").select(F.col("v").alias("id")), around.union(across))
+    ends = blocks.join(tree.select(F.col("v").alias("id"), "p"), "id").select(F.explode(F.array("id", "p")).alias("id"), "component").distinct()
+    return ends.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+
+
 def critical_nodes(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Vertices whose degree, betweenness and rank add up to more than a half, twenty at most by name."""
     rows = degree(vertices, edges).join(betweenness(vertices, edges), "id", "left").join(pagerank(vertices, edges), "id")

@@ -181,8 +181,8 @@ def token_count(text: Column, most: int = 512) -> Column:
     return F.least(F.size(F.regexp_extract_all(F.lower(text), F.lit(r"(\w+|[^\w\s])"))) + 2, F.lit(most))
 
 
-def rule_types(values: DataFrame) -> DataFrame:
-    """The semantic type of each column by value patterns and name hints; the first one of equals."""
+def rule_scores(values: DataFrame) -> DataFrame:
+    """The score of each semantic type for each column, by value patterns and name hints: a column a type."""
     rows = values.filter("value is not null").withColumn("value", F.trim("value"))
     name = F.lower("column_name")
     shares = {t: [F.avg(F.col("value").rlike(f"(?i){p}").cast("double")) * w for p, w in ps] for t, ps in K.TYPE_PATTERNS.items()}
@@ -192,11 +192,15 @@ def rule_types(values: DataFrame) -> DataFrame:
         fits = H.any_contains(name, list(words))
         hint[kind] = F.when(fits & ~taken, floor).otherwise(0.0)
         taken = taken | fits
+    return scored.select(*KEYS, *(F.round(F.greatest(F.col(t), hint[t]) if t in hint else F.col(t), 9).alias(t) for t in K.TYPE_PATTERNS))
+
+
+def rule_types(values: DataFrame) -> DataFrame:
+    """The semantic type of each column by value patterns and name hints; the first one of equals."""
     kinds = list(K.TYPE_PATTERNS)
-    final = {t: F.round(F.greatest(F.col(t), hint[t]) if t in hint else F.col(t), 9) for t in kinds}
-    best = F.greatest(*final.values())
-    kind = reduce(lambda out, t: F.when(final[t] == best, t).otherwise(out), reversed(kinds), F.lit("unknown"))
-    return scored.select(*KEYS, F.when(best > 0, kind).otherwise("unknown").alias("type"), best.alias("confidence"))
+    best = F.greatest(*kinds)
+    kind = reduce(lambda out, t: F.when(F.col(t) == best, t).otherwise(out), reversed(kinds), F.lit("unknown"))
+    return rule_scores(values).select(*KEYS, F.when(best > 0, kind).otherwise("unknown").alias("type"), best.alias("confidence"))
 
 
 def votes(values: DataFrame) -> DataFrame:

@@ -96,16 +96,22 @@ def application_patterns(hosts: DataFrame) -> DataFrame:
     return pairs.select("source", "target", "type", F.lit(0.8).alias("confidence"), F.format_string("app_pattern:%s->%s", "app", "other").alias("via_attribute"), links.alias("links")).filter("links > 0")
 
 
+def label_classes(hosts: DataFrame) -> DataFrame:
+    """hostname, base, first: the first label of a host's name, and the smallest host that has it."""
+    rows = hosts.select("hostname", F.substring_index("hostname", ".", 1).alias("base"))
+    return rows.join(rows.groupBy("base").agg(F.min("hostname").alias("first")), "base").select("hostname", "base", "first")
+
+
 def hierarchy(hosts: DataFrame) -> DataFrame:
-    """Parents by hyphenated prefixes of names: every proper prefix of a name is looked up, no pair is tested."""
-    name = F.col("hostname")
-    base = F.substring_index(name, ".", 1)
-    rows = hosts.select("hostname", base.alias("base"), F.split(base, "-").alias("seg"))
+    """Parents by hyphenated prefixes of first labels: every proper prefix of a label is looked up, no pair is tested. All hosts of a
+    label are parents of all those of a longer one, so an edge joins the smallest hosts of two labels (label_classes tells the
+    others) and says how many links it stands for."""
+    rows = hosts.groupBy(F.substring_index("hostname", ".", 1).alias("base")).agg(F.min("hostname").alias("first"), F.count("*").alias("n")).withColumn("seg", F.split("base", "-"))
     upto = F.when(F.size("seg") > 1, F.sequence(F.lit(1), F.size("seg") - 1)).otherwise(F.array().cast("array<int>"))
-    up = rows.select(F.col("hostname").alias("child"), F.explode(F.transform(upto, lambda k: F.array_join(F.slice("seg", 1, k), "-"))).alias("base"))
-    pairs = up.join(rows.select(F.col("hostname").alias("parent"), "base"), "base").filter("parent <> child").select("parent", "child").distinct()
+    up = rows.select(F.col("first").alias("child"), F.col("n").alias("m"), F.explode(F.transform(upto, lambda k: F.array_join(F.slice("seg", 1, k), "-"))).alias("base"))
+    pairs = up.join(rows.select(F.col("first").alias("parent"), "n", "base"), "base")
     both = F.explode(F.array(F.struct(F.col("parent").alias("source"), F.col("child").alias("target"), F.lit("parent_of").alias("type")), F.struct(F.col("child").alias("source"), F.col("parent").alias("target"), F.lit("child_of").alias("type")))).alias("x")
-    return pairs.select(both).select("x.*", F.lit(0.7).alias("confidence"), F.lit("hostname_hierarchy").alias("via_attribute"))
+    return pairs.select(both, (F.col("n") * F.col("m")).alias("links")).select("x.*", F.lit(0.7).alias("confidence"), F.lit("hostname_hierarchy").alias("via_attribute"), "links")
 
 
 def clusters(hosts: DataFrame) -> DataFrame:
@@ -136,15 +142,18 @@ def deduplicate(edges: DataFrame, directed: bool = False) -> DataFrame:
 
 def families(hosts: DataFrame, picked: DataFrame) -> DataFrame:
     """The edges of all five families and how many links each stands for: one, but for those between classes."""
-    single = [shared_attributes(hosts, picked), same_network(hosts), hierarchy(hosts), clusters(hosts)]
-    frames = [application_patterns(hosts), *(f.select(*EDGE, F.lit(1).cast("long").alias("links")) for f in single)]
+    single = [shared_attributes(hosts, picked), same_network(hosts), clusters(hosts)]
+    frames = [application_patterns(hosts), hierarchy(hosts), *(f.select(*EDGE, F.lit(1).cast("long").alias("links")) for f in single)]
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
 def member_edges(hosts: DataFrame, edges: DataFrame) -> DataFrame:
-    """source, target: each other host of a class that application_patterns links, with the class's smallest host."""
-    ends = edges.filter(F.col("via_attribute").startswith("app_pattern:")).select(F.explode(F.array("source", "target")).alias("first")).distinct()
-    return application_classes(hosts).filter("hostname <> first").join(ends, "first", "left_semi").select(F.col("hostname").alias("source"), F.col("first").alias("target"))
+    """source, target: each other host of a class that application_patterns or hierarchy links, with the class's smallest host."""
+    out = []
+    for via, classes in (("app_pattern:", application_classes(hosts)), ("hostname_hierarchy", label_classes(hosts))):
+        ends = edges.filter(F.col("via_attribute").startswith(via)).select(F.explode(F.array("source", "target")).alias("first")).distinct()
+        out.append(classes.filter("hostname <> first").join(ends, "first", "left_semi").select(F.col("hostname").alias("source"), F.col("first").alias("target")))
+    return out[0].unionByName(out[1]).distinct()
 
 
 def all_relationships(hosts: DataFrame, picked: DataFrame) -> DataFrame:
@@ -154,7 +163,7 @@ def all_relationships(hosts: DataFrame, picked: DataFrame) -> DataFrame:
 def named_edges(hosts: DataFrame) -> DataFrame:
     """Edges from names and networks, which graph queries work on. The hosts are found once, and so are the edges."""
     hosts = cut(hosts.select("hostname", "ip_address"))
-    return cut(deduplicate(same_network(hosts).unionByName(hierarchy(hosts)).unionByName(clusters(hosts))))
+    return cut(deduplicate(same_network(hosts).unionByName(hierarchy(hosts).select(*EDGE)).unionByName(clusters(hosts))))
 
 
 def type_info(edges: DataFrame) -> DataFrame:

@@ -6,29 +6,22 @@ import logging
 from collections.abc import Callable
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import host as H
+from .sample import sampled
 
 log = logging.getLogger(__name__)
 
 
-def sampled(df: DataFrame, percent: float, most: int, seed: int | None = None) -> DataFrame:
-    """A sample of min(percent of the rows, most) rows, rounded down; None of an empty table or where that is no row, so
-    that a ladder of scans goes on. Drawn by a Bernoulli sample of twice the share, which a limit cuts to the number."""
-    n = min(int(df.count() * percent / 100), most)
-    if not n:
-        return None
-    # of under a thousand rows, twice the share may fall short by chance
-    return (df if n < 1000 else df.sample(min(1.0, percent / 50), seed)).limit(n)
-
-
-def hostname_samples(df: DataFrame, columns: list[str], percent: float = 1, most: int = 100, seed: int | None = None) -> DataFrame:
+def hostname_samples(df: DataFrame, columns: list[str], percent: float = 1, most: int = 100, seed: int = 42, by: list[str] | None = None) -> DataFrame:
     """hostname: the values that look like host names in the first three columns of a sample of rows, most at most, whose
-    first column isn't null."""
-    rows = df.select(*columns[:3]).sample(percent / 100, seed).filter(F.col(columns[0]).isNotNull()).limit(most)
+    first column isn't null. The sample goes by hashes, so it is of all rows whatever their order."""
+    rows = sampled(df.filter(F.col(columns[0]).isNotNull()), percent, most, seed, by)
+    rows = df.limit(0) if rows is None else rows
     values = rows.select(F.explode(F.array(*(F.col(c).cast("string") for c in columns[:3]))).alias("hostname"))
     return values.filter(H.looks_like_hostname(F.col("hostname")))
 
@@ -83,19 +76,24 @@ def report(spark: SparkSession, tables: dict[str, DataFrame | None]) -> DataFram
 
 
 def load(spark: SparkSession, paths: list[str], skip_corrupt: bool = False) -> DataFrame:
-    """Parquet files as one table; with skip_corrupt, files that can't be read are logged and left out."""
-    if skip_corrupt:
-        good = []
-        for path in paths:
-            try:
-                spark.read.parquet(path)  # the footer alone
-                good.append(path)
-            except Exception as e:  # noqa: BLE001  whatever is wrong with one file, the others are wanted
-                log.warning("%s can't be read: %s", path, e)
-        if not good:
-            raise ValueError("none of the files can be read")
-        paths = good
-    return spark.read.option("ignoreCorruptFiles", skip_corrupt).parquet(*paths)
+    """Parquet files as one table; with skip_corrupt, files that can't be read are logged and left out. All footers are read in
+    one job, whose result is the schema of the files that can be read; the scan passes over the others."""
+    if not skip_corrupt:
+        return spark.read.parquet(*paths)
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    there = []
+    for path in paths:
+        p = hadoop.Path(path)
+        if p.getFileSystem(conf).exists(p):
+            there.append(path)
+        else:
+            log.warning("%s isn't there", path)
+    try:
+        if not there:
+            raise ValueError("none of the files is there")
+        return spark.read.options(ignoreCorruptFiles=True, mergeSchema=True).parquet(*there)
+    except AnalysisException as e:
+        raise ValueError("none of the files can be read") from e
 
 
 class LoadCache:
@@ -107,7 +105,7 @@ class LoadCache:
     def get(self, key: str, load: Callable[[], DataFrame]) -> DataFrame:
         if key not in self.held:
             df = load()
-            size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+            size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
             if self.held and size + sum(s for _, s in self.held.values()) > self.most:
                 self.drop(next(iter(self.held)))
             self.held[key] = df.persist(StorageLevel.MEMORY_AND_DISK), size

@@ -8,6 +8,7 @@ from ..functions import constants as K
 from ..functions import host as H
 from ..operators import discovery as D
 from ..operators import profile as P
+from ..operators import sample as B
 from ..operators import scan as S
 from ..sources.inventory import table
 from . import views as V
@@ -203,7 +204,8 @@ def relations(spark, sf):
 _KINDS = list(K.TYPE_PATTERNS)
 
 
-def _typed():
+def _scores():
+    """The score of each type for each column of vals."""
     shares = ", ".join("greatest(" + ", ".join(f"avg(regexp_matches(trim(value), '(?i){p}')::INT) * {w}::DOUBLE" for p, w in ps) + f", 0) AS {t}" for t, ps in K.TYPE_PATTERNS.items())
     floor, before = {}, []
     for words, kind, value in K.NAME_HINTS:
@@ -211,8 +213,12 @@ def _typed():
         floor[kind] = f"CASE WHEN {fits}{''.join(f' AND NOT {b}' for b in before)} THEN {value}::DOUBLE ELSE 0 END"
         before.append(fits)
     final = ", ".join(f"round(greatest({t}, {floor.get(t, '0')}), 9) AS {t}" for t in _KINDS)
+    return f"(SELECT {_K}, {final} FROM (SELECT {_K}, {shares} FROM vals WHERE value IS NOT NULL GROUP BY 1, 2))"
+
+
+def _typed():
     best = f"greatest({', '.join(_KINDS)})"
-    return f"typed AS (SELECT {_K}, CASE WHEN {best} > 0 THEN CASE {best} {' '.join(f'''WHEN {t} THEN '{t}' ''' for t in _KINDS)} END ELSE 'unknown' END AS type, {best} AS confidence FROM (SELECT {_K}, {final} FROM (SELECT {_K}, {shares} FROM vals WHERE value IS NOT NULL GROUP BY 1, 2)))"
+    return f"typed AS (SELECT {_K}, CASE WHEN {best} > 0 THEN CASE {best} {' '.join(f'''WHEN {t} THEN '{t}' ''' for t in _KINDS)} END ELSE 'unknown' END AS type, {best} AS confidence FROM {_scores()})"
 
 
 @query("c24_c27_rule_types", f"WITH {_NULLS}, {_typed()} SELECT * FROM typed")
@@ -279,9 +285,14 @@ def associated_columns(spark, sf):
 # Scans
 
 
-@query("s2_s3_sampled_scan")
+@query("s2_s3_sampled_scan", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY left(md5('42|' || CAST(o_orderkey AS VARCHAR)), 15) LIMIT (SELECT least(count(*) * 10 // 100, 100000) FROM orders)")
 def sampled_scan(spark, sf):
-    return S.sampled(table(spark, sf, "orders"), percent=10, most=100_000, seed=42)
+    return S.sampled(table(spark, sf, "orders"), percent=10, most=100_000, seed=42, by=["o_orderkey"]).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query("s3_block_sample")
+def sampled_blocks(spark, sf):
+    return B.block_sample(spark, f"{sf}/lineitem.parquet", percent=10, seed=7)
 
 
 @query("s3_sample_size", "SELECT least(floor(count(*) * 10 / 100), 100000)::BIGINT AS n FROM orders")
@@ -320,11 +331,14 @@ def scan_report(spark, sf):
     return S.report(spark, {t: table(spark, sf, t) for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")})
 
 
-@query("s12_hostname_samples")
+_NAMED = "named AS (SELECT * FROM host_raw WHERE host_name IS NOT NULL)"
+
+
+@query("s12_hostname_samples", V.with_(V.RAW_SQL, _NAMED) + f"SELECT host_name AS hostname FROM (SELECT host_name FROM named ORDER BY left(md5('7|' || table_name || '|' || CAST(row_id AS VARCHAR)), 15) LIMIT (SELECT least(count(*) * 1 // 100, 100) FROM named)) WHERE coalesce(length(host_name) BETWEEN 1 AND 253 AND NOT contains(host_name, ' ') AND regexp_matches(host_name, '{K.LOOSE_HOSTNAME}'), false)")
 def hostname_samples(spark, sf):
     raw = V.raw(spark, sf)
     found = [r.column_name for r in D.find_columns(catalog(spark, sf).filter("table_name = 'host_raw'"), "hostname", 0.5).collect()]  # of one table
-    return S.hostname_samples(raw, found, percent=1, seed=7)
+    return S.hostname_samples(raw, found, percent=1, seed=7, by=["table_name", "row_id"])
 
 
 @query("s15_s17_files", "SELECT count(*) AS n, count(DISTINCT l_orderkey) AS orders FROM lineitem")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import walks as W
 from ..operators.lineage import cut
 from . import views as V
 from .registry import query
@@ -143,6 +144,22 @@ def node_features(spark, sf):
     return G.node_features(V.hosts(spark, sf))
 
 
+_NEAR = """near AS (SELECT DISTINCT a, b FROM (SELECT source AS a, target AS b FROM edges UNION ALL SELECT target, source FROM edges) WHERE a <> b),
+adj AS MATERIALIZED (SELECT a, row_number() OVER (PARTITION BY a ORDER BY left(md5(b), 1), b) - 1 AS k, b, count(*) OVER (PARTITION BY a) AS d FROM near),
+steps(walk, node, r, path) AS (SELECT id || '#' || j, id, 0, [id] FROM vertices, (SELECT unnest(range(3)) AS j)
+  UNION ALL SELECT walk, b, r + 1, list_append(path, b) FROM steps JOIN adj ON a = node AND k = ('0x' || left(md5('42|' || walk || '|' || r), 8))::BIGINT % d WHERE r < 7)"""
+
+
+@query("g13_walks", "WITH RECURSIVE " + ",\n".join((EDGES_SQL, _VERTICES, _NEAR)) + "\nSELECT walk, array_to_string(arg_max(path, r), ' ') AS path FROM steps GROUP BY 1")
+def walks(spark, sf):
+    return W.walks(vertices(spark, sf), edges(spark, sf), each=3, length=8).withColumn("path", F.array_join("path", " "))
+
+
+@query("g13_embeddings")
+def embeddings(spark, sf):
+    return W.embeddings(W.walks(vertices(spark, sf), edges(spark, sf), each=10, length=20))
+
+
 _LEVELS = [("environment", "''", "environment"), ("datacenter", "environment", "datacenter"), ("application", "environment || '/' || datacenter", "application"), ("host", "environment || '/' || datacenter || '/' || application", "hostname")]
 
 

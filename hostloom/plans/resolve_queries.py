@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import discovery as D
+from ..operators import index as I
 from ..operators import resolve as R
 from ..operators.lineage import cut
 from ..sources import sinks as S
@@ -85,8 +86,23 @@ def blocking_vectors(spark, sf):
     return R.blocking_vectors(texts(spark, sf))
 
 
-# Stores
+def near_hosts(spark, sf):
+    """The nearest hosts of every host, by an index of the vectors of their names and forms."""
+    rows = cut(R.blocking_vectors(texts(spark, sf)).select(F.col("hostname").alias("id"), F.col("vector").cast("array<double>").alias("vector")))
+    return I.search(I.build(rows), rows, k=10, probes=8)
+
+
+@query("e3_e9_indexed_neighbours")
+def indexed_neighbours(spark, sf):
+    return near_hosts(spark, sf).withColumn("distance", F.round("distance", 6))
+
 
+@query("e3_e9_united_candidates")
+def united_candidates(spark, sf):
+    return I.candidates(near_hosts(spark, sf), pairs(spark, sf))
+
+
+# Stores
 
 
 @query("k2_upsert_hosts", V.with_(V.HOSTS_SQL) + "SELECT hostname, coalesce(owner, 'none') AS owner, CASE WHEN environment = 'production' THEN 2 ELSE 1 END AS version FROM hosts")

@@ -59,10 +59,44 @@ FROM nation
 """
 
 
+#: Tables of other owners: other names for the same things, some that tell nothing, and more columns beside. They grow with the given tables.
+DERIVED = {
+    "host_raw": HOST_RAW,
+    "assets": """
+SELECT s_suppkey AS asset_id, concat('asset-', CAST(s_suppkey % 97 AS STRING), '-', CAST(s_nationkey AS STRING)) AS server_name, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE concat('10.9.', CAST(s_nationkey AS STRING), '.', CAST(s_suppkey % 256 AS STRING)) END AS private_ip,
+  CASE s_suppkey % 3 WHEN 0 THEN 'PROD' WHEN 1 THEN 'dev' ELSE '' END AS stage, 'billing' AS service_name, s_acctbal AS cost
+FROM supplier
+""",
+    "dns_records": """
+SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS fqdn, 3600 AS ttl, CASE WHEN page_id % 3 = 0 THEN NULL ELSE concat('172.20.', CAST(page_id % 7 AS STRING), '.', CAST(page_id % 200 AS STRING)) END AS ipv4
+FROM pages
+""",
+    "flows": """
+SELECT event_id, concat('node-', CAST(user_id % 200 AS STRING), '.flows.example.net') AS seen_at, CASE WHEN event_id % 10 = 0 THEN 'n/a' ELSE concat('192.0.2.', CAST(user_id % 250 AS STRING)) END AS peer, event_type AS kind
+FROM events
+""",
+    "contacts": """
+SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'not known' ELSE concat('10.77.0.', CAST(c_custkey % 250 AS STRING)) END AS ip_addr, c_mktsegment AS app
+FROM customer
+""",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def derived(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables of DERIVED."""
+    out = {}
+    for name, text in DERIVED.items():
+        used = [t for t in (*TABLES, "events") if f"FROM {t}\n" in text]
+        for t in used:
+            text = text.replace(f"FROM {t}\n", f"FROM {{{t}}}\n")
+        out[name] = spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
+    return out
+
+
 def host_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """table_name, row_id, host_name, ip_address, environment, application, owner, os_type, cpu_cores, memory_gb, last_seen, status."""
     text = HOST_RAW
