@@ -33,7 +33,7 @@ from .shingles import chunks, text_buffers
 END = "</w>"
 LATIN = "\u024f"
 #: Chunks of text whose encodings a task keeps, and words that a worker keeps in each of two generations.
-KEPT, WORDS = 200_000, 120_000
+KEPT, WORDS = 100_000, 80_000
 
 
 def vocabulary_path(name: str) -> str:
