@@ -11,8 +11,10 @@ three levels deeper; for 0.8 there are sixteen, which miss 8 of 10 ** 8 and 2 of
 task ever holds a node without bound.
 
 A node's comparison tells candidates by their signatures, with a margin under the threshold. Links
-are then confirmed exactly on full shingle sets, inside clusters of candidates. Documents with the
-same shingle set are represented by the one with the smallest id.
+are then confirmed exactly on full shingle sets, inside clusters of candidates: a cluster of many
+tiles first within each tile, then between the representatives of what hangs together, and only where
+parts are left over between all its tiles. Documents with the same shingle set are represented by the
+one with the smallest id.
 """
 
 from __future__ import annotations
@@ -180,9 +182,10 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         x, y = x[x != y], y[x != y]
 
 
-def _sets(size: int):
+def _sets(size: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Full sets of the documents of candidate clusters, once for each pair of tiles. Columns: id, text, digest, cluster, tiles."""
+        """Full sets of the documents of candidate clusters, once for their own tile or, if whole, for each pair of tiles. Columns: id,
+        text, digest, cluster, tiles."""
         for batch in batches:
             for at, to, words, cuts in text_words(batch.column(1)):
                 out = []
@@ -192,7 +195,7 @@ def _sets(size: int):
                     if blake2b(tokens, digest_size=16).digest() != digest:
                         continue  # another text of a repeated id
                     own = int(mix(np.array([i], np.int64).view(np.uint64))[0] % np.uint64(tiles))
-                    for other in range(tiles):
+                    for other in range(tiles) if whole else (own,):
                         if len(out) == 256:
                             yield _rows(out)
                             out = []
@@ -260,6 +263,17 @@ def _links(percent: int):
     return run
 
 
+def _tiled(member: DataFrame) -> DataFrame:
+    """With the number of tiles that a cluster's members are dealt over: by how many they are and how many shingles they have."""
+    tiles = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("tiles"))
+    return member.join(tiles, "cluster").select("id", "cluster", "digest", "n", "tiles")
+
+
+def _parts(member: DataFrame, labels: DataFrame) -> DataFrame:
+    """With the part that a member hangs together with over the links so far: its smallest id."""
+    return member.join(labels, "id", "left").withColumn("part", F.coalesce("label", "id")).drop("label")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -312,12 +326,25 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     clusters = scratch.cut(components(pairs, scratch))
 
     # Links confirmed on full sets
-    member = clusters.join(classes.select("id", "digest", "n"), "id").select("id", "label", "digest", "n")
-    tiles = member.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("tiles"))
-    member = scratch.cut(member.join(tiles, "label").select("id", "digest", F.col("label").alias("cluster"), "tiles"))
-    # only texts that may be members' go to the join
-    sets = sifted(docs, member, "id").join(member.hint("merge"), "id").select("id", "text", "digest", "cluster", "tiles").mapInArrow(tidy(_sets(size)), "tile long, id long, tokens binary")
-    links = sets.repartition("tile").sortWithinPartitions("tile").mapInArrow(tidy(_links(percent)), "a long, b long")
+    member = scratch.cut(clusters.join(classes.select("id", "digest", "n"), "id").select("id", F.col("label").alias("cluster"), "digest", "n"))
+    member = scratch.cut(_tiled(member))
+
+    def confirmed(rows: DataFrame, whole: bool = False) -> DataFrame:
+        # only texts that may be members' go to the join
+        texts = sifted(docs, rows, "id").join(rows.select("id", "digest", "cluster", "tiles").hint("merge"), "id").select("id", "text", "digest", "cluster", "tiles")
+        sets = texts.mapInArrow(tidy(_sets(size, whole)), "tile long, id long, tokens binary")
+        return scratch.cut(sets.repartition("tile").sortWithinPartitions("tile").mapInArrow(tidy(_links(percent)), "a long, b long"))
+
+    links = confirmed(member)
+    large = member.filter("tiles > 1")
+    if not large.isEmpty():
+        firsts = scratch.cut(_parts(large, components(links, scratch)).filter("id = part"))
+        several = firsts.groupBy("cluster").agg(F.count("*").alias("parts")).filter("parts > 1").select("cluster")
+        links = links.unionByName(confirmed(scratch.cut(_tiled(firsts.join(several, "cluster").select("id", "cluster", "digest", "n")))))
+        parts = _parts(large, components(links, scratch)).groupBy("cluster").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+        left = scratch.cut(large.join(parts.filter("low <> high").select("cluster"), "cluster").select(*large.columns))
+        if not left.isEmpty():
+            links = links.unionByName(confirmed(left, whole=True))
     repeated = full.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("id")
     same = full.join(repeated, "id", "left_semi").join(classes.select("digest", F.col("id").alias("b")), "digest").select(F.col("id").alias("a"), "b")
     found = components(links.unionByName(same), scratch)

@@ -75,6 +75,25 @@ def test_large_nodes_branch_and_are_tiled(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == linked(rows, 3, 85)
 
 
+def test_large_clusters_are_confirmed_part_by_part(spark, monkeypatch):
+    """Clusters of many tiles: one that hangs together at once, one that only chains do, and one of candidates that aren't links."""
+    from hostloom.llm import minhash_dedup as M
+
+    monkeypatch.setattr(M, "TILE", 4)
+    r = random.Random(11)
+    near = [f"n{k}" for k in range(200)]
+    rows = [" ".join(near[:i] + ["x", str(i)] + near[i:]) for i in range(0, 120, 4)]
+    chain = [f"c{k}" for k in range(300)]
+    rows += [" ".join(chain[k * 6 : k * 6 + 150]) for k in range(20)]
+    rows += [" ".join([w if r.random() > 0.03 else f"d{k}-{i}" for i, w in enumerate(f"b{k}" for k in range(150))]) for k in range(40)]
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = linked(rows, 3, 85)
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert len(set(want.values())) > 10
+
+
 def test_common_counts_the_last_column_too():
     from hostloom.llm.minhash_dedup import _common
 
