@@ -2,8 +2,8 @@
 
 The kernel of two words sums over common subsequences of three characters, gaps allowed, each
 weighted by the decay to the power of its spans; words are taken with marks at both ends. Gapped and
-inserted-character spellings of an insult so stay close to it. A text is a bag of words, and the
-bag is as toxic as its most toxic word.
+inserted-character spellings of an insult so stay close to it. A text is a bag of words: labelled
+texts teach how sure a text's worst word must be by itself, and how its three worst words go together.
 
 Landmarks are words of the training texts; a word's Nystroem features are its kernel values with them
 times the inverse square root of the landmarks' own kernel matrix. Since subsequences are bounded in
@@ -13,6 +13,7 @@ subsequence: words are scored with table look-ups, each distinct word once for a
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -29,6 +30,8 @@ from .scratch import narrow_batches
 from .shingles import chunks, text_buffers
 
 DECAY, SPAN, DIMENSIONS = 0.7, 6, 1 << 15
+#: Words of a text that are looked at together, and the least decision that counts there.
+WORST, FLOOR = 3, -1.0
 #: Characters of a word that are taken at once; longer words are taken in windows that overlap by half.
 WIDTH = 24
 LANDMARKS, NEGATIVES, LOSS, COMMON = 320, 6_000, 1e-5, 100.0
@@ -42,8 +45,8 @@ _SPACED = re.compile(r"(?<!\w)\w(?:[^\w\s]?\s?[^\w\s]?\w(?!\w)){3,}")
 class Model:
     weight: np.ndarray  # of each hashed subsequence
     bias: float
-    scale: float  # of the calibration
-    shift: float
+    several: np.ndarray  # calibration of the WORST words, and its shift
+    alone: np.ndarray  # calibration of the worst word by itself, and its shift
 
 
 def words_of(text: str) -> set[str]:
@@ -84,24 +87,20 @@ def _subsequences(codes: np.ndarray, size: np.ndarray) -> Iterator[tuple[float,
 
 
 def feature_map(words: list[str]) -> np.ndarray:
-    """Normalised explicit features, one row a word; for few words (the first window of a long one)."""
-    codes, size, owner = _codes(words)
-    first = np.concatenate([[True], owner[1:] != owner[:-1]])
-    codes, size = codes[first], size[first]
-    out = np.zeros((len(words), DIMENSIONS), np.float32)
-    rows = np.arange(len(words))[:, None]
+    """Normalised explicit features, one row for each window of each word (a short word is one window); for few words."""
+    codes, size, _ = _codes(words)
+    out = np.zeros((len(codes), DIMENSIONS), np.float32)
+    rows = np.arange(len(codes))[:, None]
     for w, index, valid in _subsequences(codes, size):
         np.add.at(out, (np.broadcast_to(rows, index.shape)[valid], index[valid]), w)
     return out / np.maximum(np.sqrt((out**2).sum(1, keepdims=True)), 1e-9)
 
 
 def kernel(words: list[str], basis: np.ndarray) -> np.ndarray:
-    """Normalised kernel values of words (the first window of a long one) with the rows of basis, by their features."""
-    codes, size, owner = _codes(words)
-    first = np.concatenate([[True], owner[1:] != owner[:-1]])
-    codes, size = codes[first], size[first]
+    """Normalised kernel values of the windows of words with the rows of basis, by their features."""
+    codes, size, _ = _codes(words)
     columns = np.ascontiguousarray(basis.T)
-    out, norm = np.zeros((len(words), len(basis)), np.float32), np.zeros(len(words))
+    out, norm = np.zeros((len(codes), len(basis)), np.float32), np.zeros(len(codes))
     for w, index, valid in _subsequences(codes, size):
         norm += w * w * valid.sum(1)
         for k in range(index.shape[1]):
@@ -167,9 +166,10 @@ def fit(texts: list[str], toxic: np.ndarray, importance: np.ndarray) -> Model |
     positive = positive + sorted(spelt)
     instances = positive + negative
     z = (kernel(instances, basis) @ root.astype(np.float32)).astype(np.float32)
-    y = np.where(np.arange(len(instances)) < len(positive), 1.0, -1.0)
+    of_word = _codes(instances)[2]  # a row is a window
+    y = np.where(of_word < len(positive), 1.0, -1.0)
     # a word that many texts have says more, on either side; very common clean ones are far off anyway
-    cost = np.minimum([known[w] for w in instances], COMMON)
+    cost = (np.minimum([known[w] for w in instances], COMMON) / np.bincount(of_word))[of_word]
     cost *= 0.5 / cost[y > 0].sum()
     v, bias, total, of = np.zeros(z.shape[1], np.float32), 0.0, np.zeros(z.shape[1] + 1), 0
     cost = cost.astype(np.float32)
@@ -185,16 +185,36 @@ def fit(texts: list[str], toxic: np.ndarray, importance: np.ndarray) -> Model |
     v, bias = total[:-1] / of, total[-1] / of
     weight = (root @ v) @ basis.astype(float)
     score = dict(zip(vocabulary, decide(vocabulary, weight, bias), strict=True))
-    top = np.array([max((score[w] for w in bag), default=-3.0) for bag in bags])
-    scale, shift = 1.0, 0.0
-    for _ in range(100):  # Newton steps of the calibration
-        p = 1 / (1 + np.exp(-(scale * top + shift)))
-        x = np.stack([top, np.ones(len(top))])
-        gradient = x @ (importance * (toxic - p)) - np.array([1e-3 * scale, 0])
-        curve = (x * (importance * p * (1 - p))) @ x.T + 1e-3 * np.eye(2)
-        step = np.linalg.solve(curve, gradient).clip(-2, 2)
-        scale, shift = scale + step[0], shift + step[1]
-    return Model(weight.astype(np.float32), float(bias), float(scale), float(shift))
+    top = worst([[score[w] for w in bag] for bag in bags])
+    return Model(weight.astype(np.float32), float(bias), calibrated(np.maximum(top, FLOOR), toxic, importance), calibrated(top[:, :1], toxic, importance))
+
+
+def worst(decisions: list[list[float]]) -> np.ndarray:
+    """The WORST highest decisions of each text, the highest first; -3 where it has fewer words."""
+    out = np.full((len(decisions), WORST), -3.0)
+    for row, own in zip(out, decisions, strict=True):
+        few = heapq.nlargest(WORST, own)
+        row[: len(few)] = few
+    return out
+
+
+def calibrated(x: np.ndarray, toxic: np.ndarray, importance: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression of the labels on the columns of x, the last one its shift: Newton steps."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    few = np.append(np.full(len(w) - 1, 1e-3), 0.0)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
+        gradient = x.T @ (importance * (toxic - p)) - few * w
+        curve = (x.T * (importance * p * (1 - p))) @ x + 1e-3 * np.eye(len(w))
+        w = w + np.linalg.solve(curve, gradient).clip(-1, 1)
+    return w
+
+
+def probability(model: Model, top: np.ndarray) -> np.ndarray:
+    """Of texts, by what worst() tells of them: the higher of both calibrations."""
+    odds = np.maximum(np.maximum(top, FLOOR) @ model.several[:-1] + model.several[-1], top[:, :1] @ model.alone[:-1] + model.alone[-1])
+    return 1 / (1 + np.exp(-odds.clip(-50, 50)))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, most: int = 3000) -> Model | None:
@@ -226,8 +246,7 @@ class Scorer:
             score = dict(zip(plain, decide(plain, self.model.weight, self.model.bias).tolist(), strict=True)) if plain else {}
             self.known.update((f, score.get(bare(f), -3.0)) for f in forms)
         get = self.known.__getitem__
-        top = np.array([max(map(get, bag), default=-3.0) for bag in bags])
-        return 1 / (1 + np.exp(-(self.model.scale * top + self.model.shift)))
+        return probability(self.model, worst([[get(w) for w in bag] for bag in bags]))
 
 
 def _score(sent):

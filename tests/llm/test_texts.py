@@ -275,10 +275,33 @@ def test_kernel_is_that_of_all_common_subsequences():
 def test_toxicity_held_out(spark):
     got = toxicity.op7_toxicity(spark, DATA.replace("sf0.001", "sf0.1")).filter("held_out").join(table(spark, "labels", DATA.replace("sf0.001", "sf0.1")), "doc_id").collect()
     hit = [r for r in got if r.toxic == 1 and r.predicted == 1]
-    assert len(hit) / sum(r.toxic == 1 for r in got) > 0.7
+    assert len(hit) / sum(r.toxic == 1 for r in got) > 0.85
     assert len(hit) / sum(r.predicted == 1 for r in got) > 0.75
 
 
+def test_long_words_teach_and_are_scored_in_all_windows():
+    rows = toxicity.feature_map(["a" * 60, "idiot"])
+    assert len(rows) == len(toxicity._codes(["a" * 60])[0]) + 1 > 4
+    start = "abcdefghijklmnopqrstuvwxyz"  # longer than a window: only later ones tell the words apart
+    bad, good = [f"{start}dreckskerl here"], [f"{start}blumentopf here", "a river"]
+    y = np.array([1] * 40 + [0] * 80)
+    s = toxicity.Scorer(toxicity.fit(bad * 40 + good * 40, y, np.ones(len(y))))([*bad, *good])
+    assert s[0] > 0.5 > s[1:].max()
+
+
+def test_several_words_say_more_than_one():
+    """The calibration is a plain logistic regression of the labels on the three highest decisions."""
+    rng = np.random.default_rng(4)
+    x = np.sort(rng.normal(0, 2, (400, 3)))[:, ::-1]
+    y = (x.sum(1) + rng.normal(0, 1, 400) > 3).astype(int)
+    w = toxicity.calibrated(x, y, np.ones(400))
+    loss = lambda v: -np.log(1 / (1 + np.exp(-np.where(y == 1, 1, -1) * (x @ v[:-1] + v[-1])))).sum() + 5e-4 * (v[:-1] ** 2).sum()
+    assert all(loss(w) <= loss(w + d) + 1e-9 for d in rng.normal(0, 0.01, (200, 4)))
+    model = toxicity.Model(np.zeros(1, np.float32), 0.0, np.array([1.0, 1.0, 1.0, -4.0]), np.array([2.0, -5.0]))
+    p = toxicity.probability(model, toxicity.worst([[2.0, 1.9, 1.8], [2.0], [3.0], []]))
+    assert p[0] > 0.8 and p[1] < 0.5 < p[2] and p[3] < 0.01
+
+
 def test_toxicity_tolerates_gaps_and_insertions():
     bad, good = ["you are an idiot today", "what a stupid moron"], ["a nice river bank", "the old dog sleeps here", "quick brown foxes jump"]
     texts = bad * 40 + good * 60
