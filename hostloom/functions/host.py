@@ -111,3 +111,9 @@ def sql_datacenter(hostname: str, ip: str) -> str:
 
 def sql_present(c: str) -> str:
     return f"coalesce({c} <> '' AND {c} <> 'unknown', false)"
+
+
+def sql_hashed_embedding(text: str, size: int) -> str:
+    padded = f"('^' || lower({text}) || '$')"
+    slots = f"list_transform(range(1, length({padded}) - 1), lambda k: ('0x' || left(md5(substr({padded}, k, 3)), 8))::BIGINT % {size})"
+    return f"list_transform(range({size}), lambda x: len(list_filter({slots}, lambda s: s = x))::FLOAT)"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +40,29 @@ def measures(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return v.crossJoin(e).select("n", "m", F.when(n > 1, m / (n * (n - 1))).otherwise(0.0).alias("density"), F.when(n > 0, 2 * m / n).alias("degree"))  # two single rows
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's edges as stars: each vertex that hangs together with a smaller one in the partition, and the smallest of these."""
+    up: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    for part in itertools.batched(list(up), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([root(x) for x in part], pa.string())], names=["a", "b"])
+
+
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component: the smallest id that can be reached, directions ignored. Alternates steps that pull the larger
-    and the smaller neighbours of each vertex to its least one; rounds grow with the logarithm of the longest path."""
-    e = cut(simple(edges).select(F.col("b").alias("a"), F.col("a").alias("b")))  # a > b
+    """id, component: the smallest id that can be reached, directions ignored. Each partition's edges are first replaced by stars of
+    what hangs together there; then steps alternate that pull the larger and the smaller neighbours of each vertex to its least one. Rounds grow
+    with the logarithm of the longest path."""
+    e = cut(simple(edges).mapInArrow(_forest, "a string, b string").distinct())  # a > b
     last = None
     while True:
         sym = e.union(e.select("b", "a"))

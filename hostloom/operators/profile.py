@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import host as H
-from .lineage import cut
 
 KEYS = ["table_name", "column_name"]
 #: Sampled values of a column.
@@ -152,13 +151,13 @@ def feature_vector(parts: list[Column], size: int = 1588) -> Column:
 
 
 def tf_idf(docs: DataFrame, top: int = 500) -> DataFrame:
-    """Rows id, word, score for the top words by document frequency: count over length, times ln(N / (df + 1))."""
-    words = docs.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\w+)"))).alias("word"))
-    counts = cut(words.groupBy("id", "word").agg(F.count("*").alias("k")))  # the texts are split once
-    sizes = counts.groupBy("id").agg(F.sum("k").alias("len"))
-    df = counts.groupBy("word").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "word").limit(top)
+    """Rows id, word, score for the top words by document frequency: count over length, times ln(N / (df + 1)). The texts are split
+    twice, so that only rows of the top words are ever shuffled by text."""
+    rows = docs.select("id", F.regexp_extract_all(F.lower("text"), F.lit(r"(\w+)")).alias("w"))
+    df = rows.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "word").limit(top)
     n = docs.agg(F.count("*").alias("n"))  # one row
-    return counts.join(F.broadcast(df), "word").join(sizes, "id").crossJoin(n).select("id", "word", (F.col("k") / F.col("len") * F.log(F.col("n") / (F.col("df") + 1))).alias("score"))
+    counts = rows.select("id", F.size("w").alias("len"), F.explode("w").alias("word")).join(F.broadcast(df), "word").groupBy("id", "len", "word", "df").agg(F.count("*").alias("k"))
+    return counts.crossJoin(n).select("id", "word", (F.col("k") / F.col("len") * F.log(F.col("n") / (F.col("df") + 1))).alias("score"))
 
 
 def top_words(docs: DataFrame, top: int) -> DataFrame:
@@ -261,7 +260,7 @@ def hashed_embedding(text: Column, size: int = 64) -> Column:
     """Counts of hashed character trigrams: the deterministic stand-in where a model would embed a text."""
     padded = F.concat(F.lit("^"), F.lower(text), F.lit("$"))
     upto = F.when(F.length(padded) >= 3, F.sequence(F.lit(1), F.length(padded) - 2)).otherwise(F.array().cast("array<int>"))
-    slots = F.transform(upto, lambda k: F.pmod(F.xxhash64(F.substr(padded, k, F.lit(3))), F.lit(size)))
+    slots = F.transform(upto, lambda k: F.conv(F.substring(F.md5(F.substr(padded, k, F.lit(3))), 1, 8), 16, 10).cast("long") % size)
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("float"))
 
 

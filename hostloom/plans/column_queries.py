@@ -167,7 +167,7 @@ def topics(spark, sf):
     return P.topics(P.serialised(values(spark, sf)).select(F.col("table_name").alias("id"), "text"))
 
 
-@query("c18_c20_hashed_embedding")
+@query("c18_c20_hashed_embedding", f"WITH {_CATALOG} SELECT table_name, column_name, {H.sql_hashed_embedding("(table_name || '.' || column_name)", 64)} AS embedding FROM catalog")
 def hashed_embedding(spark, sf):
     return catalog(spark, sf).select("table_name", "column_name", P.hashed_embedding(F.concat_ws(".", "table_name", "column_name")).alias("embedding"))
 

@@ -74,12 +74,28 @@ def pagerank(spark, sf):
     return G.pagerank(vertices(spark, sf), edges(spark, sf)).select("id", F.round("rank", 8).alias("rank"))
 
 
-@query("g7_betweenness")
+def _searched(vertices, edges):
+    """Views dist (hops from s to v) and paths (how many shortest ones) of a graph, from all vertices."""
+    return f"""arcs AS MATERIALIZED (SELECT DISTINCT source AS a, target AS b FROM {edges} WHERE source <> target AND source IN (SELECT id FROM {vertices}) AND target IN (SELECT id FROM {vertices})),
+hop(s, v, d) AS (SELECT id, id, 0 FROM {vertices} UNION SELECT s, b, d + 1 FROM hop JOIN arcs ON a = v WHERE d < 12),
+dist AS MATERIALIZED (SELECT s, v, min(d) AS d FROM hop GROUP BY 1, 2),
+sigma(s, v, d, n) AS (SELECT s, v, 0, 1::DOUBLE FROM dist WHERE d = 0 UNION ALL SELECT x.s, b, x.d + 1, sum(n) FROM sigma x JOIN arcs ON a = x.v JOIN dist y ON y.s = x.s AND y.v = b AND y.d = x.d + 1 GROUP BY 1, 2, 3),
+paths AS MATERIALIZED (SELECT s, v, d, n FROM sigma)"""
+
+
+_BETWEEN = """size AS (SELECT count(*) AS n FROM vertices), between AS MATERIALIZED (SELECT id, coalesce(x, 0) / CASE WHEN n > 2 THEN (n - 1) * (n - 2) ELSE 1 END AS betweenness FROM size, vertices LEFT JOIN (
+  SELECT f.v AS id, sum(f.n * g.n / w.n) AS x FROM paths f JOIN paths g ON g.s = f.v JOIN paths w ON w.s = f.s AND w.v = g.v WHERE f.d > 0 AND g.d > 0 AND w.d = f.d + g.d GROUP BY 1) USING (id))"""
+
+
+@query("g7_betweenness", "WITH RECURSIVE " + ",\n".join((EDGES_SQL, _VERTICES, _searched("vertices", "edges"), _BETWEEN)) + "\nSELECT id, round(betweenness, 9) AS betweenness FROM between")
 def betweenness(spark, sf):
     return G.betweenness(vertices(spark, sf), edges(spark, sf)).withColumn("betweenness", F.round("betweenness", 9))
 
 
-@query("g8_closeness")
+_LARGEST = "largest AS (SELECT id FROM member WHERE component = (SELECT component FROM member GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1))"
+
+
+@query("g8_closeness", _RECURSIVE.rstrip() + ",\n" + _LARGEST + ",\n" + _searched("largest", "edges") + "\nSELECT id, round(coalesce(r / far * r / ((SELECT count(*) FROM largest) - 1), 0), 9) AS closeness FROM largest LEFT JOIN (SELECT v AS id, count(*) AS r, sum(d) AS far FROM dist WHERE d > 0 GROUP BY 1) USING (id)")
 def closeness(spark, sf):
     """Of the largest component: closeness is for connected graphs."""
     e = edges(spark, sf)
@@ -93,7 +109,7 @@ def critical(spark, sf):
     return G.critical_nodes(vertices(spark, sf), edges(spark, sf))
 
 
-@query("g9_critical_nodes")
+@query("g9_critical_nodes", "WITH RECURSIVE " + ",\n".join((EDGES_SQL, _VERTICES, _searched("vertices", "edges"), _BETWEEN, _RANKS.replace("size AS", "sizes AS").replace("vertices, size)", "vertices, sizes)"), _TOTAL)) + "\nSELECT id, round(score, 9) AS score FROM (SELECT id, coalesce(degree, 0) / ((SELECT count(*) FROM vertices) - 1) + betweenness + rank AS score FROM vertices LEFT JOIN total USING (id) JOIN between USING (id) JOIN (SELECT id, rank FROM ranks WHERE k = 150) USING (id)) WHERE score > 0.5 ORDER BY id LIMIT 20")
 def critical_nodes(spark, sf):
     return critical(spark, sf).withColumn("score", F.round("score", 9))
 
@@ -130,7 +146,12 @@ def critical_paths(spark, sf):
     return G.critical_paths(edges(spark, sf), CRITICAL).withColumn("path", F.array_join("path", " > "))
 
 
-@query("g12_articulation_points")
+#: A vertex whose neighbours don't all reach each other without it.
+_PARTED = """near AS (SELECT id AS gone, min(b) AS start, count(DISTINCT b) AS n FROM vertices JOIN sym ON a = id AND b <> a GROUP BY 1),
+around(gone, v) AS (SELECT gone, start FROM near WHERE n > 1 UNION SELECT w.gone, b FROM around w JOIN sym ON a = w.v WHERE b <> w.gone)"""
+
+
+@query("g12_articulation_points", _RECURSIVE.rstrip() + ",\n" + _PARTED + "\nSELECT DISTINCT gone AS id FROM near JOIN sym ON a = gone AND b <> a WHERE n > 1 AND (gone, b) NOT IN (SELECT gone, v FROM around)")
 def articulation_points(spark, sf):
     return G.articulation_points(vertices(spark, sf), edges(spark, sf))
 

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions import host as H
 from ..operators import discovery as D
 from ..operators import index as I
 from ..operators import resolve as R
-from ..operators.lineage import cut
+from ..operators import tensors as T
+from ..operators.lineage import cut, shared_root
+from ..sources import buckets as K
 from ..sources import sinks as S
+from ..sources import warehouse as W
 from ..sources.inventory import table
+from ..streaming import messagelog as L
 from . import views as V
 from .registry import query
 from .relate_queries import EDGES_SQL, edges
@@ -71,7 +78,13 @@ def merged_attributes(spark, sf):
     return R.merge_attributes(R.masters(matched(spark, sf)), V.picked(spark, sf))
 
 
-@query("e9_blocking_text", V.with_(V.HOSTS_SQL) + "SELECT hostname, hostname || ' ' || array_to_string(list_sort(list_distinct(list_filter([split_part(hostname, '.', 1), ip_address], lambda x: x IS NOT NULL))), ' ') AS text FROM hosts")
+_TEXT = "SELECT hostname, hostname || ' ' || array_to_string(list_sort(list_distinct(list_filter([split_part(hostname, '.', 1), ip_address], lambda x: x IS NOT NULL))), ' ') AS text FROM hosts"
+_VECTORS = f"texts AS ({_TEXT}), vectors AS MATERIALIZED (SELECT hostname, {H.sql_hashed_embedding('text', 384)} AS vector FROM texts)"
+#: All pairs: an index that probes all of its lists gives the same.
+_NEAREST = f"{_VECTORS}, near AS (SELECT * FROM (SELECT a.hostname AS query, b.hostname AS neighbour, list_distance(a.vector::DOUBLE[], b.vector::DOUBLE[]) AS distance, row_number() OVER (PARTITION BY a.hostname ORDER BY list_distance(a.vector::DOUBLE[], b.vector::DOUBLE[]), b.hostname) AS rank FROM vectors a JOIN vectors b ON a.hostname <> b.hostname) WHERE rank <= 10)"
+
+
+@query("e9_blocking_text", V.with_(V.HOSTS_SQL) + _TEXT)
 def blocking_text(spark, sf):
     return texts(spark, sf)
 
@@ -81,7 +94,7 @@ def texts(spark, sf):
     return V.hosts(spark, sf).select("hostname", F.concat_ws(" ", "hostname", F.array_join(forms, " ")).alias("text"))
 
 
-@query("e9_blocking_vectors")
+@query("e9_blocking_vectors", V.with_(V.HOSTS_SQL, _VECTORS) + "SELECT hostname, vector FROM vectors")
 def blocking_vectors(spark, sf):
     return R.blocking_vectors(texts(spark, sf))
 
@@ -92,12 +105,12 @@ def near_hosts(spark, sf):
     return I.search(I.build(rows), rows, k=10, probes=8)
 
 
-@query("e3_e9_indexed_neighbours")
+@query("e3_e9_indexed_neighbours", V.with_(V.HOSTS_SQL, _NEAREST) + "SELECT query, neighbour, round(distance, 6) AS distance, CAST(rank AS INT) AS rank FROM near")
 def indexed_neighbours(spark, sf):
     return near_hosts(spark, sf).withColumn("distance", F.round("distance", 6))
 
 
-@query("e3_e9_united_candidates")
+@query("e3_e9_united_candidates", V.with_(V.HOSTS_SQL, _KEYS, _PAIRS, _NEAREST) + "SELECT a, b FROM pairs UNION SELECT least(query, neighbour), greatest(query, neighbour) FROM near")
 def united_candidates(spark, sf):
     return I.candidates(near_hosts(spark, sf), pairs(spark, sf))
 
@@ -131,6 +144,56 @@ def statistics(spark, sf):
     return S.statistics_rows(V.hosts(spark, sf).agg(F.count("*").alias("entities"), F.count_distinct("environment").alias("environments")))
 
 
+def stored(spark, sf):
+    """Hosts and the ends of their edges as two stored tables in buckets by host name."""
+    hosts = V.hosts(spark, sf).select("hostname", "environment", F.lit(1).alias("version"))
+    ends = edges(spark, sf).select(F.col("source").alias("hostname"), "target", "type")
+    root = f"{shared_root(spark)}/hostloom-buckets-{uuid.uuid4().hex}"
+    tag = uuid.uuid4().hex
+    return K.buckets(spark, f"hosts_{tag}", f"{root}/hosts", ["hostname"], 8).write(hosts), K.buckets(spark, f"ends_{tag}", f"{root}/ends", ["hostname"], 8).write(ends)
+
+
+@query("k4_bucketed_join", V.with_(EDGES_SQL) + "SELECT environment, type, count(*) AS n FROM edges JOIN hosts ON source = hostname GROUP BY 1, 2")
+def bucketed_join(spark, sf):
+    hosts, ends = stored(spark, sf)
+    return hosts.read().join(ends.read().hint("merge"), "hostname").groupBy("environment", "type").agg(F.count("*").alias("n"))
+
+
+@query("k4_bucketed_upsert", V.with_(V.HOSTS_SQL) + "SELECT hostname, CASE WHEN starts_with(hostname, 'web-prod') THEN 'changed' ELSE environment END AS environment, CASE WHEN starts_with(hostname, 'web-prod') THEN 2 ELSE 1 END AS version FROM hosts UNION ALL SELECT 'web-prod-new.example.com', 'changed', 2")
+def bucketed_upsert(spark, sf):
+    hosts, _ = stored(spark, sf)
+    changed = cut(hosts.read().filter("hostname like 'web-prod%'").select("hostname", F.lit("changed").alias("environment"), F.lit(2).alias("version")))
+    hosts.upsert(changed.unionByName(spark.createDataFrame([("web-prod-new.example.com", "changed", 2)], changed.schema)))
+    return hosts.read()
+
+
+@query("s22_warehouse_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'F'")
+def warehouse_scan(spark, sf):
+    rows = W.read(spark, "orders", ["o_orderkey", "o_totalprice", "o_orderstatus"], folder=sf)
+    return rows.filter("o_totalprice > 200000 and o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
+
+
+@query("s19_k11_message_log", V.with_(V.HOSTS_SQL) + "SELECT 'discoveries' AS topic, hostname AS key, environment FROM hosts")
+def message_log(spark, sf):
+    path = f"{shared_root(spark)}/hostloom-log-{uuid.uuid4().hex}"
+    L.publish(S.messages(V.hosts(spark, sf).select("hostname", "environment"), "discoveries", "2024-01-31T00:00:00"), path)
+    held = spark.read.format("messagelog").options(path=path, topics="discoveries").load()
+    return held.select("topic", "key", F.get_json_object("value", "$.environment").alias("environment"))
+
+
+_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '\\w+')"
+
+
+@query("s23_text_tensors", f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+known AS MATERIALIZED (SELECT word, row_number() OVER (ORDER BY n DESC, word) + 1 AS word_id FROM (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM d) GROUP BY 1 ORDER BY n DESC, word LIMIT 500)),
+each AS (SELECT doc_id, k, coalesce(word_id, 1) AS v FROM (SELECT doc_id, unnest(w[1:16]) AS word, unnest(range(1, least(len(w), 16) + 1)) AS k FROM d) LEFT JOIN known USING (word)),
+found AS (SELECT doc_id, list(v ORDER BY k) AS v FROM each GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS INT) AS n, list_concat(coalesce(v, []), list_transform(range(16), lambda x: 0))[1:16]::INT[] AS ids, list_concat(list_transform(coalesce(v, []), lambda x: 1), list_transform(range(16), lambda x: 0))[1:16]::INT[] AS mask FROM d LEFT JOIN found USING (doc_id)""")
+def text_tensors(spark, sf):
+    docs = table(spark, sf, "documents")
+    return T.encoded(docs, cut(T.vocabulary(docs, 500)), 16, id_col="doc_id").withColumnRenamed("id", "doc_id")
+
+
 @query("k11_k12_messages", V.with_(V.HOSTS_SQL) + "SELECT 'discoveries' AS topic, hostname AS key, environment FROM hosts")
 def messages(spark, sf):
     sent = S.messages(V.hosts(spark, sf).select("hostname", "environment", "datacenter"), "discoveries", "2024-01-31T00:00:00")

@@ -11,7 +11,7 @@ from ..operators import types as M
 from ..operators.lineage import cut
 from ..sources.inventory import DERIVED, derived, table
 from . import views as V
-from .column_queries import _K, _KINDS, _PREDICTIONS, _VOTES, _scores
+from .column_queries import _KINDS, _NULLS, _PREDICTIONS, _VOTES, _scores, _typed, values
 from .registry import query
 
 #: Tables of plain columns, whose values are the same text in both engines; and those that the classifier reads beside them.
@@ -89,6 +89,12 @@ def decoded_types(spark, sf):
     return rows.join(told, "table_name").select("table_name", "column_name", named.alias("type"), F.round("score", 6).alias("score"))
 
 
+@query("k23_safe_types", f"WITH {_NULLS}, {_typed()} SELECT * FROM typed")
+def safe_types(spark, sf):
+    """The rule types; a column that the classifier failed on would be unknown with 0."""
+    return M.safely(cut(values(spark, sf)), P.rule_types)
+
+
 #: Types that any of the four judges may name, and rounds that both engines do.
 CLASSES, ROUNDS = len({*_KINDS, *P.VOTED.values(), *P.SHAPE_TYPES}), 10
 
