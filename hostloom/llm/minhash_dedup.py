@@ -269,9 +269,9 @@ def _tiled(member: DataFrame) -> DataFrame:
     return member.join(tiles, "cluster").select("id", "cluster", "digest", "n", "tiles")
 
 
-def _parts(member: DataFrame, labels: DataFrame) -> DataFrame:
-    """With the part that a member hangs together with over the links so far: its smallest id."""
-    return member.join(labels, "id", "left").withColumn("part", F.coalesce("label", "id")).drop("label")
+def _parts(member: DataFrame, links: DataFrame) -> DataFrame:
+    """With the member of its tile that a member hangs together with: links of own tiles have one row for each that isn't the first of its part."""
+    return member.join(links.select(F.col("a").alias("id"), F.col("b").alias("first")), "id", "left").withColumn("part", F.coalesce("first", "id")).drop("first")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
@@ -338,11 +338,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = confirmed(member)
     large = member.filter("tiles > 1")
     if not large.isEmpty():
-        firsts = scratch.cut(_parts(large, components(links, scratch)).filter("id = part"))
+        firsts = scratch.cut(_parts(large, links).filter("id = part"))
         several = firsts.groupBy("cluster").agg(F.count("*").alias("parts")).filter("parts > 1").select("cluster")
-        links = links.unionByName(confirmed(scratch.cut(_tiled(firsts.join(several, "cluster").select("id", "cluster", "digest", "n")))))
-        parts = _parts(large, components(links, scratch)).groupBy("cluster").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-        left = scratch.cut(large.join(parts.filter("low <> high").select("cluster"), "cluster").select(*large.columns))
+        firsts = scratch.cut(_tiled(firsts.join(several, "cluster").select("id", "cluster", "digest", "n")))
+        more = confirmed(firsts)
+        parts = _parts(firsts, more).groupBy("cluster").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
+        left = scratch.cut(large.join(parts.select("cluster"), "cluster").select(*large.columns))
+        links = links.unionByName(more)
         if not left.isEmpty():
             links = links.unionByName(confirmed(left, whole=True))
     repeated = full.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("id")
