@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .lineage import cut, forget
 
-#: Edges and vertices up to which a graph is handled as arrays within a task; parts that a component is ordered in; sources that joins search from at once.
+#: Edges and vertices up to which ranks are iterated as arrays within a task; parts that a component is ordered in; sources that joins search from at once.
 SMALL, SALTS, SOURCES = 1 << 20, 64, 4096
 
 
@@ -240,28 +239,9 @@ def _whole(vertices: DataFrame, edges: DataFrame, f: Callable[..., dict[str, np.
     return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda g: run(g[["a", "b"]]), schema)
 
 
-def _levels(starts: np.ndarray, to: np.ndarray, n: int, source: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Breadth-first search: hops of all vertices (-1: out of reach), numbers of shortest paths, and each level's edges on them."""
-    hops, paths, steps = np.full(n, -1), np.zeros(n), []
-    hops[source], paths[source] = 0, 1
-    front = np.array([source])
-    while len(front):
-        count = starts[front + 1] - starts[front]
-        a = np.repeat(front, count)
-        b = to[np.arange(count.sum()) + np.repeat(starts[front] - np.cumsum(count) + count, count)]
-        level = hops[front[0]] + 1
-        new = hops[b] == -1
-        hops[b[new]] = level
-        a, b = a[hops[b] == level], b[hops[b] == level]
-        np.add.at(paths, b, paths[a])
-        steps.append((a, b))
-        front = np.unique(b)
-    return hops, paths, steps
-
-
 def _searches(vertices: DataFrame, edges: DataFrame) -> Iterator[tuple[DataFrame, list[DataFrame]]]:
     """Breadth-first searches from all vertices, SOURCES at a time, by joins of frontiers: for each part of the sources the edges (a, b) and the
-    levels, tables of s, v, paths (how many shortest ones). For graphs of any size; n searches take their time."""
+    levels, tables of s, v, paths (how many shortest ones). Nothing of the graph leaves its tables; n searches take their time."""
     e = cut(edges.join(vertices.select(F.col("id").alias("source")), "source", "left_semi").join(vertices.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("a"), F.col("target").alias("b")))
     parts = max(1, -(-vertices.count() // SOURCES))
     for k in range(parts):
@@ -288,7 +268,7 @@ def _owed(vertices: DataFrame, edges: DataFrame) -> list[DataFrame]:
     for e, levels in _searches(vertices, edges):
         below = levels[-1].withColumn("owed", F.lit(0.0))
         for upper in levels[-2::-1]:
-            out.append(cut(below.groupBy(F.col("v").alias("id")).agg(F.sum("owed").alias("part"))))
+            out.append(below.select(F.col("v").alias("id"), F.col("owed").alias("part")))
             share = below.select("s", F.col("v").alias("b"), ((1 + F.col("owed")) / F.col("paths")).alias("share"))
             up = e.join(share, "b").groupBy("s", F.col("a").alias("v")).agg(F.sum("share").alias("share"))
             below = cut(upper.join(up, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("owed")))
@@ -305,51 +285,11 @@ def _close(vertices: DataFrame, edges: DataFrame) -> list[DataFrame]:
     return out
 
 
-def is_small(vertices: DataFrame, edges: DataFrame) -> bool:
-    return vertices.limit(SMALL + 1).count() <= SMALL and edges.limit(SMALL + 1).count() <= SMALL
-
-
-def _from_all(vertices: DataFrame, edges: DataFrame, per_source: Callable, joined: Callable[[DataFrame, DataFrame], list[DataFrame]], column: str, scale: Callable[[int], float]) -> DataFrame:
-    """id and a figure that adds up over searches from all sources. Where the graph has SMALL edges and vertices at most, the sources are
-    dealt over tasks, each with the whole graph, and per_source(levels of a source) gives a source's part; a larger graph is
-    searched by joins, and joined(vertices, edges) gives the parts."""
-    vertices, edges = cut(vertices.select("id").distinct()), cut(edges.select("source", "target").filter("source <> target").distinct())
-    spark = vertices.sparkSession
-    if not is_small(vertices, edges):
-        return _summed(vertices, joined(vertices, edges), column, scale(vertices.count()))
-    ids = np.array(sorted(r[0] for r in vertices.toLocalIterator()))
-    place = {v: k for k, v in enumerate(ids)}
-    ends = np.array([(place[a], place[b]) for a, b in edges.toLocalIterator() if a in place and b in place], np.int64).reshape(-1, 2)
-    ends = ends[np.argsort(ends[:, 0], kind="stable")]
-    starts = np.searchsorted(ends[:, 0], np.arange(len(ids) + 1))
-    sent = spark.sparkContext.broadcast((starts, ends[:, 1].copy(), len(ids)))  # SMALL edges at most
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        starts, to, n = sent.value
-        total = np.zeros(n)
-        for batch in batches:
-            for source in batch.place:
-                per_source(total, source, *_levels(starts, to, n, source))
-        some = np.flatnonzero(total)
-        yield pd.DataFrame({"place": some, "part": total[some]})
-
-    tasks = min(max(len(ids) // 64, 1), 4 * spark.sparkContext.defaultParallelism)
-    sums = spark.range(0, len(ids), 1, tasks).select(F.col("id").alias("place")).mapInPandas(run, "place long, part double").groupBy("place").agg(F.sum("part").alias("part"))
-    named = spark.createDataFrame(pd.DataFrame({"place": np.arange(len(ids)), "id": ids})) if len(ids) else spark.createDataFrame([], "place long, id string")
-    return named.join(sums, "place", "left").select("id", (F.coalesce("part", F.lit(0.0)) * scale(len(ids))).alias(column))
-
-
 def betweenness(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Share of shortest paths through each vertex; dependencies are summed from each source."""
-
-    def add(total, source, hops, paths, steps):
-        owed = np.zeros(len(paths))
-        for a, b in reversed(steps):
-            np.add.at(owed, a, paths[a] / paths[b] * (1 + owed[b]))
-        owed[source] = 0
-        total += owed
-
-    return _from_all(vertices, edges, add, _owed, "betweenness", lambda n: 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0)
+    vertices, edges = cut(vertices.select("id").distinct()), cut(edges.select("source", "target").filter("source <> target").distinct())
+    n = vertices.count()
+    return _summed(vertices, _owed(vertices, edges), "betweenness", 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0)
 
 
 def closeness(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -359,61 +299,15 @@ def closeness(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     if components(vertices, edges).select("component").distinct().limit(2).count() != 1:
         return vertices.sparkSession.createDataFrame([], "id string, closeness double")
 
-    def add(total, source, hops, paths, steps):
-        far, r = hops[hops > 0].sum(), np.count_nonzero(hops > 0)
-        total[source] = r / far * r / (len(hops) - 1) if far else 0.0
-
-    return _from_all(vertices, edges.select(F.col("target").alias("source"), F.col("source").alias("target")), add, _close, "closeness", lambda n: 1.0)
+    towards = cut(edges.filter("source <> target").select(F.col("target").alias("source"), F.col("source").alias("target")).distinct())
+    return _summed(vertices, _close(vertices, towards), "closeness", 1.0)
 
 
 def articulation_points(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Vertices whose loss would part their component. A graph of up to SMALL edges and vertices is one depth-first search in a
-    task; of a larger one the blocks are found by joins."""
-    vertices, edges = cut(vertices.select("id").distinct()), cut(edges.select("source", "target"))
-    if not is_small(vertices, edges):
-        return _cut_vertices(vertices, edges)
-
-    def run(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
-        near = defaultdict(set)
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            near[x].add(y)
-            near[y].add(x)
-        seen, low, found, clock = {}, {}, set(), 0
-        for root in range(len(ids)):
-            if root in seen:
-                continue
-            seen[root] = low[root] = clock
-            clock += 1
-            stack, branches = [(root, None, iter(near[root]))], 0
-            while stack:
-                v, parent, rest = stack[-1]
-                w = next(rest, None)
-                if w is None:
-                    stack.pop()
-                    if stack:
-                        u = stack[-1][0]
-                        low[u] = min(low[u], low[v])
-                        if u == root:
-                            branches += 1
-                        elif low[v] >= seen[u]:
-                            found.add(u)
-                elif w not in seen:
-                    seen[w] = low[w] = clock
-                    clock += 1
-                    stack.append((w, v, iter(near[w])))
-                elif w != parent:
-                    low[v] = min(low[v], seen[w])
-            if branches > 1:
-                found.add(root)
-        return {"id": ids[sorted(found)]}
-
-    return _whole(vertices, edges, run, "id string")
-
-
-def _cut_vertices(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Articulation points without a depth-first search, which can't be dealt over tasks: a breadth-first forest is numbered in
-    preorder, level by level; edges of the forest are in one block if an edge outside of it leads around their common vertex;
-    the blocks are components of a graph of the forest's edges, and a vertex on two blocks is an articulation point."""
+    """Vertices whose loss would part their component, without a depth-first search, which can't be dealt over tasks: a breadth-first
+    forest is numbered in preorder, level by level; edges of the forest are in one block if an edge outside of it leads around their
+    common vertex; the blocks are components of a graph of the forest's edges, and a vertex on two blocks is an articulation point."""
+    vertices = cut(vertices.select("id").distinct())
     ids = vertices.select("id")
     e = cut(simple(edges).join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"))
     sym = e.union(e.select("b", "a"))

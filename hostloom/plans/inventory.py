@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import catalog
 from ..operators import classify as C
 from ..operators import discovery as D
 from ..operators import graph as G
@@ -25,12 +26,18 @@ STAGES = ["picked", "hosts", "matches", "classes", "entities", "relationships",
 
 
 class Inventory:
-    """raw: rows as hostloom.sources.inventory.host_raw gives them. path: where stages and results go."""
+    """raw: rows as hostloom.operators.catalog.inventory_rows or hostloom.sources.inventory.host_raw give them. path: where stages and results go."""
 
     def __init__(self, spark: SparkSession, raw: DataFrame, path: str, now: str, config: Config | None = None):
         self.spark, self.raw, self.path, self.now = spark, raw, path.rstrip("/"), now
         self.config, self.timings, self.resumed = config or Config(), Timings(), []
 
+    @classmethod
+    def of_folder(cls, spark: SparkSession, folder: str, path: str, now: str, config: Config | None = None, include: str = ".*", exclude: str | None = None) -> Inventory:
+        """A run over what all tables of a folder tell of hosts, whatever their columns are called."""
+        rows = catalog.host_rows(catalog.tables(spark, folder, include, exclude))
+        return cls(spark, catalog.inventory_rows(rows), path, now, config)
+
     def stage(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         found = S.load_stage(self.spark, self.path, name)
         if found is not None:

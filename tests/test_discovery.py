@@ -237,23 +237,16 @@ def test_embeddings_know_communities(spark):
 # Graphs
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_large_graphs_get_the_same_measures(spark, monkeypatch, seed):
-    r = random.Random(seed)
+def test_searches_in_parts_give_the_same(spark, monkeypatch):
+    """Sources are searched from a few at a time where they are many."""
+    r = random.Random(1)
     ids = [f"v{k:02}" for k in range(18)]
-    edges = sorted({(r.choice(ids), r.choice(ids)) for _ in range(26)} | ({("v00", v) for v in ids[:9]} if seed == 2 else set()))
+    edges = sorted({(r.choice(ids), r.choice(ids)) for _ in range(26)})
     v, e = spark.createDataFrame([(x,) for x in ids], "id string"), spark.createDataFrame(edges, "source string, target string")
-    whole = G.components(v, e).groupBy("component").count().orderBy(F.desc("count")).first().component
-    kept = G.components(v, e).filter(F.col("component") == whole).select("id").cache()
     table = lambda df: {x[0]: round(x[1], 9) for x in df.collect()}
-    small = table(G.betweenness(v, e)), table(G.closeness(kept, G.subgraph(e, kept))), {x.id for x in G.articulation_points(v, e).collect()}, table(G.critical_nodes(v, e))
-    monkeypatch.setattr(G, "SMALL", 1)
+    whole = table(G.betweenness(v, e))
     monkeypatch.setattr(G, "SOURCES", 7)
-    assert table(G.betweenness(v, e)) == small[0]
-    assert table(G.closeness(kept, G.subgraph(e, kept))) == small[1]
-    assert {x.id for x in G.articulation_points(v, e).collect()} == small[2]
-    if seed == 1:
-        assert table(G.critical_nodes(v, e)).keys() == small[3].keys()
+    assert table(G.betweenness(v, e)) == whole and max(whole.values()) > 0
 
 
 def test_a_hub_forms_no_wedges(spark):

@@ -25,6 +25,20 @@ def test_run_and_resume(spark, tmp_path):
     assert sql(spark, {"entities": out["entities"]}, "SELECT count(*) AS n FROM entities").first().n == out["entities"].count()
 
 
+def test_run_over_a_folder_of_unlike_tables(spark, tmp_path):
+    rows = {
+        "vm": ("instance_name string, private_ip string, env string, owner string", [(f"web-{k}", f"10.0.0.{k}", "prod", "team-a") for k in range(1, 6)]),
+        "dns": ("fqdn string, ip_address string, application string", [(f"web-{k}.corp.example.com", f"10.0.0.{k}", "web") for k in range(1, 4)] + [("db-1.corp.example.com", None, "database")]),
+        "notes": ("id int, text string", [(1, "no host here")]),
+    }
+    for name, (schema, values) in rows.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{tmp_path}/in/{name}.parquet")
+    out = Inventory.of_folder(spark, f"{tmp_path}/in", f"{tmp_path}/out", "2024-01-31 00:00:00").run()
+    got = {r.hostname: (r.ip_address, r.environment, r.owner) for r in out["hosts"].collect()}
+    assert len(got) == 9 and got["web-2"] == ("10.0.0.2", "prod", "team-a") and got["db-1.corp.example.com"][0] is None
+    assert out["entities"].count() == 9 and out["relationships"].count() > 0
+
+
 def test_settings(tmp_path):
     assert merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
     path = tmp_path / "c.json"
