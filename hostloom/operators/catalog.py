@@ -20,6 +20,8 @@ from .discovery import ATTRIBUTES, column_confidence, picked_name
 #: A host name or address column's least confidence; from which likelihoods on values count; and what a column of many distinct values gains, from which share on.
 LEAST, HOST_LIKELY, IP_LIKELY, GAIN, DISTINCT = 0.5, 0.6, 0.7, 0.1, 0.9
 CATEGORIES = ("hostname", "ip", "environment", "application")
+#: What a column's name may tell of besides.
+OTHERS = ("environment", "application", "owner", "location", "cluster", "project")
 
 
 @dataclass
@@ -68,10 +70,12 @@ def profile(sources: dict[str, DataFrame]) -> DataFrame:
 
 
 def judged(profiled: DataFrame) -> DataFrame:
-    """profile() with a confidence for each category, null where nothing speaks for it. What distinct values add is left to found()."""
+    """profile() with a confidence for each category, null where nothing speaks for it. Values that look like host names count only in
+    columns whose names tell of nothing else: owners and regions look alike. What distinct values add is left to found()."""
     share = lambda c: F.when(F.col("filled") > 0, F.col(c) / F.col("filled"))
     name = F.col("column_name")
-    by_values = {"hostname": F.when(share("hosts") > HOST_LIKELY, share("hosts")), "ip": F.when(share("addresses") > IP_LIKELY, share("addresses"))}
+    other = F.greatest(*(column_confidence(name, c) for c in OTHERS))
+    by_values = {"hostname": F.when(other.isNull() & (share("hosts") > HOST_LIKELY), share("hosts")), "ip": F.when(share("addresses") > IP_LIKELY, share("addresses"))}
     return profiled.withColumns({c: F.greatest(column_confidence(name, c), by_values.get(c, F.lit(None).cast("double"))) for c in CATEGORIES})
 
 

@@ -35,7 +35,7 @@ _VIEWS = [
     f"ordinals AS ({_ORDINALS})",
     f"profiled AS (SELECT table_name, column_name, count(*) FILTER (value <> '') AS filled, count(*) FILTER ({_LIKELY}) AS hosts, count(*) FILTER ({H.sql_valid_ip('value')}) AS addresses, count(DISTINCT value) FILTER (value <> '') AS different FROM long GROUP BY 1, 2)",
     f"""judged AS (SELECT o.*, filled, hosts, addresses,
-  greatest({_rules('hostname')}, CASE WHEN hosts / filled > {C.HOST_LIKELY}::DOUBLE THEN hosts / filled END) + CASE WHEN different / filled > {C.DISTINCT}::DOUBLE THEN {C.GAIN}::DOUBLE ELSE 0 END AS hostname,
+  greatest({_rules('hostname')}, CASE WHEN hosts / filled > {C.HOST_LIKELY}::DOUBLE AND greatest({', '.join(_rules(c) for c in C.OTHERS)}) IS NULL THEN hosts / filled END) + CASE WHEN different / filled > {C.DISTINCT}::DOUBLE THEN {C.GAIN}::DOUBLE ELSE 0 END AS hostname,
   greatest({_rules('ip')}, CASE WHEN addresses / filled > {C.IP_LIKELY}::DOUBLE THEN addresses / filled END) AS ip, greatest({_rules('environment')}) AS environment, greatest({_rules('application')}) AS application
   FROM ordinals o LEFT JOIN profiled USING (table_name, column_name))""",
     "columns_found AS (SELECT table_name, column_name, ordinal, category, confidence FROM (UNPIVOT (SELECT table_name, column_name, ordinal, hostname, ip, environment, application FROM judged) ON hostname, ip, environment, application INTO NAME category VALUE confidence) WHERE confidence > 0.5 OR category IN ('environment', 'application'))",
