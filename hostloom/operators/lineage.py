@@ -21,11 +21,17 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def folder(spark: SparkSession) -> str:
+    """A new place below the shared folder, for as long as this process runs."""
+    path = f"{shared_root(spark)}/hostloom-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written below the shared folder and read again."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/hostloom-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    path = folder(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._hostloom_path = path

@@ -11,7 +11,7 @@ from ..operators import discovery as D
 from ..operators import index as I
 from ..operators import resolve as R
 from ..operators import tensors as T
-from ..operators.lineage import cut, shared_root
+from ..operators.lineage import cut, folder
 from ..sources import buckets as K
 from ..sources import sinks as S
 from ..sources import warehouse as W
@@ -148,8 +148,7 @@ def stored(spark, sf):
     """Hosts and the ends of their edges as two stored tables in buckets by host name."""
     hosts = V.hosts(spark, sf).select("hostname", "environment", F.lit(1).alias("version"))
     ends = edges(spark, sf).select(F.col("source").alias("hostname"), "target", "type")
-    root = f"{shared_root(spark)}/hostloom-buckets-{uuid.uuid4().hex}"
-    tag = uuid.uuid4().hex
+    root, tag = folder(spark), uuid.uuid4().hex
     return K.buckets(spark, f"hosts_{tag}", f"{root}/hosts", ["hostname"], 8).write(hosts), K.buckets(spark, f"ends_{tag}", f"{root}/ends", ["hostname"], 8).write(ends)
 
 
@@ -175,7 +174,7 @@ def warehouse_scan(spark, sf):
 
 @query("s19_k11_message_log", V.with_(V.HOSTS_SQL) + "SELECT 'discoveries' AS topic, hostname AS key, environment FROM hosts")
 def message_log(spark, sf):
-    path = f"{shared_root(spark)}/hostloom-log-{uuid.uuid4().hex}"
+    path = folder(spark)
     L.publish(S.messages(V.hosts(spark, sf).select("hostname", "environment"), "discoveries", "2024-01-31T00:00:00"), path)
     held = spark.read.format("messagelog").options(path=path, topics="discoveries").load()
     return held.select("topic", "key", F.get_json_object("value", "$.environment").alias("environment"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import scan as S
-from ..operators.lineage import shared_root
+from ..operators.lineage import folder
 from ..sources import files, sinks
 from ..sources.inventory import table
 from . import views as V
@@ -16,13 +16,9 @@ from .registry import query
 from .relate_queries import EDGES_SQL, edges
 
 
-def place(spark) -> str:
-    return f"{shared_root(spark)}/hostloom-store-{uuid.uuid4().hex}"
-
-
 def stored(spark, sf):
     """A store of hosts, of which those in production are active, and of relationships."""
-    path = place(spark)
+    path = folder(spark)
     hosts = V.hosts(spark, sf).select("hostname", "environment", F.round("quality_score", 9).alias("quality_score"), (F.col("environment") == "production").alias("is_active"))
     sinks.store({"hosts": hosts, "relationships": edges(spark, sf).select("source", "target", "type", "confidence")}, path)
     return sinks.load(spark, path, ["hosts", "relationships"])
@@ -46,7 +42,7 @@ def listed(spark, sf):
 
 
 def exported(spark, sf, form):
-    path = place(spark)
+    path = folder(spark)
     sinks.export(listed(spark, sf), path, form)
     return path
 
@@ -69,7 +65,7 @@ def json_export(spark, sf):
 
 @query("s16_csv_scan", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM orders GROUP BY 1, 2")
 def csv_scan(spark, sf):
-    path = place(spark)
+    path = folder(spark)
     sinks.export(table(spark, sf, "orders").drop("o_orderdate"), path, "csv")
     rows = files.read_csv(spark, path, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
     return rows.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("price"))
@@ -78,7 +74,7 @@ def csv_scan(spark, sf):
 @query("k13_stages", V.with_(V.HOSTS_SQL) + "SELECT hostname, host_type FROM hosts")
 def stages(spark, sf):
     """A stage that was saved, as another run finds it."""
-    path = place(spark)
+    path = folder(spark)
     sinks.save_stage(V.hosts(spark, sf).select("hostname", "host_type"), path, "hosts")
     return sinks.load_stage(spark, path, "hosts")
 
