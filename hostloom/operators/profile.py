@@ -261,7 +261,9 @@ def hashed_embedding(text: Column, size: int = 64) -> Column:
     padded = F.concat(F.lit("^"), F.lower(text), F.lit("$"))
     upto = F.when(F.length(padded) >= 3, F.sequence(F.lit(1), F.length(padded) - 2)).otherwise(F.array().cast("array<int>"))
     slots = F.transform(upto, lambda k: F.conv(F.substring(F.md5(F.substr(padded, k, F.lit(3))), 1, 8), 16, 10).cast("long") % size)
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("float"))
+    # one pass over the slots: a filter for each place would hash the text's trigrams as often
+    one = F.lit(1.0).cast("float")
+    return F.aggregate(slots, F.array_repeat(F.lit(0.0).cast("float"), size), lambda counts, s: F.transform(counts, lambda x, i: F.when(i == s, x + one).otherwise(x)))
 
 
 def relation(a: DataFrame, b: DataFrame, share: float = 0.95) -> DataFrame:
