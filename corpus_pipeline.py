@@ -70,9 +70,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with its columns but the text, which the ids stand for. A column called n_tokens or
-    ids is kept as _n_tokens or _ids."""
-    return bpe_encode(docs, keep=[c for c in docs.columns if c != "text"], decoded=False)
+    """Token ids of each document and the SHA-256 of what they decode to, with its columns but the text, which the ids stand for. A
+    column called n_tokens, ids or decoded_sha256 is kept with an underscore before its name."""
+    return bpe_encode(docs, keep=[c for c in docs.columns if c != "text"], decoded="digest")
 
 
 STAGES = [("language ID", language_id), ("exact dedup", exact), ("MinHash near-dedup", near), ("benchmark decontamination", decontaminate), ("BPE encoding", encode)]

@@ -303,7 +303,12 @@ def decode(ids: list[int], path: str) -> str:
     return " ".join(known[i] for i in ids if i in known)
 
 
-def _encode(name: str, digests: bool, decoded: bool = True):
+def _decoded(digests: bool, decoded: bool | str) -> list[str]:
+    """The name of the column that tells what ids decode to, if there is one."""
+    return ["decoded_sha256"] if digests or decoded == "digest" else ["decoded"] if decoded else []
+
+
+def _encode(name: str, digests: bool, decoded: bool | str = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary_path(name))
         with uncollected():
@@ -313,20 +318,20 @@ def _encode(name: str, digests: bool, decoded: bool = True):
                     rows = list(own.encode([t or "" for t in part.column(0).to_pylist()]))
                     raw = [r[0] for r in rows]
                     columns = [pa.array([len(r) // 4 for r in raw], pa.int64())]
-                    if digests:
-                        columns += [pa.array([hashlib.sha256(r).hexdigest() for r in raw]), pa.array([hashlib.sha256(r[1].encode()).hexdigest() for r in rows])]
-                    else:
-                        columns += [pa.array(raw, pa.binary()), *([pa.array([r[1] for r in rows], pa.string())] if decoded else [])]
-                    names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"][: 1 + decoded]
+                    columns.append(pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()) if digests else pa.array(raw, pa.binary()))
+                    told = _decoded(digests, decoded)
+                    columns += [pa.array([hashlib.sha256(r[1].encode()).hexdigest() if c == "decoded_sha256" else r[1] for r in rows], pa.string()) for c in told]
+                    names = ["ids_sha256" if digests else "ids", *told]
                     yield pa.RecordBatch.from_arrays([*columns, *part.columns[1:]], names=["n_tokens", *names, *part.schema.names[1:]])
         own.rest()
 
     return run
 
 
-def bpe_encode(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, vocabulary: str = "word_bpe_49k.json", digests: bool = False, decoded: bool = True) -> DataFrame:
+def bpe_encode(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, vocabulary: str = "word_bpe_49k.json", digests: bool = False, decoded: bool | str = True) -> DataFrame:
     """Per row of docs: n_tokens, ids (binary, little-endian unsigned 32-bit), decoded, and the columns in keep
-    (null: all). With digests, ids_sha256 and decoded_sha256 instead of ids and decoded; without decoded, the ids alone.
+    (null: all). With digests, ids_sha256 and decoded_sha256 instead of ids and decoded; without decoded, the ids alone; with
+    decoded="digest", ids and decoded_sha256.
 
     Whole texts are encoded; null is an empty text, which has no tokens and decodes to ''. Strings of
     special tokens in a text become those tokens. Rows stand for themselves, so repeated rows repeat
@@ -335,7 +340,7 @@ def bpe_encode(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
     """
     narrow_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"][: 2 + decoded]
+    names = ["n_tokens", "ids_sha256" if digests else "ids", *_decoded(digests, decoded)]
     taken, own = {n.lower() for n in names} | {c.lower() for c in keep if c.lower() not in names}, []
     for c in keep:
         name = c
@@ -346,7 +351,7 @@ def bpe_encode(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
         own.append(name)
     # numbered on the way: Arrow maps know no dotted names
     rows = docs.select(F.col(text_col).cast("string").alias("\x00text"), *(F.col(f"`{c}`").alias(f"k{k}") for k, c in enumerate(keep)))
-    kinds = ["long", "string", "string"] if digests else ["long", "binary", "string"][: 2 + decoded]
+    kinds = ["long", "string" if digests else "binary", "string"][: len(names)]
     schema = ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds, strict=True)), *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])])
     return rows.mapInArrow(_encode(vocabulary, digests, decoded), schema).toDF(*names, *own)
 
